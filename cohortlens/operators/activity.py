@@ -26,43 +26,27 @@ def daily_totals(log: DataFrame, key: Sequence[str], day: str, amount: str) -> D
     return log.groupBy(*key, day).agg(F.sum(amount).alias("day_total"), F.count(F.lit(1)).alias("day_rows"))
 
 
-def zero_filled_slope(day: Column, total: Column, cutoff: int, exact: str = "double") -> Column:
+def reaching(df: DataFrame, day: str, cutoffs: Sequence[int]) -> DataFrame:
+    """One copy of a row for every cutoff it lies before, in column ``cutoff``.
+
+    Applied after the rows were collapsed, so the copies never multiply the log itself.
+    """
+    later = F.filter(F.array(*[F.lit(int(c)) for c in cutoffs]), lambda c: c > F.col(day))
+    return df.withColumn("cutoff", F.explode(later))
+
+
+def zero_filled_slope(day: Column, total: Column, cutoff: int | Column) -> Column:
     """Least-squares slope over days 0..cutoff-1 where a day without rows counts as zero.
 
     Zero days add nothing to the sums, and the sums over the day axis are known, so no
-    (unit x day) grid is needed.
+    (unit x day) grid is needed. ``cutoff`` may be a grouping column.
     """
-    inside = (day >= 0) & (day < cutoff)
-    y = F.when(inside, total).cast(exact)
+    c = (F.lit(cutoff) if isinstance(cutoff, int) else cutoff).cast("double")
+    y = F.when((day >= 0) & (day < c), total)
     sum_y = F.coalesce(F.sum(y), F.lit(0)).cast("double")
     sum_xy = F.coalesce(F.sum(y * day), F.lit(0)).cast("double")
-    spread = cutoff * (cutoff * cutoff - 1) / 12.0
-    if spread == 0:
-        return F.lit(None).cast("double")
-    return (sum_xy - (cutoff - 1) / 2.0 * sum_y) / F.lit(float(spread))
-
-
-def _cutoff_rows(wide: DataFrame, key: Sequence[str], cutoffs: Sequence[int], names: Sequence[str]) -> DataFrame:
-    """Wide (name_D columns) to one row per (key, cutoff)."""
-    rows = F.array(
-        *[
-            F.struct(F.lit(d).alias("cutoff"), *[F.col(f"{n}_{d}").alias(n) for n in names])
-            for d in cutoffs
-        ]
-    )
-    return wide.select(*key, F.explode(rows).alias("_r")).select(*key, "_r.*")
-
-
-VOLUME = [
-    "total_clicks",
-    "active_days",
-    "clicks_last_7d",
-    "max_date",
-    "first_half_clicks",
-    "second_half_clicks",
-    "click_slope_daily",
-    "longest_activity_gap",
-]
+    spread = c * (c * c - 1.0) / 12.0
+    return F.when(c > 1, (sum_xy - (c - 1.0) / 2.0 * sum_y) / spread)
 
 
 def volume_and_trajectory(
@@ -74,27 +58,28 @@ def volume_and_trajectory(
 ) -> DataFrame:
     """Totals, active days, recency, half sums, slope and longest gap per (key, cutoff).
 
-    Units without a row before a cutoff keep NULLs there; :mod:`features` fills them.
+    Only pairs with activity before the cutoff get a row. The gap window and the final
+    aggregate share one exchange on the key.
     """
-    last = max(cutoffs)
-    days = daily_totals(before(log, day, last), key, day, amount)
+    days = daily_totals(before(log, day, max(cutoffs)), key, day, amount)
     order = Window.partitionBy(*key).orderBy(day)
     stepped = days.withColumn("_gap", F.col(day) - F.lag(day).over(order))
-    d, total = F.col(day), F.col("day_total")
-    aggs: list[Column] = []
-    for c in cutoffs:
-        seen, half = d < c, c // 2
-        aggs += [
-            F.sum(F.when(seen, total)).alias(f"total_clicks_{c}"),
-            F.count(F.when(seen, True)).alias(f"active_days_{c}"),
-            F.sum(F.when((d >= c - LAST_DAYS) & seen, total)).alias(f"clicks_last_7d_{c}"),
-            F.max(F.when(seen, d)).alias(f"max_date_{c}"),
-            F.sum(F.when((d >= 0) & (d < half), total)).alias(f"first_half_clicks_{c}"),
-            F.sum(F.when((d >= half) & seen, total)).alias(f"second_half_clicks_{c}"),
-            zero_filled_slope(d, total, c).alias(f"click_slope_daily_{c}"),
-            F.max(F.when(seen, F.col("_gap"))).alias(f"longest_activity_gap_{c}"),
-        ]
-    return _cutoff_rows(stepped.groupBy(*key).agg(*aggs), key, cutoffs, VOLUME)
+    d, total, c = F.col(day), F.col("day_total"), F.col("cutoff")
+    half = F.floor(c / 2)
+    return (
+        reaching(stepped, day, cutoffs)
+        .groupBy(*key, "cutoff")
+        .agg(
+            F.sum(total).alias("total_clicks"),
+            F.count(F.lit(1)).alias("active_days"),
+            F.sum(F.when(d >= c - LAST_DAYS, total)).alias("clicks_last_7d"),
+            F.max(d).alias("max_date"),
+            F.sum(F.when((d >= 0) & (d < half), total)).alias("first_half_clicks"),
+            F.sum(F.when(d >= half, total)).alias("second_half_clicks"),
+            zero_filled_slope(d, total, c).alias("click_slope_daily"),
+            F.max("_gap").alias("longest_activity_gap"),
+        )
+    )
 
 
 def densified_days(units: DataFrame, daily: DataFrame, key: Sequence[str], day: str, cutoff: int) -> DataFrame:
@@ -109,9 +94,6 @@ def slope_from_series(series: DataFrame, key: Sequence[str], day: str) -> DataFr
     return series.groupBy(*key).agg(F.regr_slope(F.col("day_total"), F.col(day)).alias("click_slope_daily"))
 
 
-BREADTH = ["distinct_activity_types", "distinct_materials", "assessment_clicks"]
-
-
 def breadth(
     log: DataFrame,
     items: DataFrame,
@@ -125,31 +107,30 @@ def breadth(
 ) -> DataFrame:
     """Distinct items and types touched and the volume on assessment types per (key, cutoff).
 
-    An item counts at a cutoff when its first day is before it, so a plain minimum replaces
-    one distinct count per cutoff. ``items`` holds one row per item.
+    The log is collapsed to one row per (key, item) first; an item counts at a cutoff when its
+    first day is before it, so no distinct count is left. ``items`` holds one row per item.
     """
-    last = max(cutoffs)
     d = F.col(day)
-    touched = before(log, day, last).groupBy(*key, item).agg(
-        F.min(d).alias("first_day"),
-        *[F.sum(F.when(d < c, F.col(amount))).alias(f"clicks_{c}") for c in cutoffs],
+    touched = before(log, day, max(cutoffs)).groupBy(*key, item).agg(
+        F.min(d).alias("_first"),
+        *[F.sum(F.when(d < c, F.col(amount))).alias(f"_sum_{c}") for c in cutoffs],
     )
     typed = touched.join(items.select(item, kind), item, "left")
-    scored = F.col(kind).isin(list(assessment_types))
-    per_type = typed.groupBy(*key, kind).agg(
-        F.min("first_day").alias("first_day"),
-        *[F.count(F.when(F.col("first_day") < c, True)).alias(f"items_{c}") for c in cutoffs],
-        *[F.sum(F.when(scored, F.col(f"clicks_{c}"))).alias(f"scored_{c}") for c in cutoffs],
-    )
-    aggs: list[Column] = []
+    upto = F.lit(None).cast("bigint")
     for c in cutoffs:
-        known = F.col(kind).isNotNull() & (F.col("first_day") < c)
-        aggs += [
-            F.count(F.when(known, True)).alias(f"distinct_activity_types_{c}"),
-            F.sum(f"items_{c}").alias(f"distinct_materials_{c}"),
-            F.coalesce(F.sum(f"scored_{c}"), F.lit(0)).alias(f"assessment_clicks_{c}"),
-        ]
-    return _cutoff_rows(per_type.groupBy(*key).agg(*aggs), key, cutoffs, BREADTH)
+        upto = F.when(F.col("cutoff") == c, F.col(f"_sum_{c}")).otherwise(upto)
+    per_type = (
+        reaching(typed, "_first", cutoffs)
+        .groupBy(*key, "cutoff", kind)
+        .agg(F.count(F.lit(1)).alias("_items"), F.sum(upto).alias("_amount"))
+    )
+    return per_type.groupBy(*key, "cutoff").agg(
+        F.count(kind).alias("distinct_activity_types"),
+        F.sum("_items").alias("distinct_materials"),
+        F.coalesce(F.sum(F.when(F.col(kind).isin(list(assessment_types)), F.col("_amount"))), F.lit(0)).alias(
+            "assessment_clicks"
+        ),
+    )
 
 
 def first_active_day(log: DataFrame, key: Sequence[str], day: str = "date") -> DataFrame:

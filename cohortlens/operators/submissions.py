@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortlens.operators.activity import reaching
+
 # Fixed values
 EXAM = "Exam"
 
@@ -45,52 +47,33 @@ def submission_stats(
     submitted" into a subtraction.
     """
     rows = submitted.where(evidence() & (F.col(day) < max(cutoffs)))
-    d, due, score = F.col(day), F.col("due_date"), F.col("score")
-    per_item: list[Column] = []
-    for c in cutoffs:
-        seen = d < c
-        per_item += [
-            F.count(F.when(seen, True)).alias(f"n_{c}"),
-            F.sum(F.when(seen, score)).alias(f"ss_{c}"),
-            F.count(F.when(seen, score)).alias(f"sn_{c}"),
-            F.min(F.when(seen, score)).alias(f"sm_{c}"),
-            F.sum(F.when(seen, d - due)).alias(f"ls_{c}"),
-            F.count(F.when(seen, d - due)).alias(f"ln_{c}"),
-            F.max(F.when(seen & (due < c), 1).otherwise(0)).alias(f"due_{c}"),
-        ]
-    items = rows.groupBy(*key, "id_assessment").agg(*per_item)
-    per_unit: list[Column] = []
-    for c in cutoffs:
-        for part in ("n", "ss", "sn", "ls", "ln", "due"):
-            per_unit.append(F.sum(f"{part}_{c}").alias(f"{part}_{c}"))
-        per_unit.append(F.min(f"sm_{c}").alias(f"sm_{c}"))
-    wide = items.groupBy(*key).agg(*per_unit)
-    out = F.array(
-        *[
-            F.struct(
-                F.lit(c).alias("cutoff"),
-                F.col(f"n_{c}").alias(STATS[0]),
-                F.when(F.col(f"sn_{c}") > 0, F.col(f"ss_{c}") / F.col(f"sn_{c}")).alias(STATS[1]),
-                F.col(f"sm_{c}").alias(STATS[2]),
-                F.when(F.col(f"ln_{c}") > 0, F.col(f"ls_{c}") / F.col(f"ln_{c}")).alias(STATS[3]),
-                F.col(f"due_{c}").alias(STATS[4]),
-            )
-            for c in cutoffs
-        ]
+    d, due, score, late = F.col(day), F.col("due_date"), F.col("score"), F.col(day) - F.col("due_date")
+    per_item = (
+        reaching(rows, day, cutoffs)
+        .groupBy(*key, "cutoff", "id_assessment")
+        .agg(
+            F.count(d).alias("_n"),
+            F.sum(score).alias("_score"),
+            F.count(score).alias("_scored"),
+            F.min(score).alias("_low"),
+            F.sum(late).alias("_late"),
+            F.count(late).alias("_dated"),
+            F.max(F.when(due < F.col("cutoff"), 1).otherwise(0)).alias("_due"),
+        )
+    )
+    return per_item.groupBy(*key, "cutoff").agg(
+        F.sum("_n").alias(STATS[0]),
+        F.try_divide(F.sum("_score"), F.sum("_scored")).alias(STATS[1]),
+        F.min("_low").alias(STATS[2]),
+        F.try_divide(F.sum("_late"), F.sum("_dated")).alias(STATS[3]),
+        F.sum("_due").alias(STATS[4]),
     )
-    return wide.select(*key, F.explode(out).alias("_r")).select(*key, "_r.*")
 
 
 def due_counts(assessments: DataFrame, group: Sequence[str], cutoffs: Sequence[int]) -> DataFrame:
     """Number of non-exam assessments due before each cutoff, per group and cutoff."""
-    due = F.col("date")
-    wide = assessments.where(F.col("assessment_type") != EXAM).groupBy(*group).agg(
-        *[F.count(F.when(due < c, True)).alias(f"n_{c}") for c in cutoffs]
-    )
-    rows = F.array(
-        *[F.struct(F.lit(c).alias("cutoff"), F.col(f"n_{c}").alias("n_due")) for c in cutoffs]
-    )
-    return wide.select(*group, F.explode(rows).alias("_r")).select(*group, "_r.*")
+    rows = assessments.where(F.col("assessment_type") != EXAM)
+    return reaching(rows, "date", cutoffs).groupBy(*group, "cutoff").agg(F.count(F.lit(1)).alias("n_due"))
 
 
 def due_not_submitted(
