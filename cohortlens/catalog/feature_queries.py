@@ -486,14 +486,14 @@ def _topk_abs(spark, d):
 )
 def _rank_map(spark, d):
     counts = b.event_log(spark, d).groupBy("user_id").agg(F.count(F.lit(1)).alias("n_events"))
-    return ordering.rank_map(stage(counts, "counts"), "n_events", ["user_id"], "rank_no")
+    return ordering.rank_map(stage(counts, "counts"), "n_events", "user_id", "rank_no")
 
 
 def _two_rankings(spark, d):
     log = b.event_log(spark, d).groupBy("user_id").agg(F.count(F.lit(1)).alias("n_events"), F.max("amount").alias("peak"))
     log = stage(log, "two-rankings")
-    a = ordering.rank_map(log, "n_events", ["user_id"], "rank_a").select("user_id", "rank_a")
-    p = ordering.rank_map(log, "peak", ["user_id"], "rank_b").select("user_id", "rank_b")
+    a = ordering.rank_map(log, "n_events", "user_id", "rank_a").select("user_id", "rank_a")
+    p = ordering.rank_map(log, "peak", "user_id", "rank_b").select("user_id", "rank_b")
     return a, p
 
 

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortlens.functions.ranking import rank_ties, running_counts
+from cohortlens.functions.ranking import running_counts
 
 
 def top_by_abs(df: DataFrame, value: str, tie: Sequence[str], k: int) -> DataFrame:
@@ -35,21 +35,28 @@ def argmin(df: DataFrame, groups: Sequence[str], cost: str, choice: Sequence[str
     return df.groupBy(*groups).agg(best.alias("_b")).select(*groups, *[f"_b.{c}" for c in choice], f"_b.{cost}")
 
 
-def rank_map(df: DataFrame, value: str, key: Sequence[str], out: str, groups: Sequence[str] = ()) -> DataFrame:
-    """Position by descending value (1 = largest), ties by ascending key, without one global window."""
+def rank_map(df: DataFrame, value: str, key: str, out: str, groups: Sequence[str] = ()) -> DataFrame:
+    """Position by descending value (1 = largest), ties by ascending key, without one global window.
+
+    With a numeric key even one value shared by most rows is ranked in pieces. A text key is meant
+    for tables of names (features, slices); rows of equal value are then sorted together.
+    """
     ladder = running_counts(df, groups, value, {"n": F.lit(1)})
     above = F.col("n_total") - F.col("n_below") - F.col("n")
-    placed = df.join(ladder.select(*groups, value, above.alias("_above"), F.col("n").alias("_same")), [*groups, value])
-    alone = placed.where(F.col("_same") == 1).withColumn(out, F.col("_above") + 1)
+    lines = ladder.select(*groups, value, above.alias("_above"), F.col("n").alias("_same"))
+    placed = df.join(lines, [*groups, value])
+    alone = placed.where(F.col("_same") == 1).withColumn("_pos", F.lit(1))
     tied = placed.where(F.col("_same") > 1)
-    inner = running_counts(tied, [*groups, value], key[0], {"n": F.lit(1)}) if len(key) == 1 else None
-    if inner is not None:
-        pos = inner.select(*groups, value, *key, (F.col("n_below") + 1).alias("_pos"))
-        ranked = tied.join(pos, [*groups, value, *key])
+    if dict(df.dtypes)[key] == "string":
+        same = Window.partitionBy(*groups, value).orderBy(key)
+        ranked = tied.withColumn("_pos", F.row_number().over(same))
     else:
-        ranked = rank_ties(tied, [*groups, value], key, 0).withColumnRenamed("tie_rank", "_pos")
-    ranked = ranked.withColumn(out, F.col("_above") + F.col("_pos")).drop("_pos")
-    return alone.unionByName(ranked).select(*df.columns, F.col(out).cast("bigint").alias(out))
+        inner = running_counts(tied, [*groups, value], key, {"n": F.lit(1)})
+        ranked = tied.join(
+            inner.select(*groups, value, key, (F.col("n_below") + 1).alias("_pos")), [*groups, value, key]
+        )
+    place = (F.col("_above") + F.col("_pos")).cast("bigint").alias(out)
+    return alone.unionByName(ranked).select(*df.columns, place)
 
 
 def topk_overlap(a: DataFrame, b: DataFrame, key: Sequence[str], ks: Sequence[int]) -> DataFrame:
