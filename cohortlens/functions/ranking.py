@@ -107,21 +107,25 @@ def exact_quantiles(
     Positions are integer arithmetic, so a quantile that falls on a data point is exactly it.
     """
     ladder = running_counts(df, groups, value, {"n": F.lit(1)})
-    v, below, n = F.col(value).cast("double"), F.col("n_below"), F.col("n")
-    aggs: list[Column] = []
-    for i, step in enumerate(steps):
-        place = F.lit(step) * (F.col("n_total") - 1)
-        low = F.floor(place / F.lit(parts))
-        high = F.ceil(place / F.lit(parts))
-        aggs.append(F.max(F.when((below <= low) & (low < below + n), v)).alias(f"_lo{i}"))
-        aggs.append(F.max(F.when((below <= high) & (high < below + n), v)).alias(f"_hi{i}"))
-        aggs.append(F.max(F.pmod(place, F.lit(parts)) / F.lit(float(parts))).alias(f"_w{i}"))
-    picked = ladder.groupBy(*groups).agg(*aggs)
-    points = [
-        F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * F.col(f"_w{i}")
-        for i in range(len(steps))
-    ]
-    return picked.select(*groups, F.array(*points).alias(out))
+    low = f"(i * (n_total - 1)) div {parts}"
+    high = f"(i * (n_total - 1) + {parts - 1}) div {parts}"
+    inside = "n_below <= {0} AND {0} < n_below + n"
+    wanted = ", ".join(f"{step}L" for step in steps)
+    hits = ladder.withColumn("v", F.col(value).cast("double")).selectExpr(
+        *groups,
+        "v",
+        "n",
+        "n_below",
+        "n_total",
+        f"explode(filter(array({wanted}), i -> ({inside.format(low)}) OR ({inside.format(high)}))) AS i",
+    )
+    ends = hits.groupBy(*groups, "i").agg(
+        F.expr(f"max(CASE WHEN {inside.format(low)} THEN v END)").alias("lo"),
+        F.expr(f"max(CASE WHEN {inside.format(high)} THEN v END)").alias("hi"),
+        F.expr(f"max((i * (n_total - 1)) % {parts}) / {float(parts)}D").alias("w"),
+    )
+    points = ends.groupBy(*groups).agg(F.expr("array_sort(collect_list(struct(i, lo + (hi - lo) * w AS q)))").alias("p"))
+    return points.select(*groups, F.expr("transform(p, s -> s.q)").alias(out))
 
 
 def budget_boundaries(
