@@ -1 +1,211 @@
-"""To come."""
+"""Preprocessing and model ladder queries."""
+
+from __future__ import annotations
+
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from cohortlens.catalog.cohort_queries import KEY, cohort_of
+from cohortlens.catalog.feature_queries import features_of
+from cohortlens.catalog.registry import query
+from cohortlens.functions.session import stage
+from cohortlens.operators import importance as im
+from cohortlens.operators import scoring as sc
+from cohortlens.operators.prep import fit_design, numeric_stats
+from cohortlens.plans import ladder as ld
+from cohortlens.sources import bindings as b
+
+LABEL = "not_completed"
+CUTOFF = 90
+# A small part of the grid keeps the registered query short; BOOST_GRID and MAX_TREES are the defaults.
+SHORT_GRID = [
+    {"max_depth": 4.0, "learning_rate": 0.1, "min_rows": 20.0},
+    {"max_depth": 4.0, "learning_rate": 0.1, "min_rows": 100.0},
+]
+SHORT_TREES, SHORT_PATIENCE = 10, 3
+
+_SPLIT_SUB = """fit_rows AS (SELECT score, date_submitted::DOUBLE AS date_submitted FROM sub WHERE date_submitted < 180),
+   new_rows AS (SELECT id_assessment, id_student, score, date_submitted::DOUBLE AS date_submitted FROM sub WHERE date_submitted >= 180),
+   med AS (SELECT median(score) AS ms, median(date_submitted) AS md FROM fit_rows),
+   st AS (SELECT ms, md, avg(coalesce(score, ms)) AS a, stddev_pop(coalesce(score, ms)) AS s, avg(date_submitted) AS ad, stddev_pop(date_submitted) AS sd FROM fit_rows, med GROUP BY ALL)"""
+
+
+def _submissions(spark, d) -> tuple[DataFrame, DataFrame]:
+    s = b.typed_tables(spark, d).submissions
+    return s.where(F.col("date_submitted") < 180), s.where(F.col("date_submitted") >= 180)
+
+
+@query(
+    "median_impute_scale",
+    f"""WITH {_SPLIT_SUB} SELECT id_assessment, id_student, r((coalesce(score, ms) - a) / s) AS score, r((date_submitted - ad) / sd) AS date_submitted FROM new_rows, st""",
+)
+def _impute(spark, d):
+    fit_rows, new_rows = _submissions(spark, d)
+    design = fit_design(fit_rows, ["score", "date_submitted"], [], indicators=False)
+    return design.apply(new_rows, ["id_assessment", "id_student"])
+
+
+@query(
+    "impute_fit_stats",
+    f"""WITH {_SPLIT_SUB} SELECT 'score' AS feature, (SELECT count(*) FROM fit_rows) AS n, (SELECT count(*) FROM fit_rows WHERE score IS NULL) AS n_null, r(ms) AS median, r(a) AS mean, r(s) AS std FROM st
+        UNION ALL SELECT 'date_submitted', (SELECT count(*) FROM fit_rows), 0, r(md), r(ad), r(sd) FROM st""",
+)
+def _fit_stats(spark, d):
+    return numeric_stats(_submissions(spark, d)[0], ["score", "date_submitted"])
+
+
+@query(
+    "missing_indicators",
+    """SELECT 'was_missing_score' AS indicator, count(*) AS n_rows, count(*) FILTER (score IS NULL) AS n_missing FROM sub WHERE date_submitted >= 180""",
+)
+def _indicators(spark, d):
+    fit_rows, new_rows = _submissions(spark, d)
+    design = fit_design(fit_rows, ["score", "date_submitted"], [])
+    names = [c for c in design.columns if c.startswith(im.MISSING_PREFIX)]
+    out = design.apply(new_rows, []).select(*names).unpivot([], names, "indicator", "hit")
+    return out.groupBy("indicator").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("hit").alias("n_missing"))
+
+
+@query(
+    "one_hot_fit_apply",
+    """WITH long AS (SELECT code_presentation, 'imd_band' AS f, coalesce(imd_band, '__NULL__') AS v FROM info UNION ALL SELECT code_presentation, 'region', region FROM info
+          UNION ALL SELECT code_presentation, 'code_presentation', code_presentation FROM info)
+       SELECT f || '__' || v AS "column", (SELECT count(*) FROM long n WHERE n.f = k.f AND n.v = k.v AND n.code_presentation = '2000') AS n_ones
+       FROM (SELECT DISTINCT f, v FROM long WHERE code_presentation <= '1998') k""",
+)
+def _one_hot(spark, d):
+    info = b.typed_tables(spark, d).info
+    features = ["imd_band", "region", "code_presentation"]
+    design = fit_design(info.where(F.col("code_presentation") <= "1998"), [], features)
+    hot = design.apply(info.where(F.col("code_presentation") == "2000"), [])
+    return hot.unpivot([], design.columns, "column", "hit").groupBy("column").agg(F.sum("hit").alias("n_ones"))
+
+
+_FEATURES: dict[tuple[str, str], str] = {}
+
+
+def stored_features(spark, d) -> DataFrame:
+    """Features of one cutoff as a stored table, written once per session and read by every fit."""
+    at = (spark.sparkContext.applicationId, d)
+    if at not in _FEATURES:
+        staged = stage(features_of(spark, d).where(F.col("cutoff") == CUTOFF), "features")
+        _FEATURES[at] = staged.inputFiles()[0].rsplit("/", 1)[0]
+    return spark.read.parquet(_FEATURES[at])
+
+
+def _split(spark, d, *names: str) -> DataFrame:
+    return stored_features(spark, d).where(F.col("split").isin(list(names)))
+
+
+def _fit(spark, d, only, **kw) -> ld.Ladder:
+    grid = {"boost_grid": SHORT_GRID, "max_trees": SHORT_TREES, "patience": SHORT_PATIENCE} | kw
+    return ld.fit_ladder(_split(spark, d, "train"), _split(spark, d, "validate"), LABEL, KEY, only=only, **grid)
+
+
+def _scored(spark, d, ladder: ld.Ladder, *splits: str) -> DataFrame:
+    return ladder.score(_split(spark, d, *splits), [*KEY, LABEL]).withColumnRenamed(LABEL, "y")
+
+
+@query("design_matrix")
+def _design(spark, d):
+    train = _split(spark, d, "train")
+    design = fit_design(train, ld.NUMERIC_FEATURES, ld.CATEGORICAL_FEATURES)
+    rows = design.assemble(_split(spark, d, "validate"), KEY)
+    values = vector_to_array("features")
+    norm = F.aggregate(values, F.lit(0.0), lambda a, v: a + v * v)
+    return rows.select(*KEY, F.size(values).alias("n_columns"), norm.alias("squared_norm"))
+
+
+@query(
+    "rung_base_rate",
+    """SELECT code_module, code_presentation, id_student, 'B0' AS rung, r((SELECT avg(not_completed) FROM cohort WHERE cutoff = 90 AND split = 'train')) AS p
+       FROM cohort WHERE cutoff = 90 AND split = 'validate'""",
+)
+def _b0(spark, d):
+    c = cohort_of(spark, d).where(F.col("cutoff") == CUTOFF)
+    rung = ld.fit_base_rate(c.where(F.col("split") == "train"), LABEL)
+    return rung.score(c.where(F.col("split") == "validate"), KEY)
+
+
+@query("rung_logistic_single")
+def _b1(spark, d):
+    return _scored(spark, d, _fit(spark, d, ["B1"]), "validate")
+
+
+@query("rung_logistic_group")
+def _b2(spark, d):
+    return _scored(spark, d, _fit(spark, d, ["B2"]), "validate")
+
+
+def _trials(spark, ladder: ld.Ladder) -> DataFrame:
+    rows = [
+        (i, name, {k: float(v) for k, v in params.items()}, float(c), params == dict(ladder.rungs[name].params))
+        for i, (name, params, c) in enumerate(ladder.trials)
+    ]
+    schema = "trial int, rung string, params map<string,double>, validate_cost double, chosen boolean"
+    return spark.createDataFrame(rows, schema).withColumn("params", F.to_json("params"))
+
+
+@query("rung_logistic_full")
+def _b3(spark, d):
+    return _trials(spark, _fit(spark, d, ["B3"]))
+
+
+@query("rung_boosted_trees")
+def _m1(spark, d):
+    return _trials(spark, _fit(spark, d, ["M1"]))
+
+
+@query("ladder_refit")
+def _refit(spark, d):
+    ladder = _fit(spark, d, ["B0", "B1", "B2", "B3"], c_grid=[0.1, 1.0])
+    again = ld.refit(ladder, _split(spark, d, "train", "validate"), LABEL, KEY)
+    scored = stage(_scored(spark, d, again, "test"), "scored")
+    metrics = sc.ranking_metrics(sc.score_ladder(scored, ["rung"]), ["rung"])
+    costs = ld.costs_at_frozen(again, again.thresholds, _split(spark, d, "test"), LABEL, KEY)
+    return metrics.join(costs, "rung")
+
+
+@query("seed_stability")
+def _seeds(spark, d):
+    first = _fit(spark, d, ["B0", "B1", "M1"], boost_grid=SHORT_GRID[:1])
+    parts = []
+    for seed in ld.STABILITY_SEEDS[:2]:
+        other = first if seed == ld.BASE_SEED else _fit(spark, d, ["B0", "B1", "M1"], boost_grid=SHORT_GRID[:1], seed=seed)
+        at_frozen = ld.costs_at_frozen(other, first.thresholds, _split(spark, d, "validate"), LABEL, KEY)
+        parts.append(at_frozen.withColumn("seed", F.lit(seed)))
+    return ld.seed_stability(parts[0].unionByName(parts[1]))
+
+
+@query("hyperparameter_guard")
+def _guard(spark, d):
+    ladder = _fit(spark, d, ["B1", "B3", "M1"], c_grid=[0.1, 1.0], boost_grid=SHORT_GRID[:1])
+    policy = ladder.policy(spark, CUTOFF)
+    frozen = policy.select("cutoff", "rung", F.explode("params").alias("parameter", "frozen")).where(
+        F.col("parameter") != "n_rows"
+    )
+    return ld.hyperparameter_guard(ld.fitted_params(ladder, spark, CUTOFF), frozen)
+
+
+@query("score_holdout")
+def _holdout(spark, d):
+    ladder = _fit(spark, d, ld.RUNGS, c_grid=[1.0], boost_grid=SHORT_GRID[:1])
+    long = _scored(spark, d, ladder, "test")
+    return long.groupBy(*KEY, "y").agg(
+        *[F.max(F.when(F.col("rung") == r, F.col("p"))).alias(f"prob_{r}") for r in ld.RUNGS]
+    )
+
+
+@query("ladder_importance")
+def _ladder_importance(spark, d):
+    """Contributions of the full logistic rung on the holdout, checked against its probabilities."""
+    rung = _fit(spark, d, ["B3"], c_grid=[1.0]).rungs["B3"]
+    test = _split(spark, d, "test")
+    names = rung.design.columns
+    coefficients = dict(zip(names, (float(v) for v in rung.model.coefficients)))
+    long = stage(im.linear_contributions(rung.design.apply(test, KEY), KEY, coefficients, dict.fromkeys(names, 0.0)), "contributions")
+    checked = im.contribution_integrity(long, KEY, float(rung.model.intercept), rung.score(test, KEY)).first()
+    if checked["unmatched"] or checked["max_abs_deviation"] > 1e-9:
+        raise ValueError(f"contributions do not rebuild the probabilities: {checked}")
+    return im.grouped_contribution(long, KEY)
