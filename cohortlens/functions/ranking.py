@@ -34,7 +34,7 @@ def range_splits(df: DataFrame, value: str, ranges: int | None = None) -> list[f
         ranges = max(MIN_RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     probs = [i / ranges for i in range(1, ranges)]
     found = df.select(F.col(value).cast("double").alias("v")).approxQuantile("v", probs, 0.25 / ranges)
-    return sorted({float(e) for e in found})
+    return sorted({float(e) + 0.0 for e in found})
 
 
 def with_range(df: DataFrame, value: str, splits: Sequence[float]) -> DataFrame:
@@ -43,7 +43,8 @@ def with_range(df: DataFrame, value: str, splits: Sequence[float]) -> DataFrame:
     probe = "_range_probe"
     edges = [-float("inf"), *splits, float("inf")]
     cut = Bucketizer(splits=edges, inputCol=probe, outputCol=_RANGE, handleInvalid="keep")
-    return cut.transform(df.withColumn(probe, F.col(value).cast("double"))).drop(probe)
+    # Adding zero turns -0.0 into 0.0, which the binary search would put below it.
+    return cut.transform(df.withColumn(probe, F.col(value).cast("double") + F.lit(0.0))).drop(probe)
 
 
 def running_counts(

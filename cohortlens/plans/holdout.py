@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlens.functions.scalars import safe_ratio, unpivot_text
@@ -64,23 +64,23 @@ def slice_metrics(
 ) -> DataFrame:
     """Metrics per value of each slice column; NULL is a slice of its own.
 
-    ``gap_pct`` compares a slice's cost with that of all rows. Slices of one class keep their
+    ``gap_pct`` compares a slice's cost with that of all rows; the slices of one column add up to
+    them, so the overall cost is a sum over a handful of slice rows. Slices of one class keep their
     cost and lose the ranking metrics.
     """
     t = F.col(threshold) if isinstance(threshold, str) else F.lit(float(threshold))
     rows = scored.select(*key, "y", "p", t.cast("double").alias("threshold"), *slices)
     long = unpivot_text(rows, [*key, "y", "p", "threshold"], slices, "slice", "value")
     by = ["slice", "value"]
-    overall = confusion(rows.withColumn("all_rows", F.lit(1)), ["all_rows"]).select(
-        "all_rows", cost().alias("overall_cost")
-    )
-    costs = confusion(long, by).select(*by, cost().alias("expected_cost")).withColumn("all_rows", F.lit(1))
+    whole = Window.partitionBy("slice")
+    sums = {c: F.sum(c).over(whole) for c in ("fn", "fp", "n")}
+    overall = (F.lit(float(HEADLINE_RATIO)) * sums["fn"] + sums["fp"]) / sums["n"]
+    costs = confusion(long, by).select(*by, cost().alias("expected_cost"), overall.alias("overall_cost"))
     ranked = ranking_metrics(score_ladder(long, by), by)
     recall = recall_at_budgets(long, by, key, [0.10]).select(*by, "recall")
     return (
         ranked.join(costs, by)
         .join(recall, by)
-        .join(overall, "all_rows")
         .select(
             *by,
             "n",
