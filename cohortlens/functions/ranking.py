@@ -106,26 +106,44 @@ def exact_quantiles(
     """Linearly interpolated quantiles ``step/parts`` per group as one array column.
 
     Positions are integer arithmetic, so a quantile that falls on a data point is exactly it.
+    Counts per value range show which ranges hold a wanted position; only rows of those ranges
+    are collapsed, shuffled and ordered.
     """
-    ladder = running_counts(df, groups, value, {"n": F.lit(1)})
-    low = f"(i * (n_total - 1)) div {parts}"
-    high = f"(i * (n_total - 1) + {parts - 1}) div {parts}"
-    inside = "n_below <= {0} AND {0} < n_below + n"
+    rows = df.where(F.col(value).isNotNull()).select(*groups, F.col(value).cast("double").alias("v"))
+    by = list(groups)
+    if not by:
+        rows, by = rows.withColumn(_WHOLE, F.lit(0)), [_WHOLE]
+    ranged = with_range(rows, "v", range_splits(rows, "v"))
+
+    low = f"(i * (total - 1)) div {parts}"
+    high = f"(i * (total - 1) + {parts - 1}) div {parts}"
+    holds = "below <= {0} AND {0} < below + n"
+    either = f"({holds.format(low)}) OR ({holds.format(high)})"
     wanted = ", ".join(f"{step}L" for step in steps)
-    hits = ladder.withColumn("v", F.col(value).cast("double")).selectExpr(
-        *groups,
-        "v",
+
+    before = Window.partitionBy(*by).orderBy(_RANGE).rowsBetween(Window.unboundedPreceding, -1)
+    counted = ranged.groupBy(*by, _RANGE).agg(F.count(F.lit(1)).alias("n")).select(
+        *by,
+        _RANGE,
         "n",
-        "n_below",
-        "n_total",
-        f"explode(filter(array({wanted}), i -> ({inside.format(low)}) OR ({inside.format(high)}))) AS i",
+        F.coalesce(F.sum("n").over(before), F.lit(0)).alias("below"),
+        F.sum("n").over(Window.partitionBy(*by)).alias("total"),
+    )
+    needed = stage(counted.where(f"exists(array({wanted}), i -> {either})").drop("n"), "ranges")
+    inside = Window.partitionBy(*by, _RANGE).orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    cells = (
+        ranged.join(needed, [*by, _RANGE])
+        .groupBy(*by, _RANGE, "below", "total", "v")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .withColumn("below", F.col("below") + F.coalesce(F.sum("n").over(inside), F.lit(0)))
     )
-    ends = hits.groupBy(*groups, "i").agg(
-        F.expr(f"max(CASE WHEN {inside.format(low)} THEN v END)").alias("lo"),
-        F.expr(f"max(CASE WHEN {inside.format(high)} THEN v END)").alias("hi"),
-        F.expr(f"max((i * (n_total - 1)) % {parts}) / {float(parts)}D").alias("w"),
+    hits = cells.selectExpr(*by, "v", "n", "below", "total", f"explode(filter(array({wanted}), i -> {either})) AS i")
+    ends = hits.groupBy(*by, "i").agg(
+        F.expr(f"max(CASE WHEN {holds.format(low)} THEN v END)").alias("lo"),
+        F.expr(f"max(CASE WHEN {holds.format(high)} THEN v END)").alias("hi"),
+        F.expr(f"max((i * (total - 1)) % {parts}) / {float(parts)}D").alias("w"),
     )
-    points = ends.groupBy(*groups).agg(F.expr("array_sort(collect_list(struct(i, lo + (hi - lo) * w AS q)))").alias("p"))
+    points = ends.groupBy(*by).agg(F.expr("array_sort(collect_list(struct(i, lo + (hi - lo) * w AS q)))").alias("p"))
     return points.select(*groups, F.expr("transform(p, s -> s.q)").alias(out))
 
 

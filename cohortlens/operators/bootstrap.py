@@ -32,10 +32,13 @@ def numbered(rows: DataFrame, groups: Sequence[str], key: str, label: str = "y")
 
 
 def draws(num: DataFrame, groups: Sequence[str], resamples: int, seed: int, label: str = "y") -> DataFrame:
-    """Drawn positions with multiplicity: (b, groups, class, pos, copies)."""
-    slots = num.select(*groups, label, F.col("pos").alias("slot"), "class_n").withColumn(
-        "b", F.explode(F.sequence(F.lit(1), F.lit(resamples)))
-    )
+    """Drawn positions with multiplicity: (b, groups, class, pos, copies).
+
+    Every slot turns into ``resamples`` rows, so the slots are spread over all tasks first.
+    """
+    tasks = int(num.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slots = num.select(*groups, label, F.col("pos").alias("slot"), "class_n").repartition(tasks)
+    slots = slots.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(resamples))))
     digest = F.md5(
         F.concat_ws(
             ":",

@@ -37,12 +37,14 @@ def psi_term(train: Column, test: Column, eps: Column | float = EPSILON) -> Colu
 
 
 def _proportions(counts: DataFrame, by: Sequence[str]) -> DataFrame:
-    """(feature, bin, train_n, test_n) with shares of each feature's split totals."""
-    totals = counts.groupBy("feature").agg(F.sum("train_n").alias("_tr"), F.sum("test_n").alias("_te"))
+    """(feature, bin, train_n, test_n) with shares of each feature's split totals.
+
+    The totals are window sums over counted bins, so the rows behind them are read once.
+    """
+    whole = Window.partitionBy("feature")
     return (
-        counts.join(totals, "feature")
-        .withColumn("train_prop", safe_ratio("train_n", "_tr", 0.0))
-        .withColumn("test_prop", safe_ratio("test_n", "_te", 0.0))
+        counts.withColumn("train_prop", safe_ratio("train_n", F.sum("train_n").over(whole), 0.0))
+        .withColumn("test_prop", safe_ratio("test_n", F.sum("test_n").over(whole), 0.0))
         .withColumn("term", psi_term(F.col("train_prop"), F.col("test_prop")))
         .select(*by, "train_prop", "test_prop", "term")
     )
@@ -75,7 +77,7 @@ def numeric_bins(df: DataFrame, features: Sequence[str], train: str = "train", t
     binned = long.join(F.broadcast(edges), "feature").withColumn(
         "bin",
         F.when(F.col("value").isNull(), F.size("inner") + 1).otherwise(
-            F.size(F.filter("inner", lambda e: e <= F.col("value")))
+            F.expr(" + ".join(f"IF(value >= get(inner, {i}), 1, 0)" for i in range(BINS - 1)))
         ),
     )
     counts = binned.groupBy("feature", "bin").agg(

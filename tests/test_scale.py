@@ -12,7 +12,7 @@ from cohortlens.functions.scalars import key_digest
 from cohortlens.operators import bootstrap as bs
 from cohortlens.operators.ordering import rank_map
 
-GROUPS = {"hot": 3000, "mid": 500, "one": 1}
+GROUPS = {"hot": 700, "mid": 200, "one": 1}
 
 
 @pytest.fixture(scope="module")
