@@ -216,7 +216,7 @@ def donut_table(df: DataFrame, x: str, y: str, cutoff: float, bandwidths: Sequen
     far = F.abs(F.col(x) - F.lit(cutoff)) > radius
     counts = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).agg(
         count_where(~far).alias("rows_dropped"), count_where(far).alias("rows_kept")
-    ).withColumn("cutoff", F.lit(float(cutoff)))
+    ).withColumn("cutoff", F.explode(F.array(F.lit(float(cutoff)))))
     return est.join(counts, "cutoff")
 
 
