@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.catalog.registry import query
 from cohortlens.functions.scalars import label_from, recode, sentinel_to_null, tolerant_numeric
+from cohortlens.functions.session import stage
 from cohortlens.operators import cleaning, profiling
 from cohortlens.operators import cohort as ch
 from cohortlens.operators.activity import first_active_day
@@ -280,7 +281,8 @@ def _missingness(spark, d):
        GROUP BY ALL""",
 )
 def _numeric_profile(spark, d):
-    return profiling.numeric_profile(b.typed_tables(spark, d).submissions, ["score", "date_submitted"])
+    rows = stage(b.typed_tables(spark, d).submissions.select("score", "date_submitted"), "submissions")
+    return profiling.numeric_profile(rows, ["score", "date_submitted"])
 
 
 @query(
