@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: 2**28 bits are 32 MB, the most that is ever sent to an executor.
-MIN_BITS, MAX_BITS, BITS_PER_KEY, PROBES = 1 << 16, 1 << 28, 16, 3
+MIN_BITS, MAX_BITS, BITS_PER_KEY, PROBES = 1 << 22, 1 << 28, 32, 3
 _BUCKET = 32768
 
 

@@ -23,3 +23,28 @@ r AS (
 SELECT n.doc_id, n.n AS n_shingles, min(r.root) AS component_id, min(r.root) = n.doc_id AS kept
 FROM n JOIN r ON r.id = n.doc_id GROUP BY n.doc_id, n.n
 """
+
+ORACLES["op8_decontamination"] = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+i AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+b AS (
+  SELECT DISTINCT item_id, n, array_to_string(ws[s:s + n - 1], ' ') AS t FROM (
+    SELECT item_id, ws, least(len(ws), 13) AS n, unnest(range(1, len(ws) - least(len(ws), 13) + 2)) AS s
+    FROM i WHERE len(ws) > 0)),
+d AS (
+  SELECT doc_id, s, n, array_to_string(ws[s:s + n - 1], ' ') AS t FROM (
+    SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS s
+    FROM w, (SELECT DISTINCT n FROM b) WHERE len(ws) >= n)),
+o AS (SELECT d.doc_id, d.s, d.n, b.item_id FROM d JOIN b ON d.t = b.t AND d.n = b.n),
+h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM o) GROUP BY doc_id),
+k AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM o) GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(w.ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w.ws) AS contaminated
+FROM w LEFT JOIN h USING (doc_id) LEFT JOIN k USING (doc_id)
+"""
