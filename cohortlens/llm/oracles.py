@@ -48,3 +48,64 @@ SELECT w.doc_id, CAST(len(w.ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_h
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w.ws) AS contaminated
 FROM w LEFT JOIN h USING (doc_id) LEFT JOIN k USING (doc_id)
 """
+
+ORACLES["op6_line_spread"] = r"""
+WITH l AS (
+  SELECT doc_id, source, text, pos, trim(lower(regexp_replace(parts[pos], '[\x09-\x0D\x20]+', ' ', 'g'))) AS line
+  FROM (SELECT doc_id, source, text, parts, unnest(range(1, len(parts) + 1)) AS pos
+        FROM (SELECT doc_id, source, text, string_split(text, chr(10)) AS parts FROM documents))),
+b AS (
+  SELECT line, min({'d': doc_id, 'p': pos}) AS first FROM l WHERE contains(line, ' ')
+  GROUP BY line HAVING count(DISTINCT source) >= 10),
+k AS (
+  SELECT l.doc_id, count(*) AS n, count(*) FILTER (NOT gone) AS kept,
+         string_agg(raw, chr(10) ORDER BY pos) FILTER (NOT gone) AS left_text
+  FROM (SELECT l.*, string_split(l.text, chr(10))[pos] AS raw,
+               b.line IS NOT NULL AND NOT (b.first.d = l.doc_id AND b.first.p = l.pos) AS gone
+        FROM l LEFT JOIN b ON l.line = b.line) l GROUP BY l.doc_id)
+SELECT d.doc_id, coalesce(n, 0) AS n_lines, coalesce(n - kept, 0) AS n_removed,
+       length(CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(left_text, '') END) AS n_chars_left,
+       sha256(CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(left_text, '') END) AS text_sha256
+FROM documents d LEFT JOIN k USING (doc_id)
+"""
+
+
+def _raking(rounds: int, dims: tuple[str, ...]) -> str:
+    """Common table expressions c0 (cells, share) to the last one, one per round and dimension."""
+    last, parts = "c0", []
+    for turn in range(rounds):
+        for dim in dims:
+            name = f"c{turn}_{dim}"
+            parts.append(
+                f"{name} AS (SELECT c.* REPLACE (c.share * t.target / sum(c.share) OVER (PARTITION BY c.{dim}) AS share)"
+                f" FROM {last} c JOIN t_{dim} t ON c.{dim} = t.value)"
+            )
+            last = name
+    return ", ".join(parts) + f", fitted AS (SELECT * FROM {last})"
+
+
+_TARGET = "t_{0} AS (SELECT {0} AS value, pow(t, {1}) / sum(pow(t, {1})) OVER () AS target FROM (SELECT {0}, sum(tokens)::DOUBLE AS t FROM c0 GROUP BY {0}))"
+
+ORACLES["op7_mixing"] = rf"""
+WITH d AS (
+  SELECT doc_id, coalesce(source, '(none)') AS source, coalesce(lang, '(none)') AS lang,
+         CASE WHEN regexp_matches(text, '(?i)licensed under|released under|all rights reserved') THEN 'licence'
+              WHEN contains(text, ' | ') THEN 'table'
+              WHEN regexp_matches(text, '###|\*\*\*|\$\$\$|%%%|&&&') THEN 'symbols'
+              WHEN contains(text, '!!') THEN 'shouting' WHEN contains(text, '@') THEN 'contact' ELSE 'prose' END AS topic,
+         CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS n_tokens,
+         CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) / pow(2, 52) AS draw
+  FROM documents),
+c0 AS (
+  SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS tokens, sum(n_tokens)::DOUBLE AS share
+  FROM d GROUP BY 1, 2, 3 HAVING sum(n_tokens) > 0),
+{_TARGET.format("source", 0.5)}, {_TARGET.format("lang", 0.3)}, {_TARGET.format("topic", 0.5)},
+{_raking(8, ("source", "lang", "topic"))},
+r AS (SELECT source, lang, topic, share * (SELECT sum(tokens) FROM c0) * 0.5 / tokens AS ratio FROM fitted),
+p AS (
+  SELECT d.*, CASE WHEN n_tokens = 0 THEN 1.0 ELSE least(1.0, ratio) END AS chance,
+         CASE WHEN n_tokens = 0 THEN 0.0 ELSE greatest(1.0, ratio) END AS w
+  FROM d LEFT JOIN r USING (source, lang, topic))
+SELECT doc_id, source, lang, topic, n_tokens, round(chance::DOUBLE, 6) AS probability, round(w::DOUBLE, 6) AS weight,
+       draw < chance AS kept FROM p
+"""

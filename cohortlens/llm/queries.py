@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cohortlens.llm import oracles
 from cohortlens.llm.decontamination import decontaminate
 from cohortlens.llm.language_id import identify_languages
+from cohortlens.llm.line_spread import dedup_lines
+from cohortlens.llm.mixing import mix_to_targets
 from cohortlens.llm.near_duplicates import near_duplicates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +32,44 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(table(spark, sf_dir, "documents"))
 
 
+@query
+def op6_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines on ten or more of the sites (``source``) stay at their first place only."""
+    left = dedup_lines(table(spark, sf_dir, "documents"))
+    return left.select(
+        "doc_id",
+        "n_lines",
+        "n_removed",
+        F.length("text").cast("long").alias("n_chars_left"),
+        F.sha2("text", 256).alias("text_sha256"),
+    )
+
+
+def topic() -> Column:
+    """Topic of a document by its first telling mark."""
+    text = F.col("text")
+    return (
+        F.when(text.rlike("(?i)licensed under|released under|all rights reserved"), "licence")
+        .when(text.contains(" | "), "table")
+        .when(text.rlike(r"###|\*\*\*|\$\$\$|%%%|&&&"), "symbols")
+        .when(text.contains("!!"), "shouting")
+        .when(text.contains("@"), "contact")
+        .otherwise("prose")
+    )
+
+
+def mixed(docs: DataFrame, **carry: Column) -> DataFrame:
+    """Half of all tokens, with source and topic shares flattened and languages more so."""
+    dims = {"source": F.col("source"), "lang": F.col("lang"), "topic": topic()}
+    return mix_to_targets(docs, dims, {"source": 0.5, "lang": 0.3, "topic": 0.5}, 0.5, carry=carry)
+
+
+@query
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixed(table(spark, sf_dir, "documents"), doc_id=F.col("doc_id"))
+    return out.withColumns({"probability": F.round("probability", 6), "weight": F.round("weight", 6)})
+
+
 @query
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
