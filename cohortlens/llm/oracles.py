@@ -109,3 +109,29 @@ p AS (
 SELECT doc_id, source, lang, topic, n_tokens, round(chance::DOUBLE, 6) AS probability, round(w::DOUBLE, 6) AS weight,
        draw < chance AS kept FROM p
 """
+
+ORACLES["op3_quality_cascade"] = r"""
+WITH w AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
+  FROM documents),
+t AS (SELECT doc_id, i, array_to_string(ws[i:i + 2], ' ') AS x FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
+p AS (
+  SELECT doc_id, count(DISTINCT j) AS n FROM (
+    SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, x) AS c FROM t) WHERE c > 1)
+  GROUP BY doc_id),
+c AS (
+  SELECT doc_id, text, CAST(len(ws) AS BIGINT) AS n_words,
+         CAST(length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+         CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, len(ls) AS n_lines,
+         CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, coalesce(p.n, 0) AS n_repeat_words,
+         length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_upper, length(regexp_replace(text, '[^a-z]', '', 'g')) AS n_lower,
+         len(regexp_extract_all(text, '\p{L}[^\x20\x09-\x0D]*')) AS n_letter_words
+  FROM w LEFT JOIN p USING (doc_id)),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT (base_failed OR 10 * n_symbols > n_words OR 10 * n_dup_lines > 3 * n_lines OR n_upper > n_lower
+            OR word_chars < 2 * n_words OR word_chars > 20 * n_words OR 5 * n_letter_words < 4 * n_words
+            OR contains(lower(text), 'lorem ipsum')) AS kept
+FROM f
+"""

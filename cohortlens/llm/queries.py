@@ -13,6 +13,7 @@ from cohortlens.llm.language_id import identify_languages
 from cohortlens.llm.line_spread import dedup_lines
 from cohortlens.llm.mixing import mix_to_targets
 from cohortlens.llm.near_duplicates import near_duplicates
+from cohortlens.llm.quality_cascade import quality_cascade
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = oracles.ORACLES
@@ -27,6 +28,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op3_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_cascade(table(spark, sf_dir, "documents"))
+
+
 @query
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(table(spark, sf_dir, "documents"))
