@@ -5,9 +5,10 @@
 2. A representative's sketch has ``REGISTERS`` buckets. Elements are dealt over the buckets and the
    smallest value stays, kept as leading-zero count plus ``MANTISSA`` bits. Buckets still empty
    are filled by further rounds of the same rule, so small sets have full sketches too.
-3. Bands of four registers give keys. In each key, members are paired with one centre only;
-   confirmed pairs are contracted, and what still spans several components gets another centre,
-   and at last all pairs across components. No pair inside a component is ever made.
+3. Bands of four registers give keys. In each key, members are paired with one centre only, the one
+   that shares most keys with others; confirmed pairs are contracted, and what is outside the
+   centre's component gets a centre of its own. What then still spans components goes through an
+   exact prefix and positional filter. No pair inside a component is ever confirmed.
 4. A pair goes to confirmation when set sizes allow the threshold and the collision-corrected
    estimate is within six standard errors of it. Confirmation intersects the full sets.
 
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlens.functions.session import stage
@@ -30,7 +31,7 @@ from cohortlens.llm.textbatch import SPACED, chunks, distinct_sets, lists, mix,
 
 _U = np.uint64
 REGISTERS, BANDS, MANTISSA = 128, 32, 10
-CENTRES = 3
+CENTRES = 2
 _VALUE_BITS = 52
 _VALUE = _U((1 << _VALUE_BITS) - 1)
 
@@ -203,20 +204,20 @@ def near_duplicates(
     )
 
     banded = classes.select("rep", F.explode("bands").alias("key"))
-    sizes = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = stage(banded.join(sizes.select("key"), "key").distinct(), "near-bands")
+    sizes = banded.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    shared_keys = stage(banded.join(sizes, "key").distinct(), "near-keys")
+    # How many members a representative meets over all its keys: the original of a group meets most.
+    weight = shared_keys.groupBy("rep").agg(F.sum("size").alias("weight"))
+    members = stage(shared_keys.join(weight, "rep").select("key", "rep", "weight"), "near-bands")
     nodes = stage(_node_sets(text, members, classes, shingle), "near-sets")
 
     labels = components(links)
     for turn in range(CENTRES + 1):
-        pairs = _next_pairs(members, labels, turn)
-        if turn == CENTRES:
-            pairs = _across(members, labels)
-        pairs = stage(pairs, f"near-pairs-{turn}")
+        made = _leftover(members, labels, nodes, percent) if turn == CENTRES else _star_pairs(members, labels, turn)
+        pairs = stage(made, f"near-pairs-{turn}")
         if pairs.isEmpty():
-            break
-        found = stage(_confirmed(pairs, nodes, percent), f"near-found-{turn}")
-        links = links.unionByName(found)
+            continue
+        links = links.unionByName(stage(_confirmed(pairs, nodes, percent), f"near-found-{turn}"))
         labels = components(links)
 
     # NULL doc_ids have no label and no class row.
@@ -241,32 +242,57 @@ def _node_sets(text: DataFrame, members: DataFrame, classes: DataFrame, shingle:
     return found.where("n > 0").join(ids.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
 
 
-def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
+def _spanning(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members (key, rep, label, weight) of keys that still span several components."""
     known = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-    return known.select("key", "rep", F.coalesce("label", "rep").alias("label"))
-
-
-def _mixed(members: DataFrame, labels: DataFrame, order) -> DataFrame:
-    """Members of keys that still span several components, with the key's centre."""
-    placed = _labelled(members, labels)
-    centres = (
-        placed.groupBy("key")
-        .agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(F.struct(order, "rep", "label")).alias("c"))
-        .where("lo < hi")
-        .select("key", F.col("c.rep").alias("centre"), F.col("c.label").alias("main"))
-    )
-    return placed.join(centres, "key")
-
+    placed = known.select("key", "rep", "weight", F.coalesce("label", "rep").alias("label"))
+    spans = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
+    return placed.join(spans.select("key"), "key")
 
-def _next_pairs(members: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
-    order = F.col("rep") if turn == 0 else F.xxhash64(F.lit(turn), "rep")
-    mixed = _mixed(members, labels, order.alias("o")).where("label != main")
-    return mixed.select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()
 
+def _star_pairs(members: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
+    """Every key's members with its centre, the member that shares most keys with others.
 
-def _across(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Every pair of one key whose ends are in different components."""
-    mixed = _mixed(members, labels, F.col("label").alias("o"))
-    outside = mixed.where("label != main").select("key", F.col("rep").alias("x"), F.col("label").alias("lx"))
-    pairs = mixed.join(outside, "key").where("label != lx and rep != x")
-    return pairs.select(F.least("rep", "x").alias("a"), F.greatest("rep", "x").alias("b")).distinct()
+    After the first turn, members that are in the component of that centre are left out, so what else
+    hangs together in the key finds its own centre.
+    """
+    rows = _spanning(members, labels)
+    for _ in range(turn + 1):
+        centre = F.max(F.struct("weight", (-F.col("rep")).alias("order"), "label")).alias("c")
+        main = rows.groupBy("key").agg(centre).select("key", (-F.col("c.order")).alias("centre"), F.col("c.label").alias("main"))
+        rows = rows.join(main, "key").where("label != main")
+        pairs = rows.select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b"))
+        rows = rows.select("key", "rep", "label", "weight")
+    return pairs.distinct()
+
+
+def _leftover(members: DataFrame, labels: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs across components that a prefix and positional filter on the full sets lets through.
+
+    Sets are put in order of rarity among the members of keys that still span components. Two sets that reach the
+    threshold have their first common shingle so early that what follows can still make up the needed
+    overlap. Edits are rare, so a member too far from all others has nothing but its own edits there.
+    """
+    own = _spanning(members, labels).select("rep", "label").distinct()
+    tokens = nodes.join(own.withColumnRenamed("rep", "doc_id"), "doc_id").select(
+        F.col("doc_id").alias("rep"), "label", "n", F.explode("shingles").alias("token")
+    )
+    seen = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("f"))
+    order = Window.partitionBy("rep").orderBy("f", "token")
+    prefix = (
+        tokens.join(seen, "token")
+        .withColumn("place", F.row_number().over(order))
+        .where(F.expr(f"f > 1 and place <= n - ({percent} * n + 99) div 100 + 1"))
+        .select("token", "rep", "label", "n", "place")
+    )
+    prefix = stage(prefix, "near-prefixes")
+    held = prefix.groupBy("token", "label").agg(F.count(F.lit(1)).alias("c"))
+    mixed = held.groupBy("token").agg(F.max_by("label", "c").alias("main"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
+    rows = prefix.join(mixed.select("token", "main"), "token")
+    outer = rows.where("label != main").select("token", *[F.col(c).alias(f"{c}_x") for c in ("rep", "label", "n", "place")])
+    need = f"({percent} * (n + n_x) + {99 + percent}) div {100 + percent}"
+    met = rows.join(outer, "token").where(
+        f"label != label_x and (label = main or rep < rep_x) and least(n - place, n_x - place_x) + 1 >= {need}"
+        f" and 100 * least(n, n_x) >= {percent} * greatest(n, n_x)"
+    )
+    return met.select(F.least("rep", "rep_x").alias("a"), F.greatest("rep", "rep_x").alias("b")).distinct()
