@@ -13,7 +13,13 @@ from cohortlens.llm.language_id import identify_languages
 from cohortlens.llm.line_spread import dedup_lines
 from cohortlens.llm.mixing import mix_to_targets
 from cohortlens.llm.near_duplicates import near_duplicates
+from cohortlens.llm.main_text import main_text
+from cohortlens.llm.personal_data import count_of, joined, personal_data
+from cohortlens.llm.personal_data import BASE_KINDS as PERSONAL_KINDS
 from cohortlens.llm.quality_cascade import quality_cascade
+from cohortlens.llm.secrets import BASE_KINDS as SECRET_KINDS
+from cohortlens.llm.secrets import find_secrets
+from cohortlens.llm.token_counts import token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = oracles.ORACLES
@@ -28,11 +34,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _digest(found: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    base = F.filter("spans", lambda s: s["kind"].isin(*kinds))
+    return found.select(
+        "doc_id",
+        *[count_of(F.col("spans"), k).alias(f"n_{k}") for k in kinds],
+        F.sha2(joined(base), 256).alias("base_sha256"),
+        joined(F.col("spans")).alias("spans"),
+    )
+
+
+@query
+def op1_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _digest(personal_data(table(spark, sf_dir, "documents")), PERSONAL_KINDS)
+
+
+@query
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _digest(find_secrets(table(spark, sf_dir, "documents")), SECRET_KINDS)
+
+
 @query
 def op3_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_cascade(table(spark, sf_dir, "documents"))
 
 
+@query
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 @query
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(table(spark, sf_dir, "documents"))
@@ -81,6 +112,16 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document by line; a token over a line end goes to the line it covers most of."""
+    counted = token_counts(table(spark, sf_dir, "documents"))
+    by_line = F.array_join(F.transform("sections", lambda s: s["n_tokens"].cast("string")), ",")
+    return counted.select(
+        "doc_id", "n_tokens", F.size("sections").cast("long").alias("n_lines"), "n_outside", "n_crossing", by_line.alias("tokens_by_line")
+    )
+
+
 @query
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=80)
