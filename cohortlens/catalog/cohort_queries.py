@@ -101,13 +101,13 @@ def _target(spark, d):
 @query(
     "split_label",
     """SELECT code_presentation, CASE WHEN code_presentation <= '1998' THEN 'train'
-              WHEN code_presentation = '1999' THEN 'validate' WHEN code_presentation = '2000' THEN 'test' END AS split,
+              WHEN code_presentation = '1999' THEN 'validate' WHEN code_presentation IN ('2000', '2001') THEN 'test' END AS split,
               count(*) AS n_rows
        FROM t_all GROUP BY ALL""",
 )
 def _split(spark, d):
     return (
-        b.terms(spark, d, all_years=True)
+        b.terms(spark, d)
         .groupBy("code_presentation")
         .agg(F.count(F.lit(1)).alias("n_rows"))
         .withColumn("split", ch.split_label("code_presentation", b.DESIGN.splits))
@@ -131,7 +131,7 @@ def _cohort(spark, d):
        WHERE code_presentation NOT IN ('1995', '1996', '1997', '1998', '1999', '2000') GROUP BY ALL""",
 )
 def _domain(spark, d):
-    return cleaning.unexpected_values(b.terms(spark, d, all_years=True), "code_presentation", b.DESIGN.presentations)
+    return cleaning.unexpected_values(b.terms(spark, d), "code_presentation", b.EXPECTED_YEARS)
 
 
 @query(
@@ -207,10 +207,19 @@ def _row_counts(spark, d):
        UNION ALL SELECT 'nation', (SELECT count(*) FROM nation), 3, 'n_nationkey, n_name, n_regionkey'
        UNION ALL SELECT 'customer', (SELECT count(*) FROM customer), 5, 'c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment'
        UNION ALL SELECT 'orders', (SELECT count(*) FROM orders), 6, 'o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority'
-       UNION ALL SELECT 'events', (SELECT count(*) FROM events), 6, 'event_id, ts, user_id, event_type, value, props'""",
+       UNION ALL SELECT 'events', (SELECT count(*) FROM events), 6, 'event_id, ts, user_id, event_type, value, props'
+       UNION ALL SELECT 'supplier', (SELECT count(*) FROM supplier), 4, 's_suppkey, s_name, s_nationkey, s_acctbal'
+       UNION ALL SELECT 'part', (SELECT count(*) FROM part), 6, 'p_partkey, p_name, p_brand, p_type, p_size, p_retailprice'
+       UNION ALL SELECT 'lineitem', (SELECT count(*) FROM lineitem), 11, 'l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate'
+       UNION ALL SELECT 'documents', (SELECT count(*) FROM documents), 5, 'doc_id, text, lang, source, n_chars'
+       UNION ALL SELECT 'embeddings', (SELECT count(*) FROM embeddings), 3, 'vec_id, embedding, label'
+       UNION ALL SELECT 'pages', (SELECT count(*) FROM pages), 3, 'page_id, url, html'
+       UNION ALL SELECT 'benchmark', (SELECT count(*) FROM benchmark), 2, 'item_id, text'
+       UNION ALL SELECT 'labels', (SELECT count(*) FROM labels), 3, 'doc_id, quality, toxic'
+       UNION ALL SELECT 'conversations', (SELECT count(*) FROM conversations), 4, 'conv_id, turn, role, text'""",
 )
 def _schema_profile(spark, d):
-    names = ["region", "nation", "customer", "orders", "events"]
+    names = [*b.SCHEMAS, "supplier", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
     return profiling.schema_profile({n: b.table(spark, d, n) for n in names})
 
 
@@ -250,11 +259,13 @@ def _rows_per_student(spark, d):
     "value_counts",
     """SELECT column_name, value, count(*) AS n_rows FROM (
          SELECT 'gender' AS column_name, gender AS value FROM info UNION ALL SELECT 'imd_band', imd_band FROM info
-         UNION ALL SELECT 'final_result', final_result FROM info UNION ALL SELECT 'region', region FROM info)
+         UNION ALL SELECT 'final_result', final_result FROM info UNION ALL SELECT 'region', region FROM info
+         UNION ALL SELECT 'highest_education', highest_education FROM info UNION ALL SELECT 'age_band', age_band FROM info
+         UNION ALL SELECT 'disability', disability FROM info)
        GROUP BY ALL""",
 )
 def _value_counts(spark, d):
-    return profiling.value_counts(b.typed_tables(spark, d).info, ["gender", "imd_band", "final_result", "region"])
+    return profiling.value_counts(b.typed_tables(spark, d).info, ["gender", "imd_band", "final_result", "region", "highest_education", "age_band", "disability"])
 
 
 @query(
@@ -319,7 +330,7 @@ def _conflicts(spark, d):
     "presence_grid",
     """SELECT code_module, """
     + ", ".join(
-        f"CAST(bool_or(code_presentation = '{y}') AS INTEGER) AS has_{y}" for y in range(1995, 2001)
+        f"CAST(bool_or(code_presentation = '{y}') AS INTEGER) AS has_{y}" for y in range(1995, 2002)
     )
     + " FROM course GROUP BY ALL",
 )

@@ -206,7 +206,7 @@ RESAMPLES, SEED = 20, 42
 _DRAWN = """base AS (SELECT event_id, CAST(kind = 'error' AS INTEGER) AS y, amount / (amount + 50.0::DOUBLE) AS p1,
            (event_id % 101)::DOUBLE / 101.0::DOUBLE AS p2 FROM ev),
      placed AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY event_id) AS pos, count(*) OVER (PARTITION BY y) AS class_n FROM base),
-     drawn AS (SELECT CAST(b AS INTEGER) AS b, y, 1 + ('0x' || substr(md5('42:' || b || ':' || y || ':' || pos), 1, 8))::BIGINT % class_n AS pos
+     drawn AS (SELECT CAST(b AS INTEGER) AS b, y, 1 + ('0x' || substr(md5('42:' || b || ':' || y || ':' || pos), 1, 15))::BIGINT % class_n AS pos
                FROM placed, range(1, 21) q(b)),
      sample AS MATERIALIZED (SELECT drawn.b, placed.* FROM drawn JOIN placed USING (y, pos))"""
 

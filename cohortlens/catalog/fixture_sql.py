@@ -17,7 +17,7 @@ SELECT c_mktsegment AS code_module, CAST(year(o_orderdate) AS VARCHAR) AS code_p
        o_orderkey, o_orderstatus, o_totalprice, CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS priority
 FROM orders JOIN customer ON o_custkey = c_custkey"""
 
-CTES["t"] = "SELECT * FROM t_all WHERE code_presentation BETWEEN '1995' AND '2000'"
+CTES["t"] = "SELECT * FROM t_all"
 
 CTES["enrolled"] = """
 SELECT code_module, code_presentation, id_student, min(day) - 30 AS first_day, max(day) AS last_day,
@@ -52,7 +52,7 @@ SELECT c_mktsegment AS code_module, CAST(year(l_shipdate) AS VARCHAR) AS code_pr
        CAST(l_quantity AS INTEGER) AS sum_click
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey"""
 
-CTES["act"] = "SELECT * FROM act_all WHERE code_presentation BETWEEN '1995' AND '2000'"
+CTES["act"] = "SELECT * FROM act_all"
 
 CTES["site"] = "SELECT p_partkey AS id_site, p_type AS activity_type FROM part"
 
@@ -188,7 +188,7 @@ SELECT CASE WHEN year(l_shipdate) <= 1998 THEN 'train' WHEN year(l_shipdate) = 1
        l_quantity, l_extendedprice, CASE WHEN l_tax <> 0.05 THEN l_discount END AS l_discount,
        CAST(p_size AS DOUBLE) AS p_size, l_returnflag, CASE WHEN l_quantity <> 13 THEN l_linestatus END AS l_linestatus,
        CASE WHEN year(l_shipdate) <= 1998 AND p_type = 'PROMO' THEN 'OTHER' ELSE p_type END AS p_type
-FROM lineitem JOIN part ON l_partkey = p_partkey WHERE year(l_shipdate) <= 2000"""
+FROM lineitem JOIN part ON l_partkey = p_partkey"""
 CTES["rv"] = """
 SELECT l_quantity AS x, CAST(l_returnflag = 'R' AS INTEGER) AS y, l_discount, l_tax,
        CASE WHEN l_discount <> 0.03 THEN l_linestatus END AS l_linestatus, year(l_shipdate) AS ship_year

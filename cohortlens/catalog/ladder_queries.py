@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from cohortlens.catalog.cohort_queries import KEY, cohort_of
 from cohortlens.catalog.feature_queries import features_of
 from cohortlens.catalog.registry import query
-from cohortlens.functions.session import stage
+from cohortlens.functions.session import stage, staging_path
 from cohortlens.operators import importance as im
 from cohortlens.operators import scoring as sc
 from cohortlens.operators.prep import fit_design, numeric_stats
@@ -89,8 +89,8 @@ def stored_features(spark, d) -> DataFrame:
     """Features of one cutoff as a stored table, written once per session and read by every fit."""
     at = (spark.sparkContext.applicationId, d)
     if at not in _FEATURES:
-        staged = stage(features_of(spark, d).where(F.col("cutoff") == CUTOFF), "features")
-        _FEATURES[at] = staged.inputFiles()[0].rsplit("/", 1)[0]
+        _FEATURES[at] = staging_path(spark, "features")
+        features_of(spark, d).where(F.col("cutoff") == CUTOFF).write.parquet(_FEATURES[at])
     return spark.read.parquet(_FEATURES[at])
 
 

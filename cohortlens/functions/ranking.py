@@ -47,13 +47,20 @@ def with_range(df: DataFrame, value: str, splits: Sequence[float]) -> DataFrame:
     return cut.transform(df.withColumn(probe, F.col(value).cast("double") + F.lit(0.0))).drop(probe)
 
 
+def same_keys(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal key columns where NULL equals NULL; the keys appear once."""
+    renamed = right.withColumnsRenamed({c: f"_r_{c}" for c in on})
+    cond = [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in on]
+    return left.join(renamed, cond, how).drop(*[f"_r_{c}" for c in on])
+
+
 def running_counts(
     df: DataFrame, groups: Sequence[str], value: str, measures: Mapping[str, Column]
 ) -> DataFrame:
     """One row per (group, distinct value) with sums, sums over smaller values and group totals.
 
     Output columns: groups, value, and for each measure m: m, m_below, m_total. Rows with a NULL
-    value are left out. Group columns must not be NULL.
+    value are left out; a NULL group is a group.
     """
     rows = df.where(F.col(value).isNotNull())
     by = list(groups)
@@ -78,7 +85,7 @@ def running_counts(
     inside = (
         Window.partitionBy(*by, _RANGE).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     )
-    joined = cells.join(offsets, [*by, _RANGE])
+    joined = same_keys(cells, offsets, [*by, _RANGE])
     return joined.select(
         *groups,
         value,
@@ -97,7 +104,7 @@ def with_percent_rank(df: DataFrame, groups: Sequence[str], value: str, out: str
     rank = F.when(F.col("n_total") <= 1, F.lit(0.0)).otherwise(
         F.col("n_below") / (F.col("n_total") - 1)
     )
-    return df.join(ladder.select(*groups, value, rank.alias(out)), [*groups, value], "left")
+    return same_keys(df, ladder.select(*groups, value, rank.alias(out)), [*groups, value], "left")
 
 
 def exact_quantiles(
@@ -132,7 +139,7 @@ def exact_quantiles(
     needed = stage(counted.where(f"exists(array({wanted}), i -> {either})").drop("n"), "ranges")
     inside = Window.partitionBy(*by, _RANGE).orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
     cells = (
-        ranged.join(needed, [*by, _RANGE])
+        same_keys(ranged, needed, [*by, _RANGE])
         .groupBy(*by, _RANGE, "below", "total", "v")
         .agg(F.count(F.lit(1)).alias("n"))
         .withColumn("below", F.col("below") + F.coalesce(F.sum("n").over(inside), F.lit(0)))

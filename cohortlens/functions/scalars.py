@@ -70,8 +70,8 @@ def key_digest(seed: int | str, *key: str | Column) -> Column:
 
 
 def hash_draw(digest: Column, size: str | Column) -> Column:
-    """Integer in 1..size taken from the first 32 bits of a digest."""
-    number = F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint")
+    """Integer in 1..size taken from the first 60 bits of a digest; the bias is below size / 2**60."""
+    number = F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")
     return F.pmod(number, as_col(size).cast("bigint")) + F.lit(1).cast("bigint")
 
 

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_LOCAL_ROOTS: dict[str, str] = {}
+
+def _own_folder() -> str:
+    """Folder on this machine for a session whose tasks all run on it; it goes with the process."""
+    path = tempfile.mkdtemp(prefix="cohortlens-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
 
 
 def local_session(app: str = "cohortlens", cores: str = "*", partitions: int = 8) -> SparkSession:
@@ -19,6 +26,7 @@ def local_session(app: str = "cohortlens", cores: str = "*", partitions: int = 8
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
+        .config("spark.checkpoint.dir", _own_folder())
         .config("spark.ui.enabled", "false")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
@@ -29,24 +37,31 @@ def local_session(app: str = "cohortlens", cores: str = "*", partitions: int = 8
 def shared_root(spark: SparkSession) -> str:
     """Folder every executor can reach.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only a local master may fall back to a
-    temporary folder, because there the driver and the executors share one disk.
+    The session names it in ``spark.checkpoint.dir``. Where that is unset, a session with a local master, whose
+    driver and executors are one process, gets a checkpoint folder of its own; any other is refused.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not configured:
-        configured = spark.sparkContext.getCheckpointDir()
-    if configured:
-        return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    app = spark.sparkContext.applicationId
-    if app not in _LOCAL_ROOTS:
-        _LOCAL_ROOTS[app] = tempfile.mkdtemp(prefix="cohortlens-")
-    return _LOCAL_ROOTS[app]
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
+        context.setCheckpointDir(_own_folder())
+        configured = context.getCheckpointDir()
+    return configured.rstrip("/")
+
+
+def _staged_root(spark: SparkSession) -> str:
+    return f"{shared_root(spark)}/staged/{spark.sparkContext.applicationId}"
 
 
 def staging_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_root(spark)}/staged/{label}-{uuid.uuid4().hex}"
+    return f"{_staged_root(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def drop_staged(spark: SparkSession) -> None:
+    """Delete all that this application has staged. Frames that read it can't be used any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_staged_root(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stage(df: DataFrame, label: str = "table") -> DataFrame:

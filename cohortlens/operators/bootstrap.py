@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.functions.ranking import exact_quantiles, running_counts
+from cohortlens.functions.ranking import exact_quantiles, running_counts, same_keys
 from cohortlens.functions.scalars import hash_draw
 from cohortlens.functions.session import stage
 from cohortlens.operators.scoring import HEADLINE_RATIO, cost, ranking_metrics
@@ -23,12 +23,15 @@ INTERVAL_PARTS = 1000
 
 
 def numbered(rows: DataFrame, groups: Sequence[str], key: str, label: str = "y") -> DataFrame:
-    """Rows with their position 1..n inside (groups, class) by ascending key, and the class size."""
+    """Rows with their position 1..n inside (groups, class) by ascending key, and the class size.
+
+    The key must be unique inside a class: an equal key would share a position, so it is an error.
+    """
     by = [*groups, label]
     places = running_counts(rows, by, key, {"n": F.lit(1)})
-    return rows.join(
-        places.select(*by, key, (F.col("n_below") + 1).alias("pos"), F.col("n_total").alias("class_n")), [*by, key]
-    )
+    twice = F.raise_error(F.concat(F.lit(f"bootstrap key {key} is not unique: "), F.col(key).cast("string")))
+    pos = F.when(F.col("n") > 1, twice.cast("bigint")).otherwise(F.col("n_below") + 1)
+    return same_keys(rows, places.select(*by, key, pos.alias("pos"), F.col("n_total").alias("class_n")), [*by, key])
 
 
 def draws(num: DataFrame, groups: Sequence[str], resamples: int, seed: int, label: str = "y") -> DataFrame:

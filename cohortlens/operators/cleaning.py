@@ -115,9 +115,10 @@ def unexpected_values(df: DataFrame, column: str, allowed: Iterable[object]) ->
 
 def require_domain(df: DataFrame, column: str, allowed: Iterable[object]) -> DataFrame:
     """``df`` unchanged, or an error naming values the mapping does not cover."""
-    bad = unexpected_values(df, column, allowed).orderBy(F.desc("n_rows")).limit(20).collect()
+    found = unexpected_values(df, column, allowed)
+    bad = found.orderBy(F.desc("n_rows")).limit(20).collect()
     if bad:
-        raise ValueError(f"{column} has values outside the expected set: {[r[0] for r in bad]}")
+        raise ValueError(f"{column} has {found.count()} values outside the expected set, among them {[r[0] for r in bad]}")
     return df
 
 

@@ -9,11 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
 
 from cohortlens.functions.normal import detection_multiplier, two_sided_p
+from cohortlens.functions.ranking import same_keys
 from cohortlens.functions.scalars import count_where, safe_ratio, unpivot_numeric, unpivot_text
+from cohortlens.functions.session import stage
 from cohortlens.operators.ordering import first_row
 
 # Fixed values
@@ -27,6 +29,7 @@ POWER = 0.80
 HEAPING_STEP = 5
 Z95 = 1.959963984540054
 DENSITY_CONSTANT = 24.0 / 5.0
+ROUNDING = 1e-9
 
 
 def first_assessments(assessments: DataFrame, kind: str, group: Sequence[str]) -> DataFrame:
@@ -54,11 +57,27 @@ def donut(df: DataFrame, x: str, cutoff: float, radius: float = DONUT_RADIUS) ->
 
 
 def cells(df: DataFrame, x: str, y: str, groups: Sequence[str] = ()) -> DataFrame:
-    """One row per value of the running variable: n, sum of y and of its square."""
-    v = F.col(y).cast("double")
-    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    return rows.groupBy(*groups, F.col(x).cast("double").alias("x")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(v).alias("sy"), F.sum(v * v).alias("syy")
+    """One row per value of the running variable: n, sum of y and of its square, y less the group's mean.
+
+    A jump does not change when a constant is taken off y, but sums of squares around a large mean would lose
+    every digit of the residuals. Each cell's spread is summed around its own mean first.
+    """
+    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("_y", F.col(y).cast("double"))
+    return _centred(rows.groupBy(*groups, F.col(x).cast("double").alias("x")), "_y", groups)
+
+
+def _centred(grouped: GroupedData, y: str, groups: Sequence[str]) -> DataFrame:
+    cell = stage(
+        grouped.agg(F.count(F.lit(1)).alias("n"), F.avg(y).alias("_mean"), F.var_pop(y).alias("_spread")), "rd-cells"
+    )
+    by = list(groups) or [F.lit(0).alias("_all")]
+    means = cell.groupBy(*by).agg((F.sum(F.col("n") * F.col("_mean")) / F.sum("n")).alias("_centre"))
+    keyed = cell if groups else cell.withColumn("_all", F.lit(0))
+    off = F.col("_mean") - F.col("_centre")
+    return (
+        same_keys(keyed, means, list(groups) or ["_all"])
+        .withColumns({"sy": F.col("n") * off, "syy": F.col("n") * (F.col("_spread") + off * off)})
+        .drop("_all", "_mean", "_spread", "_centre")
     )
 
 
@@ -122,13 +141,19 @@ def _dot(poly: Sequence[Column], sums: Sequence[Column]) -> Column:
 
 
 def _sandwich(pull: Sequence[Column], fit: Sequence[Column]) -> Column:
-    """Sum of squared pull times squared residual, expanded into the stored sums."""
+    """Sum of squared pull times squared residual, expanded into the stored sums.
+
+    Below zero it can only be by rounding, in a fit without residuals; anything more is an error.
+    """
     pull2 = _product(pull, pull)
-    return (
-        _dot(pull2, _terms("c", 4))
+    whole = _dot(pull2, _terms("c", 4))
+    total = (
+        whole
         - 2.0 * _dot(_product(pull2, fit), _terms("b", 6))
         + _dot(_product(pull2, _product(fit, fit)), _terms("a", 8))
     )
+    lost = F.raise_error(F.lit("residual variance lost to rounding")).cast("double")
+    return F.when(total >= 0.0, total).when(total >= -ROUNDING * F.abs(whole), 0.0).when(total.isNotNull(), lost)
 
 
 def fits(m: DataFrame) -> DataFrame:
@@ -186,9 +211,9 @@ def estimates(m: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         F.coalesce(F.col("n_side_left"), F.lit(0)).alias("n_left"),
         F.coalesce(F.col("n_side_right"), F.lit(0)).alias("n_right"),
         gap["level"].alias("estimate"),
-        F.sqrt(F.greatest(var["level_var"], F.lit(0.0))).alias("se"),
+        F.sqrt(var["level_var"]).alias("se"),
         gap["q_level"].alias("bias_corrected"),
-        F.sqrt(F.greatest(var["q_level_var"], F.lit(0.0))).alias("robust_se"),
+        F.sqrt(var["q_level_var"]).alias("robust_se"),
     )
 
 
@@ -236,9 +261,7 @@ def covariate_moments(
     if numeric:
         v = F.col("v")
         long = unpivot_numeric(near, ["x"], numeric, "covariate", "v").where(v.isNotNull())
-        cell = long.groupBy("covariate", F.lit("").alias("level_name"), "x").agg(
-            F.count(F.lit(1)).alias("n"), F.sum(v).alias("sy"), F.sum(v * v).alias("syy")
-        )
+        cell = _centred(long.groupBy("covariate", F.lit("").alias("level_name"), "x"), "v", by)
         parts.append(moments(with_specs(cell, [cutoff], [bandwidth]), by))
     if categorical:
         one = near.groupBy("x").agg(F.count(F.lit(1)).alias("n"))

@@ -72,7 +72,8 @@ def numeric_bins(df: DataFrame, features: Sequence[str], train: str = "train", t
 
     The edges table has one row per named feature, so it is small by construction.
     """
-    long = unpivot_numeric(df.where(F.col("split").isin(train, test)), ["split"], features)
+    narrow = df.where(F.col("split").isin(train, test)).select("split", *features)
+    long = unpivot_numeric(stage(narrow, "psi-input"), ["split"], features)
     edges = stage(train_edges(long, train), "edges")
     binned = long.join(F.broadcast(edges), "feature").withColumn(
         "bin",

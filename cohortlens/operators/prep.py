@@ -13,8 +13,6 @@ from cohortlens.functions.ranking import exact_quantiles
 from cohortlens.functions.scalars import count_where, null_as_token, unpivot_numeric, unpivot_text
 from cohortlens.operators.importance import LEVEL_MARK, MISSING_PREFIX
 
-MAX_LEVELS = 5000
-
 
 def numeric_stats(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """(feature, n, n_null, median, mean, std): mean and population deviation after imputation.
@@ -90,15 +88,19 @@ class Design:
 
 
 def fit_design(
-    df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], indicators: bool = True
+    df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], indicators: bool = True, max_levels: int | None = None
 ) -> Design:
-    """Fit on ``df``. Comes to the driver: one row per numeric feature and the levels, which become columns."""
+    """Fit on ``df``. Comes to the driver: one row per numeric feature and the levels, which become columns.
+
+    Every level becomes a column; ``max_levels`` lets a caller refuse more of them.
+    """
     stats = {r["feature"]: r for r in numeric_stats(df, numeric).collect()} if numeric else {}
     levels: dict[str, list[str]] = {f: [] for f in categorical}
     if categorical:
-        found = category_levels(df, categorical).limit(MAX_LEVELS + 1).collect()
-        if len(found) > MAX_LEVELS:
-            raise ValueError(f"more than {MAX_LEVELS} category levels cannot become design columns")
+        found = category_levels(df, categorical)
+        found = (found if max_levels is None else found.limit(max_levels + 1)).collect()
+        if max_levels is not None and len(found) > max_levels:
+            raise ValueError(f"more than {max_levels} category levels, in {category_levels(df, categorical).count()}")
         for r in found:
             levels[r["feature"]].append(r["level"])
     return Design(

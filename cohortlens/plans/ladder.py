@@ -273,9 +273,10 @@ def hyperparameter_guard(fitted: DataFrame, frozen: DataFrame) -> DataFrame:
 
 
 def require_frozen(checked: DataFrame) -> None:
-    bad = checked.where(~F.col("matches")).limit(20).collect()
+    wrong = checked.where(~F.col("matches"))
+    bad = wrong.limit(20).collect()
     if bad:
-        raise ValueError(f"fitted models differ from the frozen policy: {bad}")
+        raise ValueError(f"fitted models differ from the frozen policy in {wrong.count()} parameters, among them {bad}")
 
 
 def costs_at_frozen(ladder: Ladder, thresholds: Mapping[str, float], rows: DataFrame, label: str, key: Sequence[str]) -> DataFrame:

@@ -9,6 +9,13 @@ from pyspark.sql import functions as F
 
 # Largest file that fits one binary value
 BINARY_LIMIT = 2_147_483_647
+# Problems named in an error text, which also says how many there are
+LISTED = 50
+
+
+def _listed(named: Sequence[str], found: DataFrame) -> str:
+    rest = found.count() - len(named) if len(named) == LISTED else 0
+    return "; ".join(named) + (f"; and {rest} more" if rest else "")
 
 
 def listing(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
@@ -43,20 +50,27 @@ def manifest_check(files: DataFrame, expected: Mapping[str, str]) -> DataFrame:
 
 def require_manifest(files: DataFrame, expected: Mapping[str, str]) -> None:
     """Error listing the problems of an incomplete folder."""
-    bad = manifest_check(files, expected).limit(50).collect()
+    wrong = manifest_check(files, expected)
+    bad = wrong.limit(LISTED).collect()
     if bad:
-        raise ValueError("; ".join(f"{r['problem']}: {r['name']}" for r in bad))
+        raise ValueError(_listed([f"{r['problem']}: {r['name']}" for r in bad], wrong))
 
 
 def checksums(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """(file, bytes, sha256) of the files that fit one binary value; hashing happens in the tasks."""
+    """(file, bytes, sha256) of every file; hashing happens in the tasks.
+
+    A file that does not fit one binary value gets NULL as its digest, which no check accepts:
+    :func:`row_checksums` has digests for tables of any size.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
-    small = files.where(F.col("length") < BINARY_LIMIT)
-    return small.select(
-        F.element_at(F.split("path", "/"), -1).alias("file"),
-        F.col("length").alias("bytes"),
-        F.sha2("content", 256).alias("sha256"),
+    name, fits = F.element_at(F.split("path", "/"), -1), F.col("length") < BINARY_LIMIT
+    small = files.where(fits).select(
+        name.alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256")
+    )
+    large = files.where(~fits).select(
+        name.alias("file"), F.col("length").alias("bytes"), F.lit(None).cast("string").alias("sha256")
     )
+    return small.unionByName(large)
 
 
 def row_checksums(df: DataFrame) -> DataFrame:
@@ -64,22 +78,27 @@ def row_checksums(df: DataFrame) -> DataFrame:
     row = F.xxhash64(*df.columns)
     return (
         df.select(F.input_file_name().alias("_f"), row.cast("decimal(38,0)").alias("_h"))
-        .groupBy(F.element_at(F.split("_f", "/"), -1).alias("file"))
+        .groupBy("_f")
         .agg(F.count(F.lit(1)).alias("n_rows"), F.sum("_h").cast("string").alias("row_digest"))
+        .select(F.element_at(F.split("_f", "/"), -1).alias("file"), F.col("_f").alias("path"), "n_rows", "row_digest")
     )
 
 
 def verify_checksums(current: DataFrame, recorded: DataFrame) -> DataFrame:
-    """Current files against a recorded manifest: ok, changed, not recorded or gone."""
-    old = recorded.select("file", F.col("bytes").alias("old_bytes"), F.col("sha256").alias("old_sha256"))
+    """Current files against a recorded manifest: ok, changed, not recorded, gone or not verified (no digest)."""
+    now = current.select("file", "bytes", "sha256", F.lit(True).alias("here"))
+    old = recorded.select(
+        "file", F.col("bytes").alias("old_bytes"), F.col("sha256").alias("old_sha256"), F.lit(True).alias("known")
+    )
     same = (F.col("bytes") == F.col("old_bytes")) & (F.col("sha256") == F.col("old_sha256"))
     status = (
-        F.when(F.col("old_sha256").isNull(), "not recorded")
-        .when(F.col("sha256").isNull(), "gone")
+        F.when(F.col("known").isNull(), "not recorded")
+        .when(F.col("here").isNull(), "gone")
+        .when(F.col("sha256").isNull() | F.col("old_sha256").isNull(), "not verified")
         .when(same, "ok")
         .otherwise("changed")
     )
-    return current.join(old, "file", "full").select("file", "bytes", "sha256", status.alias("status"))
+    return now.join(old, "file", "full").select("file", "bytes", "sha256", status.alias("status"))
 
 
 def check_or_record(current: DataFrame, path: str) -> DataFrame:
@@ -90,9 +109,10 @@ def check_or_record(current: DataFrame, path: str) -> DataFrame:
     if not fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(fs_path):
         current.write.json(path)
     checked = verify_checksums(current, spark.read.schema(schema).json(path))
-    bad = checked.where(F.col("status") != "ok").limit(50).collect()
+    wrong = checked.where(F.col("status") != "ok")
+    bad = wrong.limit(LISTED).collect()
     if bad:
-        raise ValueError("; ".join(f"{r['file']}: {r['status']}" for r in bad))
+        raise ValueError(_listed([f"{r['file']}: {r['status']}" for r in bad], wrong))
     return checked
 
 
