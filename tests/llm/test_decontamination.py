@@ -18,13 +18,15 @@ def brute(docs, items, size=13):
         n = min(len(ws), size)
         for s in range(len(ws) - n + 1 if n and i is not None else 0):
             windows.setdefault(tuple(ws[s : s + n]), set()).add(str(i))
+    sizes = {len(w) for w in windows}
     out = []
     for d, t in docs:
         ws, hit, found = split(t), set(), set()
-        for w, ids in windows.items():
-            for s in range(len(ws) - len(w) + 1):
-                if tuple(ws[s : s + len(w)]) == w:
-                    hit |= set(range(s, s + len(w)))
+        for n in sizes:
+            for s in range(len(ws) - n + 1):
+                ids = windows.get(tuple(ws[s : s + n]))
+                if ids:
+                    hit |= set(range(s, s + n))
                     found |= ids
         sha = hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
         out.append((d, len(ws), len(hit), len(found), sha, len(hit) > 0 and 20 * len(hit) >= len(ws)))

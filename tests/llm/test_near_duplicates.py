@@ -60,6 +60,22 @@ def test_chain_without_common_centre(spark):
     assert got == brute(rows, 4)
 
 
+def test_large_group_of_near_copies(spark):
+    """Copies with few to many edits, some sharing edits: far ones stay apart, no link is lost."""
+    rnd = random.Random(4)
+    base = [f"t{i}" for i in range(150)]
+    rows, kin = [], []
+    for i in range(260):
+        words = list(rnd.choice(kin) if kin and rnd.random() < 0.3 else base)
+        for _ in range(rnd.choice([1, 2, 3, 4, 6, 9])):
+            words[rnd.randrange(150)] = f"n{rnd.randrange(4000)}"
+        if rnd.random() < 0.1:
+            kin.append(words)
+        rows.append((i, " ".join(words[: rnd.choice([150, 150, 150, 110])])))
+    got = sorted(map(tuple, near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=4).collect()))
+    assert got == brute(rows, 4)
+
+
 def test_edge_rows(spark):
     rows = [(1, "a b c d e", None), (1, "a b c d e", "x"), (None, "a b c d e", "x"), (None, None, None), (2, "A b c D e", "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string, rep string")
