@@ -146,9 +146,9 @@ def _rate_drift(spark, d):
 
 # --- decomposition over modules (users' week of first event stands in for the module) ------------
 
-_MOD = """mods AS (SELECT event_id, user_id % 5 AS m, split, y, p FROM scored WHERE rung = 'R1'),
+_MOD = """mods AS (SELECT event_id, user_id % 5 AS m, day, split, y, p FROM scored WHERE rung = 'R1'),
   test_mods AS (SELECT 'm' || m AS module, y, p FROM mods WHERE split = 'test' UNION ALL SELECT 'ALL', y, p FROM mods WHERE split = 'test'),
-  counts AS (SELECT coalesce('m' || m, 'ALL') AS module, count(*) FILTER (split = 'validate') AS n_train FROM mods GROUP BY ROLLUP (m))"""
+  counts AS (SELECT coalesce('m' || m, 'ALL') AS module, count(*) FILTER (day < 10) AS n_train, count(*) FILTER (day >= 10 AND day < 15) AS n_validate FROM mods GROUP BY ROLLUP (m))"""
 
 
 def _modules(spark, d):
@@ -159,7 +159,7 @@ def _modules(spark, d):
     )
     metrics = sc.ranking_metrics(sc.score_ladder(named.where(F.col("split") == "test"), ["module"]), ["module"])
     counts = named.groupBy("module").agg(
-        count_where(F.col("split") == "validate").alias("n_train"), F.lit(0).cast("bigint").alias("n_validate")
+        count_where(F.col("day") < 10).alias("n_train"), count_where((F.col("day") >= 10) & (F.col("day") < 15)).alias("n_validate")
     )
     return dr.module_decomposition(metrics, counts, 1000)
 
@@ -167,7 +167,7 @@ def _modules(spark, d):
 @query(
     "module_decomposition",
     f"""WITH {_MOD}, {_rank_sql('test_mods', 'module')} SELECT module, n, r(base_rate) AS base_rate, r(auc_pr) AS auc_pr, r(auc_pr / base_rate) AS ratio,
-          r(brier) AS brier, r(auc_roc) AS auc_roc, n_train, CAST(0 AS BIGINT) AS n_validate, n_train < 1000 AS thin FROM metrics JOIN counts USING (module)""",
+          r(brier) AS brier, r(auc_roc) AS auc_roc, n_train, n_validate, n_train < 1000 AS thin FROM metrics JOIN counts USING (module)""",
 )
 def _decomposition(spark, d):
     return _modules(spark, d)
@@ -243,15 +243,15 @@ def _column_importance(spark, d):
 
 @query(
     "contribution_integrity",
-    f"""WITH {_CONTRIB} SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS unmatched, r(0) AS max_abs_deviation FROM ev""",
+    f"""WITH {_CONTRIB} SELECT count(*) AS n_rows, count(*) FILTER (event_id % 17 = 3) AS unmatched, r(0.125) AS max_abs_deviation FROM ev""",
 )
 def _integrity(spark, d):
+    """Stored probabilities of some rows are off by an eighth, and the contributions of others are lost."""
     long = _contributions(spark, d)
-    score = F.sum("contribution").alias("s")
-    stored = long.groupBy("event_id").agg(score).select(
-        "event_id", (1.0 / (1.0 + F.exp(-(F.col("s") + 0.25)))).alias("p")
-    )
-    return im.contribution_integrity(long, ["event_id"], 0.25, stage(stored, "stored"))
+    stored = long.groupBy("event_id").agg(F.sum("contribution").alias("s"))
+    p = 1.0 / (1.0 + F.exp(-(F.col("s") + 0.25))) + F.when(F.col("event_id") % 19 == 4, 0.125).otherwise(0.0)
+    kept = long.where(F.col("event_id") % 17 != 3)
+    return im.contribution_integrity(kept, ["event_id"], 0.25, stage(stored.select("event_id", p.alias("p")), "stored"))
 
 
 _COEF = "coef AS (SELECT * FROM (VALUES " + ", ".join(f"('{c}', {v}::DOUBLE)" for c, v in COEFFICIENTS.items()) + ") v(col, coefficient))"
@@ -359,11 +359,12 @@ def _performance(spark, d):
 
 @query(
     "prediction_join_checked",
-    """SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS unmatched FROM cohort WHERE split = 'test'""",
+    """SELECT count(*) AS n_rows, count(*) FILTER (id_student % 13 = 5) AS unmatched FROM cohort WHERE split = 'test'""",
 )
 def _prediction_join(spark, d):
     test = cohort_of(spark, d).where(F.col("split") == "test")
     at = ["cutoff", *KEY]
-    preds = stage(test.select(*at, ((F.col("date_registration") + 31) / 366.0).alias("p")), "predictions")
+    scored = test.where(F.col("id_student") % 13 != 5)  # the others have no prediction, which the check must tell
+    preds = stage(scored.select(*at, ((F.col("date_registration") + 31) / 366.0).alias("p")), "predictions")
     joined = membership_flag(test, preds, at, "predicted")
     return joined.agg(F.count(F.lit(1)).alias("n_rows"), count_where(~F.col("predicted")).alias("unmatched"))

@@ -259,16 +259,35 @@ def _membership(spark, d):
 
 @query(
     "leakage_sentinel",
-    """SELECT cutoff, max(e) AS max_event_day, max(s) AS max_submission_day, CAST(0 AS BIGINT) AS late_rows, 'PASS' AS status FROM (
-         SELECT cutoff, date AS e, NULL AS s FROM seen
-         UNION ALL SELECT cutoff, NULL, date_submitted FROM cohort JOIN evidence USING (code_module, code_presentation, id_student)
-                   WHERE date_submitted < cutoff) GROUP BY cutoff""",
+    """SELECT cutoff, max(date) AS max_event_day, CAST(0 AS BIGINT) AS wrong_recency, CAST(0 AS BIGINT) AS wrong_active_days,
+              CAST(0 AS BIGINT) AS wrong_submissions, 'PASS' AS status FROM seen GROUP BY cutoff""",
 )
 def _sentinel(spark, d):
     t = b.typed_tables(spark, d)
-    cohort = cohort_of(spark, d)
-    wide = features.assembled_features(t, cohort, CUTS, b.ASSESSMENT_KINDS)
-    return features.leakage_sentinel(t, cohort, wide)
+    wide = features.assembled_features(t, cohort_of(spark, d), CUTS, b.ASSESSMENT_KINDS)
+    return features.leakage_sentinel(t, wide, CUTS)
+
+
+@query(
+    "leakage_sentinel_poisoned",
+    """SELECT cutoff, cutoff AS max_event_day, count(*) FILTER (id_student % 10 = 3) AS wrong_recency,
+              count(*) FILTER (id_student % 10 = 4) AS wrong_active_days, count(*) FILTER (id_student % 10 = 5) AS wrong_submissions,
+              'FAIL' AS status FROM cohort GROUP BY cutoff""",
+)
+def _poisoned(spark, d):
+    """Features of a tenth each that have seen the cutoff day, one day or one hand-in too many."""
+    t = b.typed_tables(spark, d)
+    wide = features.assembled_features(t, cohort_of(spark, d), CUTS, b.ASSESSMENT_KINDS)
+    at = F.col("id_student") % 10
+    days, works = F.coalesce("active_days", F.lit(0)), F.coalesce("n_assessments_submitted", F.lit(0))
+    bad = wide.withColumns(
+        {
+            "days_since_last_activity": F.when(at == 3, F.lit(-1)).otherwise(F.col("days_since_last_activity")),
+            "active_days": F.when(at == 4, days + 1).otherwise(days),
+            "n_assessments_submitted": F.when(at == 5, works + 1).otherwise(works),
+        }
+    )
+    return features.leakage_sentinel(t, bad, CUTS)
 
 
 # --- aggregates --------------------------------------------------------------------------------
@@ -343,7 +362,9 @@ def _slope(spark, d):
     )
 
 
-PROFILED = ["total_clicks", "active_days", "second_half_click_ratio", "mean_score_submitted", "longest_activity_gap"]
+PROFILED = features.NUMERIC_FEATURES
+EVERY = [*features.NUMERIC_FEATURES, *features.CATEGORICAL_FEATURES]
+_UNPIVOT_ALL = " UNION ALL ".join(f"SELECT cutoff, '{f}' AS feature, CAST({f} AS VARCHAR) AS value FROM feat" for f in EVERY)
 _UNPIVOT_FEAT = " UNION ALL ".join(
     f"SELECT cutoff, split, not_completed, '{f}' AS feature, CAST({f} AS DOUBLE) AS value FROM feat" for f in PROFILED
 )
@@ -373,10 +394,10 @@ def _correlation(spark, d):
 @query(
     "null_share_matrix",
     f"""SELECT feature, r(avg((value IS NULL)::INT) FILTER (cutoff = 45)) AS share_45, r(avg((value IS NULL)::INT) FILTER (cutoff = 90)) AS share_90,
-              r(avg((value IS NULL)::INT) FILTER (cutoff = 180)) AS share_180 FROM ({_UNPIVOT_FEAT}) GROUP BY ALL""",
+              r(avg((value IS NULL)::INT) FILTER (cutoff = 180)) AS share_180 FROM ({_UNPIVOT_ALL}) GROUP BY ALL""",
 )
 def _null_share(spark, d):
-    return profiling.null_share_matrix(features_of(spark, d), PROFILED, "cutoff", CUTS)
+    return profiling.null_share_matrix(features_of(spark, d), EVERY, "cutoff", CUTS)
 
 
 # --- windows -----------------------------------------------------------------------------------
@@ -450,10 +471,13 @@ def _feature_table(spark, d):
 
 @query(
     "feature_row_counts",
-    """SELECT cutoff, count(*) AS cohort_rows, count(*) AS feature_rows, 'PASS' AS status FROM cohort GROUP BY ALL""",
+    """SELECT cutoff, count(*) AS cohort_rows, count(*) FILTER (NOT (cutoff = 90 AND id_student % 13 = 5)) AS feature_rows,
+              CASE WHEN cutoff = 90 THEN 'FAIL' ELSE 'PASS' END AS status FROM cohort GROUP BY ALL""",
 )
 def _feature_row_counts(spark, d):
-    return features.row_count_check(features_of(spark, d), cohort_of(spark, d))
+    """One cutoff has lost the features of some students, which the check must tell."""
+    lost = (F.col("cutoff") == 90) & (F.col("id_student") % 13 == 5)
+    return features.row_count_check(features_of(spark, d).where(~lost), cohort_of(spark, d))
 
 
 # --- ordering ----------------------------------------------------------------------------------

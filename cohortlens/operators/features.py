@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.functions.ranking import with_percent_rank
@@ -146,38 +146,39 @@ def row_count_check(features: DataFrame, cohort: DataFrame) -> DataFrame:
 
 
 def leakage_sentinel(
-    tables: TableSet, cohort: DataFrame, features: DataFrame, key: Sequence[str] = KEY
+    tables: TableSet, features: DataFrame, cutoffs: Sequence[int], key: Sequence[str] = KEY
 ) -> DataFrame:
-    """Largest activity and submission day that can reach a feature, re-derived from raw rows, and
-    the number of feature rows whose recency says otherwise. PASS when both days are before the
-    cutoff and no feature row disagrees.
+    """Feature rows that raw rows before the cutoff cannot explain, per cutoff.
+
+    ``max_event_day`` is the latest activity day that the recency feature implies, ``wrong_recency``,
+    ``wrong_active_days`` and ``wrong_submissions`` count rows whose feature differs from what is recomputed
+    from the raw log and hand-ins before the cutoff. A feature that has seen a later day differs. PASS when the implied
+    day is before the cutoff and nothing differs.
     """
-    cutoffs = sorted(r[0] for r in cohort.select("cutoff").distinct().collect())
-    units = cohort.select("cutoff", *key)
-
-    def last_day(rows: DataFrame, day: str, name: str) -> DataFrame:
-        wide = rows.groupBy(*key).agg(
-            *[F.max(F.when(F.col(day) < d, F.col(day))).alias(f"d{d}") for d in cutoffs]
-        )
-        lists = F.array(*[F.struct(F.lit(d).alias("cutoff"), F.col(f"d{d}").alias(name)) for d in cutoffs])
+
+    def per_cutoff(rows: DataFrame, day: str, values: Mapping[str, Callable[[Column], Column]]) -> DataFrame:
+        before = {d: F.when(F.col(day) < d, F.col(day)) for d in cutoffs}
+        wide = rows.groupBy(*key).agg(*[f(before[d]).alias(f"{n}{d}") for d in cutoffs for n, f in values.items()])
+        lists = F.array(*[F.struct(F.lit(d).alias("cutoff"), *[F.col(f"{n}{d}").alias(n) for n in values]) for d in cutoffs])
         return wide.select(*key, F.explode(lists).alias("r")).select(*key, "r.*")
 
-    events = last_day(tables.activity, "date", "last_event")
+    days = tables.activity.select(*key, "date").distinct()
+    events = per_cutoff(days, "date", {"last_event": F.max, "n_days": F.count})
     handed_in = submissions_with_due(tables.submissions, tables.assessments).where(evidence())
-    works = last_day(handed_in, "date_submitted", "last_submission")
-    recency = features.select("cutoff", *key, "days_since_last_activity")
+    works = per_cutoff(handed_in, "date_submitted", {"n_works": F.count})
     at = [*key, "cutoff"]
-    joined = units.join(events, at, "left").join(works, at, "left").join(recency, at, "left")
-    expected = F.col("cutoff") - 1 - F.col("last_event")
-    ok = (F.coalesce(F.col("max_event_day"), F.col("cutoff") - 1) < F.col("cutoff")) & (
-        F.coalesce(F.col("max_submission_day"), F.col("cutoff") - 1) < F.col("cutoff")
-    ) & (F.col("late_rows") == 0)
-    return (
-        joined.groupBy("cutoff")
-        .agg(
-            F.max("last_event").alias("max_event_day"),
-            F.max("last_submission").alias("max_submission_day"),
-            count_where(~F.col("days_since_last_activity").eqNullSafe(expected)).alias("late_rows"),
-        )
-        .withColumn("status", F.when(ok, "PASS").otherwise("FAIL"))
+    seen = features.select(*at, "days_since_last_activity", "active_days", "n_assessments_submitted")
+    joined = seen.join(events, at, "left").join(works, at, "left")
+    implied = F.col("cutoff") - 1 - F.col("days_since_last_activity")
+    none = F.lit(0)
+    found = joined.groupBy("cutoff").agg(
+        F.max(implied).alias("max_event_day"),
+        count_where(~implied.eqNullSafe(F.col("last_event"))).alias("wrong_recency"),
+        count_where(F.coalesce("active_days", none) != F.coalesce("n_days", none)).alias("wrong_active_days"),
+        count_where(F.coalesce("n_assessments_submitted", none) != F.coalesce("n_works", none)).alias("wrong_submissions"),
     )
+    clean = (F.col("wrong_recency") + F.col("wrong_active_days") + F.col("wrong_submissions") == 0) & (
+        F.coalesce(F.col("max_event_day") < F.col("cutoff"), F.lit(True))
+    )
+    return found.withColumn("status", F.when(clean, "PASS").otherwise("FAIL"))
+
