@@ -70,14 +70,14 @@ def _centred(grouped: GroupedData, y: str, groups: Sequence[str]) -> DataFrame:
     cell = stage(
         grouped.agg(F.count(F.lit(1)).alias("n"), F.avg(y).alias("_mean"), F.var_pop(y).alias("_spread")), "rd-cells"
     )
-    by = list(groups) or [F.lit(0).alias("_all")]
-    means = cell.groupBy(*by).agg((F.sum(F.col("n") * F.col("_mean")) / F.sum("n")).alias("_centre"))
-    keyed = cell if groups else cell.withColumn("_all", F.lit(0))
+    mean = (F.sum(F.col("n") * F.col("_mean")) / F.sum("n")).alias("_centre")
+    if groups:
+        placed = same_keys(cell, cell.groupBy(*groups).agg(mean), list(groups))
+    else:
+        placed = cell.withColumn("_centre", F.lit(cell.agg(mean).first()[0]).cast("double"))
     off = F.col("_mean") - F.col("_centre")
-    return (
-        same_keys(keyed, means, list(groups) or ["_all"])
-        .withColumns({"sy": F.col("n") * off, "syy": F.col("n") * (F.col("_spread") + off * off)})
-        .drop("_all", "_mean", "_spread", "_centre")
+    return placed.withColumns({"sy": F.col("n") * off, "syy": F.col("n") * (F.col("_spread") + off * off)}).drop(
+        "_mean", "_spread", "_centre"
     )
 
 

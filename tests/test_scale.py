@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from cohortlens.catalog import load
 from cohortlens.functions.ranking import budget_flags, exact_quantiles, running_counts, with_percent_rank
 from cohortlens.functions.scalars import key_digest
+from cohortlens.functions.normal import two_sided_p
 from cohortlens.operators import bootstrap as bs
+from cohortlens.operators.discontinuity import jump_table
 from cohortlens.operators.ordering import rank_map
 
 GROUPS = {"hot": 700, "mid": 200, "one": 1}
@@ -111,8 +113,43 @@ def test_no_cartesian_product(spark, sf_dir, name):
     assert "PythonRDD" not in text and "BatchEvalPython" not in text
 
 
-def test_cutoff_and_years_reach_the_scan(spark, sf_dir):
+def test_scan_reads_whole_years_and_few_columns(spark, sf_dir):
     text = load()[0]["activity_volume"](spark, sf_dir)._jdf.queryExecution().toString()
-    assert "PushedFilters" in text and "LessThan(l_shipdate" in text
+    assert "PushedFilters" in text and "LessThan(l_shipdate" not in text
     scan = [line for line in text.splitlines() if "ReadSchema" in line and "l_shipdate" in line][0]
     assert "l_comment" not in scan and "l_extendedprice" not in scan.split("ReadSchema")[1]
+
+
+def test_jump_errors_do_not_depend_on_the_outcome_level(spark):
+    """A constant added to the outcome changes neither the jump nor its errors."""
+    rng = random.Random(3)
+    data = [(float(i % 41), rng.gauss(0, 1) + (i % 41 >= 20)) for i in range(2000)]
+    df = spark.createDataFrame(data, "x double, y double")
+    found = [
+        jump_table(df.withColumn("y", F.col("y") + F.lit(shift)), "x", "y", [20.0], [10.0]).first().asDict()
+        for shift in (0.0, 1e8)
+    ]
+    for name, value in found[0].items():
+        assert found[1][name] == pytest.approx(value, rel=1e-5), name
+
+
+def test_null_group_keeps_its_rows(spark):
+    df = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", 2.0)], "g string, v double")
+    got = {r["g"]: (r["n_total"], r["n_below"]) for r in running_counts(df, ["g"], "v", {"n": F.lit(1)}).where("v > 1").collect()}
+    assert got == {None: (2, 1), "a": (1, 0)}
+    assert {r["g"]: r["q"] for r in exact_quantiles(df, ["g"], "v", [1], 2, "q").collect()} == {None: [2.0], "a": [2.0]}
+
+
+def test_bootstrap_refuses_equal_keys(spark):
+    df = spark.createDataFrame([(1, 1), (1, 1), (2, 1)], "id long, y int")
+    with pytest.raises(Exception, match="not unique"):
+        bs.numbered(df, [], "id").collect()
+
+
+def test_two_sided_p(spark):
+    from math import erfc, sqrt
+
+    zs = [0.0, 0.3, -1.0, 1.96, 2.82, 2.84, -5.0, 9.0, 30.0]
+    got = spark.createDataFrame([(z,) for z in zs], "z double").select("z", two_sided_p(F.col("z")).alias("p")).collect()
+    for r in got:
+        assert r["p"] == pytest.approx(erfc(abs(r["z"]) / sqrt(2)), rel=1e-9)
