@@ -99,12 +99,18 @@ def running_counts(
 
 
 def with_percent_rank(df: DataFrame, groups: Sequence[str], value: str, out: str) -> DataFrame:
-    """Percent rank of ``value`` inside each group; rows without a value get NULL and do not count."""
+    """Percent rank of ``value`` inside each group; rows without a value get NULL and do not count.
+
+    Those rows stay out of the join, where they would meet on one key. The ladder is written out, so Spark
+    broadcasts it when its real size allows; ``df`` is read three times and should be a stored table.
+    """
     ladder = running_counts(df, groups, value, {"n": F.lit(1)})
     rank = F.when(F.col("n_total") <= 1, F.lit(0.0)).otherwise(
         F.col("n_below") / (F.col("n_total") - 1)
     )
-    return same_keys(df, ladder.select(*groups, value, rank.alias(out)), [*groups, value], "left")
+    ranks = stage(ladder.select(*groups, value, rank.alias(out)), "ranks")
+    ranked = same_keys(df.where(F.col(value).isNotNull()), ranks, [*groups, value])
+    return ranked.unionByName(df.where(F.col(value).isNull()).withColumn(out, F.lit(None).cast("double")))
 
 
 def exact_quantiles(

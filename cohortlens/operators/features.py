@@ -66,8 +66,11 @@ def assembled_features(
     key, so the row count is that of the cohort.
     """
     at = [*key, "cutoff"]
-    volume = volume_and_trajectory(tables.activity, key, cutoffs)
-    range_ = breadth(tables.activity, tables.sites, key, cutoffs, assessment_types)
+    # The log is read once, for one row per unit, day and item; both collapses start from there.
+    early = tables.activity.where(F.col("date") < max(cutoffs)).groupBy(*key, "date", "id_site")
+    log = stage(early.agg(F.sum("sum_click").alias("sum_click")), "activity")
+    volume = volume_and_trajectory(log, key, cutoffs)
+    range_ = breadth(log, tables.sites, key, cutoffs, assessment_types)
     handed_in = submissions_with_due(tables.submissions, tables.assessments)
     work = submission_stats(handed_in, key, cutoffs)
     due = due_counts(tables.assessments, group, cutoffs)
@@ -112,7 +115,7 @@ def assembled_features(
 def with_percentiles(assembled: DataFrame, group: Sequence[str] = GROUP) -> DataFrame:
     """Rank of activity and of score among the cohort of the same group and cutoff."""
     by = ["cutoff", *group]
-    ranked = with_percent_rank(assembled, by, "total_clicks", "clicks_percentile")
+    ranked = stage(with_percent_rank(assembled, by, "total_clicks", "clicks_percentile"), "ranked")
     return with_percent_rank(ranked, by, "mean_score_submitted", "score_percentile")
 
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortlens.functions.session import stage
 from cohortlens.operators.activity import reaching
 
 # Fixed values
@@ -21,11 +22,15 @@ def evidence(kind: str | Column = "assessment_type", banked: str | Column = "is_
 
 
 def submissions_with_due(submissions: DataFrame, assessments: DataFrame) -> DataFrame:
-    """Submissions with kind, group and due day of their assessment (left join)."""
+    """Submissions with kind, group and due day of their assessment (left join).
+
+    All submissions share a few assessments. The list is written out, so Spark knows its real size: a small
+    one is broadcast, and only a large one, with its many keys, is dealt out by key.
+    """
     meta = assessments.select(
         "id_assessment", "code_module", "code_presentation", "assessment_type", F.col("date").alias("due_date")
     )
-    return submissions.join(meta, "id_assessment", "left")
+    return submissions.join(stage(meta, "assessments"), "id_assessment", "left")
 
 
 STATS = [
@@ -71,9 +76,10 @@ def submission_stats(
 
 
 def due_counts(assessments: DataFrame, group: Sequence[str], cutoffs: Sequence[int]) -> DataFrame:
-    """Number of non-exam assessments due before each cutoff, per group and cutoff."""
+    """Number of non-exam assessments due before each cutoff, per group and cutoff; written out for its size."""
     rows = assessments.where(F.col("assessment_type") != EXAM)
-    return reaching(rows, "date", cutoffs).groupBy(*group, "cutoff").agg(F.count(F.lit(1)).alias("n_due"))
+    due = reaching(rows, "date", cutoffs).groupBy(*group, "cutoff").agg(F.count(F.lit(1)).alias("n_due"))
+    return stage(due, "due")
 
 
 def due_not_submitted(
