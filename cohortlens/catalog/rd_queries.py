@@ -230,6 +230,58 @@ def _rd_population(spark, d):
     )
 
 
+_STUDY = f"{_FIRST}, rows_in AS (SELECT c, h, score AS x, not_completed::DOUBLE AS y FROM rdpop, (VALUES {{specs}}) s(c, h))"
+_STUDY_COLUMNS = """r(c) AS cutoff, r(h) AS bandwidth, n_left, n_right, r(estimate) AS estimate, r(se) AS se, r(bias_corrected) AS bias_corrected, r(robust_se) AS robust_se"""
+
+
+def _study_sql(cutoffs: list[float], bandwidths: list[float]) -> str:
+    specs = ", ".join(f"({c}::DOUBLE, {h}::DOUBLE)" for c in cutoffs for h in bandwidths)
+    return f"WITH {_STUDY.format(specs=specs)}, {_fit_sql('rows_in')} SELECT {_STUDY_COLUMNS} FROM est"
+
+
+def _study(spark, d, cutoffs: list[float], bandwidths: list[float]):
+    return rd.jump_table(_population(spark, d), "score", "not_completed", cutoffs, bandwidths)
+
+
+@query("rd_study_bandwidths", _study_sql([rd.PASS_MARK], rd.BANDWIDTHS[2:]))
+def _study_bandwidths(spark, d):
+    """Jump of the outcome at the pass mark of the first assessment."""
+    return _study(spark, d, [rd.PASS_MARK], rd.BANDWIDTHS[2:])
+
+
+@query("rd_study_placebo", _study_sql(rd.PLACEBO_CUTOFFS, [rd.PRIMARY_BANDWIDTH]))
+def _study_placebo(spark, d):
+    return _study(spark, d, rd.PLACEBO_CUTOFFS, [rd.PRIMARY_BANDWIDTH])
+
+
+@query(
+    "rd_study_donut",
+    f"""WITH {_FIRST}, rows_in AS (SELECT 40::DOUBLE AS c, 15::DOUBLE AS h, score AS x, not_completed::DOUBLE AS y FROM rdpop WHERE abs(score - 40) > 1),
+        {_fit_sql('rows_in')} SELECT {_STUDY_COLUMNS}, (SELECT count(*) FROM rdpop WHERE abs(score - 40) <= 1) AS rows_dropped,
+        (SELECT count(*) FROM rdpop WHERE abs(score - 40) > 1) AS rows_kept FROM est""",
+)
+def _study_donut(spark, d):
+    return rd.donut_table(_population(spark, d), "score", "not_completed", rd.PASS_MARK, [15.0])
+
+
+@query(
+    "rd_study_balance",
+    f"""WITH {_FIRST}, cov AS (SELECT p.score AS x, i.* FROM rdpop p JOIN info i USING (code_module, code_presentation, id_student)),
+        rows_in AS (SELECT 40::DOUBLE AS c, 15::DOUBLE AS h, covariate, level_name, x, y FROM (
+          SELECT 'num_of_prev_attempts' AS covariate, '' AS level_name, x, num_of_prev_attempts::DOUBLE AS y FROM cov
+          UNION ALL SELECT 'studied_credits', '', x, studied_credits FROM cov
+          UNION ALL SELECT 'gender', lv, x, (gender = lv)::INT::DOUBLE FROM cov, (SELECT DISTINCT gender AS lv FROM cov)
+          UNION ALL SELECT 'age_band', lv, x, (age_band = lv)::INT::DOUBLE FROM cov, (SELECT DISTINCT age_band AS lv FROM cov))),
+        {_fit_sql('rows_in', 'c, h, covariate, level_name')} SELECT covariate, level_name, r(estimate) AS estimate, r(se) AS se,
+          r(bias_corrected) AS bias_corrected, r(robust_se) AS robust_se, n_left, n_right FROM est""",
+)
+def _study_balance(spark, d):
+    found = rd.covariate_balance(
+        _population(spark, d), "score", ["num_of_prev_attempts", "studied_credits"], ["gender", "age_band"], rd.PASS_MARK, 15.0
+    )
+    return found.select("covariate", "level_name", "estimate", "se", "bias_corrected", "robust_se", "n_left", "n_right")
+
+
 @query(
     "rd_first_assessment_listing",
     f"WITH {_FIRST} SELECT code_module, code_presentation, id_assessment, date AS due_date, r(weight) AS weight FROM firsts",
