@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.functions.session import stage
 from cohortlens.llm.membership import Membership, membership
-from cohortlens.llm.textbatch import ALNUM, Words, chunks, lists, run_hashes, utf8, words
+from cohortlens.llm.textbatch import ALNUM, Words, chunks, lists, parts, run_hashes, utf8, words
 
 #: Words of context around a match are kept in pieces of about this many words.
 PIECE = 256
@@ -31,7 +31,7 @@ def _plain(buf: np.ndarray, w: Words, i: int, j: int) -> str:
 
 def _windows(window: int, shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             buf, bounds = utf8(batch.column("text"))
             for i, j in chunks(bounds, 1 << 18):
                 b = bounds[i : j + 1]
@@ -69,7 +69,7 @@ def _matches(sizes: list[int], reach: int, known: Membership):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = TaskContext.get().partitionId() << 40
-        for batch in batches:
+        for batch in parts(batches):
             buf, bounds = utf8(batch.column("text"))
             for i, j in chunks(bounds):
                 b = bounds[i : j + 1]

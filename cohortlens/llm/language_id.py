@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.llm.textbatch import chunks, utf8
+from cohortlens.llm.textbatch import chunks, parts, utf8
 
 BUCKETS, ORDERS, SMOOTHING = 1 << 15, (1, 2, 3), 0.5
 #: 256 classes make a matrix of 32 MB, the most that is sent to an executor.
@@ -66,7 +66,7 @@ def _points(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     table: dict[str, np.ndarray] = {}
-    for batch in batches:
+    for batch in parts(batches):
         langs = np.array(batch.column("lang").to_pylist(), object)
         for i, j, points, bounds in _points(batch.column("text")):
             grams, row = _grams(points, bounds)
@@ -131,7 +131,7 @@ def predict_languages(
         langs, weights, prior = shared.value
         names = np.array([*langs, UNDETERMINED], object)
         columns = [np.ascontiguousarray(weights[:, k]) for k in range(len(langs))]
-        for batch in batches:
+        for batch in parts(batches):
             text = batch.column("_text")
             best = np.full(batch.num_rows, len(langs))
             score = np.zeros(batch.num_rows)

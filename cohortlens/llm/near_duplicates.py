@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from cohortlens.functions.session import stage
 from cohortlens.llm.components import components
 from cohortlens.llm.membership import Membership, membership
-from cohortlens.llm.textbatch import SPACED, chunks, distinct_sets, lists, mix, set_hashes, utf8, words
+from cohortlens.llm.textbatch import SPACED, chunks, distinct_sets, lists, mix, parts, set_hashes, utf8, words
 
 _U = np.uint64
 REGISTERS, BANDS, MANTISSA = 128, 32, 10
@@ -67,10 +67,10 @@ def sketches(u: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 def band_keys(registers: np.ndarray) -> np.ndarray:
     per = REGISTERS // BANDS
-    parts = registers.astype(_U).reshape(registers.shape[0], BANDS, per)
-    h = np.broadcast_to(np.arange(1, BANDS + 1, dtype=_U), parts.shape[:2]).copy()
+    split = registers.astype(_U).reshape(registers.shape[0], BANDS, per)
+    h = np.broadcast_to(np.arange(1, BANDS + 1, dtype=_U), split.shape[:2]).copy()
     for j in range(per):
-        h = mix(h * _U(0x9FB21C651E98DF25) + parts[:, :, j])
+        h = mix(h * _U(0x9FB21C651E98DF25) + split[:, :, j])
     return h.view(np.int64)
 
 
@@ -85,7 +85,7 @@ def collision_rate(n: np.ndarray) -> np.ndarray:
 
 def _signatures(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             buf, bounds = utf8(batch.column("text"))
             for i, j in chunks(bounds):
                 b = bounds[i : j + 1]
@@ -115,7 +115,7 @@ def _signatures(shingle: int):
 
 def _sets(shingle: int, wanted: Membership):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             found = np.flatnonzero(wanted.probe(mix(ids.astype(np.int64).view(_U))))
             if not found.size:

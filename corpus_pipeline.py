@@ -1,7 +1,8 @@
 """Corpus pipeline: each stage calls one operator of ``cohortlens.llm`` on all its predecessor kept.
 
 The columns of documents pass through every stage, extra ones too; the last stage adds what the mix says
-about a document. Ids that are NULL are never dropped by a decision on ids.
+about a document. Ids that are NULL are never dropped by a decision on ids. Ids to drop are written out first, so
+Spark knows their real size when it chooses between a broadcast and dealing out the texts.
 """
 
 from __future__ import annotations
@@ -37,14 +38,14 @@ def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: the one with the smallest doc_id."""
-    gone = near_duplicates(docs).where("not kept").select("doc_id").distinct()
+    gone = stage(near_duplicates(docs).where("not kept").select("doc_id").distinct(), "copies")
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which less than a twentieth of the words lie in benchmark passages."""
     found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    gone = found.where("contaminated").select("doc_id").distinct()
+    gone = stage(found.where("contaminated").select("doc_id").distinct(), "contaminated")
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
