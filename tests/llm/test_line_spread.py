@@ -48,3 +48,21 @@ def test_edge_rows(spark):
     # Equal documents keep their first lines; a NULL id comes first.
     assert sorted((r["doc_id"] or 0, r["text"]) for r in got.collect()) == [(0, "a b"), (1, "c d"), (1, "c d"), (1, "c d")]
     assert dedup_lines(df.where("false")).collect() == []
+
+
+def test_long_lines_by_sites_and_documents(spark):
+    """A long line that repeats inside one source, on a few sources or without a source stays at its first place only."""
+    texts = {c: " ".join(f"{c}{k}" for k in range(50)) for c in "abcdef"}
+    short = " ".join(f"g{k}" for k in range(49))
+    rows = [(i, f"{texts['a']}\nown {i}", "hot") for i in range(5)]  # five documents of one site
+    rows += [(10 + i, f"{texts['b']}\nown {i}", f"s{i}") for i in range(3)]  # three sites
+    rows += [(20 + i, f"{texts['c']}\nown {i}", None) for i in range(4)]  # four documents without a site
+    rows += [(30 + i, f"{texts['d']}\nown {i}", "hot") for i in range(3)]  # three documents of one site: not enough
+    rows += [(40, f"{texts['e']}\n" * 6 + "own", "hot")]  # six times in one document: not enough
+    rows += [(50, f"{texts['f']}\nown", "hot")] * 6  # rows of one document: not enough
+    rows += [(60 + i, f"{short}\nown {i}", f"s{i % 9}") for i in range(20)]  # a shorter line below the spread
+    rows += [(90 + i, "字" * 100 + f"和 字\nown {i}", "hot") for i in range(4)]  # a script without blanks
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    got = {r["doc_id"]: r["n_removed"] for r in dedup_lines(df, long_sites=3, long_docs=4).collect()}
+    assert {i for i, n in got.items() if n} == {1, 2, 3, 4, 11, 12, 21, 22, 23, 91, 92, 93} and max(got.values()) == 1
+    assert not any(r["n_removed"] for r in dedup_lines(df).collect())

@@ -64,3 +64,10 @@ def test_extra_and_empty(spark):
             docs = step(spark, docs, SF)
             assert docs.columns[:7] == ["doc_id", "text", "lang", "source", "n_chars", "weight", "kept"]
         assert [r["doc_id"] for r in docs.collect()] in ([], [1])
+
+
+def test_long_passage_of_one_hot_source(spark):
+    passage = " ".join(f"w{k}" for k in range(60))
+    docs = spark.createDataFrame([(i, f"own text {i}\n{passage}", "en", "hot", 300) for i in range(6)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.without_boilerplate(spark, docs, SF).collect()}
+    assert got[0] == f"own text 0\n{passage}" and [got[i] for i in range(1, 6)] == [f"own text {i}" for i in range(1, 6)]
