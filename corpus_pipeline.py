@@ -32,7 +32,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without repeated lines; those with no word left but for such lines go."""
-    cut = dedup_lines(docs, long_sites=LONG_SITES, long_docs=LONG_DOCS)
+    cut = dedup_lines(docs, long_sites=LONG_SITES, long_docs=LONG_DOCS, one_word=True)
     left = cut.where((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     changed = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return left.withColumn("n_chars", changed).select(docs.columns)

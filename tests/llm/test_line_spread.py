@@ -66,3 +66,12 @@ def test_long_lines_by_sites_and_documents(spark):
     got = {r["doc_id"]: r["n_removed"] for r in dedup_lines(df, long_sites=3, long_docs=4).collect()}
     assert {i for i, n in got.items() if n} == {1, 2, 3, 4, 11, 12, 21, 22, 23, 91, 92, 93} and max(got.values()) == 1
     assert not any(r["n_removed"] for r in dedup_lines(df).collect())
+
+
+def test_lines_of_one_word(spark):
+    """Without blanks inside, a line is still counted; a blank line never is."""
+    rows = [(i, f"\n  \nImprint\n版权所有翻印必究\nown{i}", f"s{i}") for i in range(10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in dedup_lines(df, one_word=True).collect()}
+    assert got == {0: (rows[0][1], 0)} | {i: (f"\n  \nown{i}", 2) for i in range(1, 10)}
+    assert sum(r["n_removed"] for r in dedup_lines(df, 11, one_word=True).collect()) == 0

@@ -71,3 +71,9 @@ def test_long_passage_of_one_hot_source(spark):
     docs = spark.createDataFrame([(i, f"own text {i}\n{passage}", "en", "hot", 300) for i in range(6)], "doc_id long, text string, lang string, source string, n_chars long")
     got = {r["doc_id"]: r["text"] for r in corpus_pipeline.without_boilerplate(spark, docs, SF).collect()}
     assert got[0] == f"own text 0\n{passage}" and [got[i] for i in range(1, 6)] == [f"own text {i}" for i in range(1, 6)]
+
+
+def test_menu_line_of_one_word(spark):
+    docs = spark.createDataFrame([(i, f"own text {i}\nImprint", "en", f"s{i}", 18) for i in range(10)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.without_boilerplate(spark, docs, SF).collect()}
+    assert got == {0: "own text 0\nImprint"} | {i: f"own text {i}" for i in range(1, 10)}
