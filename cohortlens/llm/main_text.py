@@ -2,9 +2,10 @@
 
 The page is cut into text blocks, each under its root-to-leaf path of tags. Per path, text length and
 punctuation are summed and set against the number of blocks; both ratios are smoothed along the
-page, fused, and lifted to every ancestor. The content root is the deepest element that keeps nearly all of the
-fused weight; paths under it whose fused ratio is not below the threshold, or that stand between such paths,
-are content. Elements that are never article text (menus, forms, scripts, adverts, notices, comments) are
+page, fused, and lifted to every ancestor. The core is the deepest element that keeps most of the
+fused weight; paths under it whose fused ratio is not below the threshold are content. So are blocks beside it whose
+path passes the threshold by its own ratio, headings before, and what stands between. Where the core is an article,
+other articles count by the same threshold and the rest of the page does not. Elements that are never article text (menus, forms, scripts, adverts, notices, comments) are
 known by tag, role and class words and carry no weight.
 """
 
@@ -20,9 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: The content root keeps at least this share of the page's fused weight.
+#: The core keeps at least this share of the page's fused weight.
 ROOT_SHARE = 0.6
-#: A path is content from this share of the root's mean fused ratio on; inside an article, from zero on.
+#: A path is content from this share of the core's mean fused ratio on; inside an article, from zero on.
 PATH_SHARE = 0.1
 #: How much more text counts inside an element that the page itself calls its article or main part.
 NAMED_FACTOR = 4.0
@@ -204,13 +205,35 @@ def extract(page: str) -> str:
     root = up or root
     mine = np.array([root in b.path for b in found])
     sizes = np.array([len(b.text) for b in found], float)
-    floor = 0.0 if up else PATH_SHARE * float(np.average(fused[mine], weights=sizes[mine]))
-    good = {p for p, f, inside in zip(paths, fused, mine) if inside and f >= floor}
-    at = [k for k, (p, inside) in enumerate(zip(paths, mine)) if inside and p in good]
+    # Beside the core a path counts by itself, not by the text next to it.
+    own = ratio * (1 + punctuation)
+    passes = own >= PATH_SHARE * float(np.average(own[mine], weights=sizes[mine]))
+    if up:
+        around = _ancestors(root, elements)
+        holding = {e for b, ok in zip(found, passes) if ok for e in b.path if e in named} - around
+        content = mine | np.array([not holding.isdisjoint(b.path) for b in found])
+        # A heading outside belongs to the article if both are in the page's main part.
+        reach = np.array([not (named & around).isdisjoint(b.path) for b in found]) | content
+        at = np.flatnonzero(content).tolist()
+    else:
+        floor = PATH_SHARE * float(np.average(fused[mine], weights=sizes[mine]))
+        good = {p for p, f, inside in zip(paths, fused, mine) if inside and f >= floor}
+        at = [k for k, p in enumerate(paths) if (p in good if mine[k] else passes[k])]
+        reach = np.ones(len(found), bool)
+        content = reach
     # A heading belongs to what follows it.
-    while at and at[0] and mine[at[0] - 1] and paths[at[0] - 1][-1:] in HEADINGS:
-        at.insert(0, at[0] - 1)
-    return "\n\n".join(found[k].text for k in range(at[0], at[-1] + 1) if mine[k]) if at else ""
+    first = at[0] if at else 0
+    while first and reach[first - 1] and paths[first - 1][-1:] in HEADINGS:
+        first -= 1
+    return "\n\n".join(found[k].text for k in range(first, at[-1] + 1) if content[k] or k < at[0]) if at else ""
+
+
+def _ancestors(element: int, elements: list[tuple[int, str]]) -> set[int]:
+    out = set()
+    while element:
+        element = elements[element][0]
+        out.add(element)
+    return out
 
 
 def _extract_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -39,3 +39,17 @@ def test_edge_rows(spark):
     df = spark.createDataFrame([(1, "u", None, "x"), (1, "u", "", "x"), (None, None, "<p>hello", None)], "page_id long, url string, html string, text string")
     assert sorted(map(tuple, main_text(df).collect()), key=str) == sorted([(1, "u", ""), (1, "u", ""), (None, None, "hello")], key=str)
     assert main_text(df.where("false")).collect() == []
+
+
+def test_text_outside_the_largest_branch():
+    long = "<p>A long sentence, with marks, of the story. It goes on; and on, and on.</p>"
+    line = "A long sentence, with marks, of the story. It goes on; and on, and on."
+    body = "<html><body>{}<div>Imprint</div></body></html>"
+    assert extract(body.format(f"<div><h1>Title</h1><div>{long * 5}</div></div>")) == "\n\n".join(["Title"] + [line] * 5)
+    # 65 and 35 % in two containers, also with other tags inside the smaller one
+    for other in (long * 7, "<section>" + long * 7 + "</section>"):
+        for page in (f"<div><div>{long * 13}</div><div>{other}</div></div>", f"<div><div>{other}</div><div>{long * 13}</div></div>"):
+            assert extract(body.format(page)).split("\n\n") == [line] * 20
+    two = f"<main><h1>Title</h1><article>{long * 13}</article><p>between</p><article><h2>Next</h2>{long * 3}</article></main>"
+    assert extract(body.format(two)) == "\n\n".join(["Title"] + [line] * 13 + ["Next"] + [line] * 3)
+    assert extract(body.format(two.replace("main", "div"))) == "\n\n".join([line] * 13 + ["Next"] + [line] * 3)
