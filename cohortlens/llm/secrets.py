@@ -2,7 +2,7 @@
 
 One pass over the texts finds the base spans and weak parts: login names, opaque strings and endpoints that
 mean nothing alone. An interval join then brings together parts of one document that lie within ``SCOPE``
-characters: parts go to bins of that width, each weak part meets its own and the two neighbouring bins.
+characters: parts go to every bin of that width that they touch, each weak part meets its own and the two neighbouring bins.
 A weak part is reported only when the parts that complete it are there.
 """
 
@@ -30,7 +30,7 @@ _ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _LOGIN = re.compile(r"""(?ai:\b(?:user(?:name)?|login|client_id)["']?)\x20?[:=]\x20?["']?([A-Za-z0-9._@-]{3,64})""")
-_OPAQUE = re.compile(r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/]{32,88}={0,2}(?![A-Za-z0-9+/=_-])")
+_OPAQUE = re.compile(r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/_-]{32,}+={0,2}+(?![A-Za-z0-9+/=_-])")
 _ENDPOINT = re.compile(r"(?a)\b[a-z][a-z0-9+.-]{1,15}://[A-Za-z0-9.-]+(?::[0-9]{2,5})?|\b[a-z0-9-]+(?:\.[a-z0-9-]+)+:[0-9]{2,5}\b")
 
 
@@ -70,9 +70,10 @@ def linked_parts(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
     A login needs a secret near, an opaque string needs an id, an endpoint needs both.
     """
     roles = F.create_map(*[F.lit(x) for pair in ROLES.items() for x in pair])
-    rows = parts.withColumn("role", roles[F.col("kind")]).withColumn("bin", F.floor(F.col("start") / scope))
-    weak = rows.where(F.col("kind").isin(*WEAK_KINDS)).withColumn("bin", F.explode(F.sequence(F.col("bin") - 1, F.floor(F.col("end") / scope) + 1)))
-    near = rows.where("role != 'place'").select(
+    rows = parts.withColumn("role", roles[F.col("kind")])
+    low, high = F.floor(F.col("start") / scope), F.floor(F.col("end") / scope)
+    weak = rows.where(F.col("kind").isin(*WEAK_KINDS)).withColumn("bin", F.explode(F.sequence(low - 1, high + 1)))
+    near = rows.where("role != 'place'").withColumn("bin", F.explode(F.sequence(low, high))).select(
         "key", "bin", F.col("role").alias("other"), F.col("start").alias("from"), F.col("end").alias("to")
     )
     close = (F.col("from") <= F.col("end") + scope) & (F.col("start") <= F.col("to") + scope)

@@ -50,3 +50,19 @@ def test_edge_rows(spark):
     df = spark.createDataFrame([(1, "token=abcdef", 1)] * 2 + [(None, None, 1)], "doc_id long, text string, key int")
     assert sorted(len(r["spans"]) for r in find_secrets(df).collect()) == [0, 1, 1]
     assert find_secrets(df.where("false")).collect() == []
+
+
+def test_long_parts(spark):
+    """Parts over several bins are linked by their end as well; long and base64url strings are candidates."""
+    jwt, key, url = "Ab1." * 225, "aB3" * 40, "wJalrXUtn_FEMI7K7MDENG-bPxRfiCYEXAMPLE"
+    texts = {
+        1: f"token={jwt} user: alice",
+        2: f"{'0123456789abcdef' * 60} login=bob",
+        3: f"user=carol {key} and {url}",
+        4: f"token={jwt}{' x' * 201} user: alice",
+    }
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: [(s["kind"], texts[r["doc_id"]][s["start"] : s["end"]]) for s in r["spans"]] for r in find_secrets(df).collect()}
+    assert ("login", "alice") in got[1] and ("login", "bob") in got[2]
+    assert got[3] == [("login", "carol"), ("opaque", key), ("opaque", url)]
+    assert [k for k, _ in got[4]] == ["assign"]
