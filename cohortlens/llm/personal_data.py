@@ -43,10 +43,12 @@ _DOTTED = re.compile(r"[0-9]++(?:\.[0-9]++)++")
 _RUN = re.compile(r"[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_DIALLED = re.compile(r"\+?[0-9(][0-9() .-]{5,18}[0-9]")
-_LOGIN = re.compile(r"[A-Za-z0-9._%+-]{1,64}(?::[^\s@/]{1,64})?@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*")
-_NUMBER = re.compile(r"(?: ?(?:number|no\.?|nr\.?))? ?[:=#]? ?([A-Z]{0,2}[0-9](?:[ -]?[A-Z0-9]){5,33})(?![A-Za-z0-9])")
-_BOUNDED = re.compile(r"[A-Z0-9]{2}(?: ?[A-Z0-9]){10,32}(?![A-Za-z0-9])")
+_DIALLED = re.compile(r"\+?[0-9(][0-9() .-]{5,}[0-9]")
+_USER = re.compile(r"[A-Za-z0-9._%+-]++")
+_PASSWORD = re.compile(r"[^\s@/]*+")
+_HOST = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*+")
+_NUMBER = re.compile(r"(?: ?(?ai:number|no\.?|nr\.?))? ?[:=#]? ?([A-Z]{0,2}[0-9](?:[ -]?[A-Z0-9]){5,33})(?![A-Za-z0-9])")
+_IBAN = {c: re.compile(rf"{c}(?: ?[A-Z0-9]){{{n - 2}}}(?![A-Za-z0-9])") for c, n in IBAN_LENGTH.items()}
 
 
 def luhn(digits: str) -> bool:
@@ -63,12 +65,46 @@ def iban(code: str) -> bool:
     return int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1
 
 
+def _iban_at(text: str, at: int) -> re.Match[str] | None:
+    """A valid number of exactly its country's length, whatever follows after a blank."""
+    pattern = _IBAN.get(text[at : at + 2])
+    m = pattern and pattern.match(text, at)
+    return m if m and iban(m[0].replace(" ", "")) else None
+
+
+class _Logins:
+    """Ends of user[:password]@host from rising positions of one text; no stretch is read twice."""
+
+    def __init__(self, text: str) -> None:
+        self.text, self.run, self.hosts = text, 0, {}
+
+    def end(self, at: int) -> int:
+        """0 if there is none at ``at``."""
+        user = _USER.match(self.text, at)
+        if not user:
+            return 0
+        stop = user.end()
+        if self.text[stop : stop + 1] == ":":
+            if stop + 1 >= self.run:
+                self.run = _PASSWORD.match(self.text, stop + 1).end()
+            if self.run == stop + 1:
+                return 0
+            stop = self.run
+        if self.text[stop : stop + 1] != "@":
+            return 0
+        if stop not in self.hosts:
+            host = _HOST.match(self.text, stop + 1)
+            self.hosts[stop] = host.end() if host else 0
+        return self.hosts[stop]
+
+
 def _byte(digits: str) -> bool:
     value = digits.lstrip("0")
     return len(value) <= 3 and int(value or 0) <= 255
 
 
 def automaton() -> Any:
+    """Anchors in small letters, to be looked for in the text of :func:`_lowered`."""
     found = ahocorasick.Automaton()
 
     def add(word: str, what: str) -> None:
@@ -81,21 +117,26 @@ def automaton() -> Any:
         for gap in ("", " ", "-"):
             add(f"{a}{gap}{b}", "pair")
     for country, d in product(IBAN_LENGTH, _DIGITS):
-        add(country + d, "country")
+        add(country.lower() + d, "country")
     for what, words in (("scheme", SCHEMES), ("cue", CUES)):
         for word in words:
-            for form in {word, word.upper(), word.capitalize()}:
-                add(form, what)
+            add(word, what)
     found.make_automaton()
     return found
 
 
+def _lowered(text: str) -> str:
+    """ASCII letters lowered, so that every place stays the same."""
+    return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+
+
 def scan(text: str, anchors: Any) -> list[tuple[str, int, int]]:
     """Spans (kind, start, end) in code points, end exclusive, in the order of KINDS, then start."""
     out: list[tuple[str, int, int]] = []
     added: list[tuple[str, int, int]] = []
     mail = last_at = dotted = chain = 0
-    for last, (what, width) in anchors.iter(text):
+    logins = _Logins(text)
+    for last, (what, width) in anchors.iter(_lowered(text)):
         at = last - width + 1
         if what == "at":
             lo = max(mail, last_at)
@@ -129,16 +170,17 @@ def scan(text: str, anchors: Any) -> list[tuple[str, int, int]]:
                 out.append(("phone", *m.span()))
         elif what == "scheme":
             person = text[at : last + 1].lower() in ("tel:", "sms:")
-            m = (_DIALLED if person else _LOGIN).match(text, last + 1)
-            if m:
-                added.append(("address", at, m.end()))
+            m = person and _DIALLED.match(text, last + 1)
+            end = m.end() if m else 0 if person else logins.end(last + 1)
+            if end:
+                added.append(("address", at, end))
         elif what == "country":
-            m = (at == 0 or not text[at - 1].isalnum()) and _BOUNDED.match(text, at)
-            if m and iban(m[0].replace(" ", "")):
+            m = (at == 0 or not text[at - 1].isalnum()) and _iban_at(text, at)
+            if m:
                 added.append(("account", *m.span()))
         elif at == 0 or not text[at - 1].isalnum():
             m = _NUMBER.match(text, last + 1)
-            if m and sum(c in _DIGITS for c in m[1]) >= 6:
+            if m and not _iban_at(text, m.start(1)) and sum(c in _DIGITS for c in m[1]) >= 6:
                 added.append(("account", *m.span(1)))
     # An added span must not repeat what a base span or an earlier added one of its kind covers.
     base = [(s, e) for _, s, e in out]

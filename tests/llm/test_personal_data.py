@@ -54,3 +54,19 @@ def test_edge_rows(spark):
     df = spark.createDataFrame([(1, None, 2), (1, "", 2), (None, "a@b.co", 2), (None, "a@b.co", 2)], "doc_id long, text string, spans int")
     assert sorted(len(r["spans"]) for r in personal_data(df).collect()) == [0, 0, 1, 1]
     assert personal_data(df.where("false")).collect() == []
+
+
+def test_nothing_lost_to_what_follows_or_to_length():
+    found = lambda t: [(k, t[s:e]) for k, s, e in scan(t, ANCHORS) if k in ("address", "account")]
+    code = "GB82 WEST 1234 5698 7654 32"
+    for t in (f"{code} BIC NWBKGB2L", f"IBAN: {code} BIC NWBKGB2L", f"iban {code} 2024", f"Konto {code}, DE89370400440532013000 EUR"):
+        assert found(t)[0] == ("account", code)
+    assert found("Konto x, DE89370400440532013000 EUR 5") == [("account", "DE89370400440532013000")]
+    assert found(f"{code}1") == []
+    for cue in ("Social Security", "sOCIAL security", "SSN", "Account Number:"):
+        assert found(f"İ {cue} 123-45-6789") == [("account", "123-45-6789")]
+    phone, user, word = "+1 (201) 555 - 01 23 - 45 67", "u" * 90, "p:" * 50
+    assert found(f"Tel:{phone}, Mailto:{user}@host.example") == [("address", f"Tel:{phone}"), ("address", f"Mailto:{user}@host.example")]
+    assert found(f"HtTps://{user}:{word}@host.example/x") == [("address", f"HtTps://{user}:{word}@host.example")]
+    for t in ("mailto:a:" * 100_000, "mailto:a:" * 100_000 + "@" + "h." * 100_000, "tel:" + "1 (" * 100_000):
+        assert scan(t, ANCHORS) is not None
