@@ -282,6 +282,63 @@ def _study_balance(spark, d):
     return found.select("covariate", "level_name", "estimate", "se", "bias_corrected", "robust_se", "n_left", "n_right")
 
 
+# The same on the full specification: all bandwidths, the primary one, all characteristics.
+
+STUDY_NUMERIC = ["num_of_prev_attempts", "studied_credits"]
+STUDY_CATEGORICAL = ["gender", "region", "highest_education", "imd_band", "age_band", "disability"]
+
+
+def _or_null_sql(rows: str, by: str = "c, h") -> str:
+    """CTE fitted: _fit_sql with a row for every specification, NULL where a side has too few distinct values of x."""
+    return f"""{_fit_sql(rows, by)},
+      have AS (SELECT {by}, count(*) FILTER (x < c) AS n_left, count(*) FILTER (x >= c) AS n_right,
+         least(count(DISTINCT x) FILTER (x < c), count(DISTINCT x) FILTER (x >= c)) AS k FROM {rows} WHERE abs(x - c) < h GROUP BY ALL),
+      fitted AS (SELECT have.* EXCLUDE (k), CASE WHEN k >= 2 THEN estimate END AS estimate, CASE WHEN k >= 2 THEN se END AS se,
+         CASE WHEN k >= 3 THEN bias_corrected END AS bias_corrected, CASE WHEN k >= 3 THEN robust_se END AS robust_se FROM have LEFT JOIN est USING ({by}))"""
+
+
+_ALL_SPECS = ", ".join(f"({rd.PASS_MARK}::DOUBLE, {h}::DOUBLE)" for h in rd.BANDWIDTHS)
+
+
+@query("rd_study_bandwidths_all", f"WITH {_STUDY.format(specs=_ALL_SPECS)}, {_or_null_sql('rows_in')} SELECT {_STUDY_COLUMNS} FROM fitted")
+def _study_bandwidths_all(spark, d):
+    """Jump of the outcome at the pass mark for every bandwidth of the study."""
+    return _study(spark, d, [rd.PASS_MARK], rd.BANDWIDTHS)
+
+
+@query(
+    "rd_study_donut_primary",
+    f"""WITH {_FIRST}, rows_in AS (SELECT {rd.PASS_MARK}::DOUBLE AS c, {rd.PRIMARY_BANDWIDTH}::DOUBLE AS h, score AS x, not_completed::DOUBLE AS y FROM rdpop WHERE abs(score - 40) > 1),
+        {_or_null_sql('rows_in')} SELECT {_STUDY_COLUMNS}, (SELECT count(*) FROM rdpop WHERE abs(score - 40) <= 1) AS rows_dropped,
+        (SELECT count(*) FROM rdpop WHERE abs(score - 40) > 1) AS rows_kept FROM fitted""",
+)
+def _study_donut_primary(spark, d):
+    return rd.donut_table(_population(spark, d), "score", "not_completed", rd.PASS_MARK, [rd.PRIMARY_BANDWIDTH])
+
+
+_STUDY_COVARIATES = " UNION ALL ".join(
+    [f"SELECT '{c}' AS covariate, '' AS level_name, x, {c}::DOUBLE AS y FROM cov WHERE {c} IS NOT NULL" for c in STUDY_NUMERIC]
+    + [
+        f"SELECT '{c}', lv, x, (coalesce({c}, '__NULL__') = lv)::INT::DOUBLE FROM cov, (SELECT DISTINCT coalesce({c}, '__NULL__') AS lv FROM cov)"
+        for c in STUDY_CATEGORICAL
+    ]
+)
+
+
+@query(
+    "rd_study_balance_all",
+    f"""WITH {_FIRST}, cov AS (SELECT p.score AS x, i.* FROM rdpop p JOIN info i USING (code_module, code_presentation, id_student)),
+        rows_in AS (SELECT {rd.PASS_MARK}::DOUBLE AS c, {rd.PRIMARY_BANDWIDTH}::DOUBLE AS h, covariate, level_name, x, y FROM ({_STUDY_COVARIATES})),
+        {_or_null_sql('rows_in', 'c, h, covariate, level_name')} SELECT covariate, level_name, r(estimate) AS estimate, r(se) AS se,
+          r(bias_corrected) AS bias_corrected, r(robust_se) AS robust_se, n_left, n_right FROM fitted""",
+)
+def _study_balance_all(spark, d):
+    found = rd.covariate_balance(
+        _population(spark, d), "score", STUDY_NUMERIC, STUDY_CATEGORICAL, rd.PASS_MARK, rd.PRIMARY_BANDWIDTH
+    )
+    return found.select("covariate", "level_name", "estimate", "se", "bias_corrected", "robust_se", "n_left", "n_right")
+
+
 @query(
     "rd_first_assessment_listing",
     f"WITH {_FIRST} SELECT code_module, code_presentation, id_assessment, date AS due_date, r(weight) AS weight FROM firsts",
