@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from cohortlens.catalog.cohort_queries import KEY, cohort_of
 from cohortlens.catalog.evaluation_queries import _rank_sql
+from cohortlens.catalog.feature_queries import features_of
 from cohortlens.catalog.registry import query
 from cohortlens.functions.scalars import count_where
 from cohortlens.functions.session import stage
 from cohortlens.operators import drift as dr
+from cohortlens.operators import features
 from cohortlens.operators import importance as im
 from cohortlens.operators import overlap as ov
 from cohortlens.operators import scoring as sc
@@ -144,6 +146,39 @@ def _rate_drift(spark, d):
     return dr.base_rate_drift(rows, [["code_presentation"], ["code_module", "code_presentation"]])
 
 
+# Features of the study, train against test at every cutoff; the same SQL over another table and other columns.
+_FEATURE_LONG = " UNION ALL ".join(f"SELECT split, '{c}' AS feature, round({c}::DOUBLE, 9) AS value FROM at_cutoff WHERE split <> 'validate'" for c in features.NUMERIC_FEATURES)
+_FEATURE_CLONG = " UNION ALL ".join(
+    f"SELECT split, '{c}' AS feature, coalesce({c}, '__NULL__') AS bin FROM at_cutoff WHERE split <> 'validate'" for c in features.CATEGORICAL_FEATURES
+)
+_FEATURE_PSI = _PSI.replace(_NUM_LONG, _FEATURE_LONG).replace(_CAT_LONG, _FEATURE_CLONG).replace("FROM drift WHERE", "FROM at_cutoff WHERE")
+_FEATURE_REPORT = " UNION ALL ".join(
+    f"""SELECT * FROM (WITH at_cutoff AS (SELECT * FROM feat WHERE cutoff = {c}), {_FEATURE_PSI}
+        SELECT CAST({c} AS INTEGER) AS cutoff, feature, kind, r(psi) AS psi, n_bins_used, degenerate, empty_bins, {_BAND} AS band,
+          CAST(row_number() OVER (ORDER BY psi DESC, feature) AS BIGINT) AS place FROM psi)"""
+    for c in b.DESIGN.cutoffs
+)
+
+
+@query("feature_psi_report", _FEATURE_REPORT)
+def _feature_psi(spark, d):
+    """Drift of every numeric and categorical feature between train and test, ranked at each cutoff.
+
+    Values are rounded to nine decimals first: a slope of 1e-18 is a zero and must not fall beside a bin's edge at zero.
+    """
+    numbers = [F.round(F.col(c).cast("double"), 9).alias(c) for c in features.NUMERIC_FEATURES]
+    wide = features_of(spark, d).select("cutoff", "split", *numbers, *features.CATEGORICAL_FEATURES)
+    rows = stage(wide, "feature-drift")
+    parts = []
+    for c in b.DESIGN.cutoffs:
+        psi, _ = dr.drift_table(rows.where(F.col("cutoff") == c), features.NUMERIC_FEATURES, features.CATEGORICAL_FEATURES)
+        parts.append(dr.ranked_report(stage(psi, "psi")).select(F.lit(c).alias("cutoff"), "*"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 # --- decomposition over modules (users' week of first event stands in for the module) ------------
 
 _MOD = """mods AS (SELECT event_id, user_id % 5 AS m, day, split, y, p FROM scored WHERE rung = 'R1'),

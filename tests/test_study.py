@@ -2,6 +2,7 @@
 
 from cohortlens.catalog import load
 from cohortlens.operators import discontinuity as rd
+from cohortlens.operators import features
 
 QUERIES, _ = load()
 
@@ -16,3 +17,11 @@ def test_balance_covers_all_characteristics(spark, sf_dir):
 def test_every_bandwidth(spark, sf_dir):
     assert sorted(r["bandwidth"] for r in QUERIES["rd_study_bandwidths_all"](spark, sf_dir).collect()) == rd.BANDWIDTHS
     assert [r["bandwidth"] for r in QUERIES["rd_study_donut_primary"](spark, sf_dir).collect()] == [rd.PRIMARY_BANDWIDTH]
+
+
+def test_drift_of_every_feature(spark, sf_dir):
+    rows = QUERIES["feature_psi_report"](spark, sf_dir).collect()
+    assert {(r["cutoff"], r["feature"]) for r in rows} == {
+        (c, f) for c in (45, 90, 180) for f in [*features.NUMERIC_FEATURES, *features.CATEGORICAL_FEATURES]
+    }
+    assert all(r["psi"] >= 0 for r in rows)
