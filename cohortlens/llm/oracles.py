@@ -135,3 +135,66 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
             OR contains(lower(text), 'lorem ipsum')) AS kept
 FROM f
 """
+
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLES["op11_collocations"] = rf"""
+WITH p AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws
+  FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWERED}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+g AS (
+  SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) AS phrase
+  FROM p, (SELECT unnest([1, 2, 3, 4]) AS k)),
+every AS (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY ALL),
+totals AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM every WHERE k = 1 GROUP BY lang),
+f AS (SELECT *, string_split(phrase, ' ') AS ws FROM every WHERE a >= 30),
+inside AS (
+  SELECT lang, phrase, max(longer) AS longer FROM (
+    SELECT lang, a AS longer, array_to_string(ws[i:i + m - 1], ' ') AS phrase
+    FROM f, (SELECT unnest([2, 3]) AS m), (SELECT unnest([1, 2, 3]) AS i) WHERE m < k AND i + m - 1 <= k)
+  GROUP BY lang, phrase),
+c AS (SELECT f.* FROM f LEFT JOIN inside USING (lang, phrase) WHERE k > 1 AND (longer IS NULL OR 100 * longer < 80 * a)),
+cuts AS (
+  SELECT c.lang, c.phrase, c.a, j, x.a AS l, y.a AS r, CAST((2000000::HUGEINT * c.a) // (x.a + y.a) AS BIGINT) AS score
+  FROM c JOIN (SELECT unnest([1, 2, 3]) AS j) ON j < k
+  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.ws[1:j], ' ')
+  JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.ws[j + 1:], ' ')),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM best JOIN totals USING (lang) QUALIFY rank <= 2000
+"""
+
+ORACLES["op12_ranked_search"] = rf"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS row, regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+t AS (SELECT row, w, count(*) AS tf FROM (SELECT row, unnest(ws) AS w FROM d) GROUP BY ALL),
+s AS (SELECT count(*) AS nd, CAST(sum(len(ws)) AS BIGINT) AS nt FROM d WHERE len(ws) > 0),
+m AS (SELECT row, doc_id, 50 + (50 * len(ws) * nd) // nt AS m FROM d, s WHERE len(ws) > 0),
+df AS (SELECT w, count(*) AS df FROM t GROUP BY w),
+wt AS (SELECT w, CAST(floor(1000 * ln((2 * nd + 2)::DOUBLE / (2 * df + 1))) AS BIGINT) AS weight FROM df, s),
+q AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS w
+  FROM benchmark WHERE item_id IS NOT NULL),
+r AS (
+  SELECT item_id, row, doc_id, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score
+  FROM q JOIN wt USING (w) JOIN t USING (w) JOIN m USING (row) GROUP BY item_id, row, doc_id)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score
+FROM r WHERE score > 0 QUALIFY rank <= 50
+"""
+
+_ESCAPED = "replace(replace(replace({0}, '\\', '\\\\'), '</turn>', '<\\/turn>'), '###', '\\###')"
+
+ORACLES["op13_chat_format"] = rf"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+f AS (
+  SELECT *, '### ' || replace({_ESCAPED.format("role")}, ':' || chr(10), ':\' || chr(10)) || ':' || chr(10) || {_ESCAPED.format("text")} || '</turn>' || chr(10) AS formatted
+  FROM c)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(length(formatted)) AS BIGINT) AS formatted_chars
+FROM f GROUP BY conv_id
+"""

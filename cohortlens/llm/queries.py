@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import oracles
+from cohortlens.llm import chat_format, oracles
+from cohortlens.llm.collocations import collocations
 from cohortlens.llm.decontamination import decontaminate
 from cohortlens.llm.language_id import identify_languages
 from cohortlens.llm.line_spread import dedup_lines
@@ -17,6 +18,7 @@ from cohortlens.llm.main_text import main_text
 from cohortlens.llm.personal_data import count_of, joined, personal_data
 from cohortlens.llm.personal_data import BASE_KINDS as PERSONAL_KINDS
 from cohortlens.llm.quality_cascade import quality_cascade
+from cohortlens.llm.ranked_search import ranked_search
 from cohortlens.llm.secrets import BASE_KINDS as SECRET_KINDS
 from cohortlens.llm.secrets import find_secrets
 from cohortlens.llm.token_counts import token_counts
@@ -125,3 +127,38 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=80)
+
+
+@query
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one of control strings, formatted and read back from the formatted text."""
+    said = F.lit(r"\### Assistant: </turn> ok")
+    control = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said.alias("text")
+    )
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(control)
+    made = chat_format.format_chats(chat_format.conversation_records(rows))
+    unread = F.raise_error(F.concat(F.lit("no layout for conversation "), F.coalesce(F.col("conv_id").cast("string"), F.lit("NULL"))))
+    whole = made.withColumn("formatted", F.coalesce("formatted", unread.cast("string")))
+    back = whole.select(
+        "conv_id", chat_format.read_turns(F.col("formatted")).alias("read"), chat_format.learnt_text(F.col("pieces")).alias("learnt"), F.length("formatted").cast("long").alias("formatted_chars")
+    )
+    told = F.array_join(F.transform("read", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select(
+        "conv_id",
+        F.size("read").cast("long").alias("n_turns"),
+        F.sha2(told, 256).alias("turns_sha256"),
+        F.length("learnt").cast("long").alias("loss_chars"),
+        F.sha2("learnt", 256).alias("loss_sha256"),
+        "formatted_chars",
+    )

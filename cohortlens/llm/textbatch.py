@@ -44,6 +44,11 @@ SPACED = _rule({0x20, *range(0x09, 0x0E)})
 #: Words are runs of ASCII letters, ASCII digits and all characters beyond ASCII.
 ALNUM = _rule({*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)})
 
+#: Bytes that end a piece of text, and words inside pieces: runs of anything but them, blanks and tabs.
+PIECE_ENDS = frozenset({*b".,;:!?", *range(0x0A, 0x0E)})
+PIECED = _rule({0x20, 0x09, *PIECE_ENDS})
+_LOWER = np.where((np.arange(256) >= 65) & (np.arange(256) <= 90), np.arange(256) + 32, np.arange(256)).astype(np.uint8)
+
 
 def mix(h: np.ndarray) -> np.ndarray:
     """64-bit finaliser, a bijection."""
@@ -203,3 +208,16 @@ def distinct_sets(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def lists(values: np.ndarray, first: np.ndarray, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(values, kind))
+
+
+def span_bytes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of the spans one after the other, A-Z lowered, and their n + 1 bounds."""
+    size = end - start
+    bounds = np.concatenate(([0], np.cumsum(size)))
+    at = np.arange(bounds[-1]) + np.repeat(start - bounds[:-1], size)
+    return _LOWER[buf[at]], bounds
+
+
+def span_strings(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
+    data, bounds = span_bytes(buf, start, end)
+    return pa.Array.from_buffers(pa.large_string(), start.size, [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(data)])
