@@ -9,7 +9,9 @@ A weak part is reported only when the parts that complete it are there.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -29,9 +31,58 @@ _KEYWORDS = ("passw", "secret", "token", "api")
 _ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_LOGIN = re.compile(r"""(?ai:\b(?:user(?:name)?|login|client_id)["']?)\x20?[:=]\x20?["']?([A-Za-z0-9._@-]{3,64})""")
+_LOGIN = re.compile(r"""(?ai:\b(?:user(?:name)?|login|client_id)["']?)\x20?[:=]\x20?["']?([A-Za-z0-9._@-]{3,})""")
 _OPAQUE = re.compile(r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/_-]{32,}+={0,2}+(?![A-Za-z0-9+/=_-])")
-_ENDPOINT = re.compile(r"(?a)\b[a-z][a-z0-9+.-]{1,15}://[A-Za-z0-9.-]+(?::[0-9]{2,5})?|\b[a-z0-9-]+(?:\.[a-z0-9-]+)+:[0-9]{2,5}\b")
+_SCHEME_END, _AUTHORITY = "://", re.compile(r"[A-Za-z0-9.-]++(?::[0-9]{2,5}+(?![0-9]))?")
+_PORT = re.compile(r"(?a):[0-9]{2,5}\b")
+_SCHEME_CHARS, _HOST_CHARS = frozenset("abcdefghijklmnopqrstuvwxyz0123456789+.-"), frozenset("abcdefghijklmnopqrstuvwxyz0123456789.-")
+
+
+def _run_start(text: str, end: int, inside: frozenset[str], least: int) -> int:
+    """Where the run of characters of ``inside`` that ends at ``end`` begins, not before ``least``."""
+    at = end
+    while at > least and text[at - 1] in inside:
+        at -= 1
+    return at
+
+
+def endpoints(text: str) -> list[tuple[int, int]]:
+    """Spans of ``scheme://host`` and ``host.name:port``, grown to the left from their separators.
+
+    Runs to the left end at any separator before, so the work is linear in the text. A scheme begins with a letter and does not
+    follow a capital letter; a host has two labels or more.
+    """
+    urls: list[tuple[int, int]] = []
+    at, least = text.find(_SCHEME_END), 0
+    while at >= 0:
+        start = _run_start(text, at, _SCHEME_CHARS, least)
+        bound = start > 0 and (text[start - 1].isalnum() or text[start - 1] == "_")
+        while start < at and (bound or not "a" <= text[start] <= "z"):
+            bound = text[start].isalnum()
+            start += 1
+        host = _AUTHORITY.match(text, at + 3)
+        least = at + 3
+        if at - start >= 2 and host:
+            urls.append((start, host.end()))
+            least = host.end()
+        at = text.find(_SCHEME_END, least)
+    out, turn, least = list(urls), 0, 0
+    for m in _PORT.finditer(text):
+        while turn < len(urls) and urls[turn][1] <= m.start():
+            least = max(least, urls[turn][1])
+            turn += 1
+        if turn < len(urls) and urls[turn][0] < m.end():
+            continue
+        start = _run_start(text, m.start(), _HOST_CHARS, least)
+        if start and (text[start - 1].isalnum() or text[start - 1] == "_"):
+            continue
+        labels = text[start : m.start()].rpartition("..")[2].lstrip(".")
+        if "." in labels.rstrip("."):
+            host = labels.lstrip("-")
+            if not host.endswith("."):
+                out.append((m.start() - len(host), m.end()))
+                least = m.end()
+    return sorted(out)
 
 
 def scan(text: str) -> list[tuple[str, int, int]]:
@@ -46,11 +97,15 @@ def scan(text: str) -> list[tuple[str, int, int]]:
     if "user" in low or "login" in low or "client_id" in low:
         out += [("login", *m.span(1)) for m in _LOGIN.finditer(text)]
     if any(ROLES[k] == "id" for k, _, _ in out):
-        seen = [(s, e) for _, s, e in out]
-        opaque = [m.span() for m in _OPAQUE.finditer(text) if any(c.isdigit() for c in m[0]) and any(c.isalpha() for c in m[0])]
-        out += [("opaque", s, e) for s, e in opaque if not any(a < e and s < b for a, b in seen)]
-    if out and ("://" in text or ":" in text):
-        out += [("endpoint", *m.span()) for m in _ENDPOINT.finditer(text)]
+        seen = sorted((s, e) for _, s, e in out)
+        starts, reach = [s for s, _ in seen], list(accumulate((e for _, e in seen), max))
+        for m in _OPAQUE.finditer(text):
+            # The farthest end of what begins before this string ends tells whether any of it overlaps.
+            before = bisect_left(starts, m.end())
+            if (not before or reach[before - 1] <= m.start()) and any(map(str.isdigit, m[0])) and any(map(str.isalpha, m[0])):
+                out.append(("opaque", *m.span()))
+    if out and ":" in text:
+        out += [("endpoint", *e) for e in endpoints(text)]
     return sorted(out, key=lambda x: (x[1], KINDS.index(x[0])))
 
 

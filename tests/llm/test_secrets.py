@@ -1,6 +1,7 @@
 import re
+import time
 
-from cohortlens.llm.secrets import find_secrets
+from cohortlens.llm.secrets import endpoints, find_secrets, scan
 
 BASE = ("assign", "access", "hex")
 
@@ -66,3 +67,25 @@ def test_long_parts(spark):
     assert ("login", "alice") in got[1] and ("login", "bob") in got[2]
     assert got[3] == [("login", "carol"), ("opaque", key), ("opaque", url)]
     assert [k for k, _ in got[4]] == ["assign"]
+
+
+def test_endpoints():
+    cases = {
+        "at https://db.example.com:5432 done": ["https://db.example.com:5432"],
+        "db.internal.example:5432": ["db.internal.example:5432"],
+        "a:80 b.c:99999 b.c:999999 ..x.y:80": ["b.c:99999", "x.y:80"],
+        "-http://a x-very-long-scheme-name+plus://h.i": ["http://a", "x-very-long-scheme-name+plus://h.i"],
+        "Xhttp://a http:// a://b": [],
+    }
+    for text, want in cases.items():
+        assert [text[a:b] for a, b in endpoints(text)] == want
+
+
+def test_hostile_texts_take_linear_time():
+    texts = ["user=abc http:" + "a-" * 500_000, "user=abc " + "a." * 500_000 + ":", ("user=abcd " + "a" * 20 + "1b2C" * 8 + " ") * 20_000, "user=abc " + "a://" * 250_000]
+    texts += ["user=abc " + "a.b:80" * 170_000, "token" + " " * 1_000_000, "api_" * 250_000, "AKIA" * 250_000]
+    for text in texts:
+        began = time.process_time()
+        scan(text)
+        assert time.process_time() - began < 2
+    assert scan("user=" + "z" * 80) == [("login", 5, 85)]
