@@ -1,5 +1,7 @@
 import html
+import random
 import re
+import time
 
 from cohortlens.llm.main_text import extract, main_text
 
@@ -53,3 +55,73 @@ def test_text_outside_the_largest_branch():
     two = f"<main><h1>Title</h1><article>{long * 13}</article><p>between</p><article><h2>Next</h2>{long * 3}</article></main>"
     assert extract(body.format(two)) == "\n\n".join(["Title"] + [line] * 13 + ["Next"] + [line] * 3)
     assert extract(body.format(two.replace("main", "div"))) == "\n\n".join([line] * 13 + ["Next"] + [line] * 3)
+
+
+LONG = "<p>A long sentence, with marks, of the story. It goes on; and on, and on.</p>"
+
+
+def test_form_that_holds_the_page_is_no_input_form():
+    assert extract(f"<body><form><input>{LONG * 20}</form></body>").count("A long") == 20
+    assert extract(f"<body><form><article>{LONG * 3}</article></form></body>").count("A long") == 3
+    assert extract(f"<body><article>{LONG * 3}<form><label>Your mail, please.</label></form></article></body>").count("mail") == 0
+
+
+def test_formulas_stay_and_drawings_do_not_split():
+    page = "<article><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be <svg><text>no</text></svg>. And so.</p></article>"
+    assert extract(page) == "Let x=2 be . And so."
+
+
+def test_names_are_a_prior():
+    """They lose against text without them, but neither an article's own parts nor a page of one name."""
+    inner = f"<div class='related-work'>{LONG}</div><p class='notice'>Mind this part of the story, please, and that.</p>"
+    assert extract(f"<article>{LONG}{inner}{LONG}</article>").count("\n\n") == 3
+    assert extract(f"<div id='content' class='content-sidebar'>{LONG * 5}</div><div>Imprint</div>").count("A long") == 5
+    assert extract(f"<article>{LONG * 4}<div class='comment-list'>{LONG * 3}</div></article>").count("A long") == 4
+    assert extract(f"<article>{LONG}<div style='display:none'>{LONG}</div></article>").count("A long") == 2
+
+
+def test_deep_and_hostile_pages_take_linear_time():
+    shapes = ["<div>x" * 20_000, "<p><article>" + "<div>x" * 20_000, "<li><ol>" + "<div>" * 20_000 + "<li>x</li>" * 20_000, "<form>" * 20_000 + "x", '<a "' * 200_000]
+    shapes += ["<b>" * 20_000 + "x" + "</b>" * 20_000, f"<div class='{'comment ' * 100_000}'>x</div>", "<!--" * 200_000, "<p>" + "a, " * 300_000]
+    for page in shapes:
+        began = time.process_time()
+        extract(page)
+        assert time.process_time() - began < 2
+
+
+def brute_ratios(parts):
+    """Blocks (path, text) of a flat page: those on paths whose length and punctuation per block, smoothed, reach a tenth of the core's."""
+    by = {}
+    for path, text in parts:
+        by.setdefault(path, []).append(text)
+    ratio = [sum(map(len, by[p])) / len(by[p]) for p, _ in parts]
+    marks = [sum(len(re.findall(r"[.,;:!?]", t)) for t in by[p]) / len(by[p]) for p, _ in parts]
+
+    def smooth(x):
+        x = [x[0], *x, x[-1]]
+        return [x[i - 1] / 4 + x[i] / 2 + x[i + 1] / 4 for i in range(1, len(x) - 1)]
+
+    fused = [a * (1 + b) for a, b in zip(smooth(ratio), smooth(marks))]
+    sizes = [len(t) for _, t in parts]
+    floor = 0.1 * sum(f * n for f, n in zip(fused, sizes)) / sum(sizes)
+    good = {p for (p, _), f in zip(parts, fused) if f >= floor}
+    return [t for p, t in parts if p in good]
+
+
+def test_generated_pages_without_article():
+    rnd = random.Random(4)
+    kept = dropped = 0
+    for _ in range(300):
+        parts = []
+        for _ in range(rnd.randrange(6, 30)):
+            tag = rnd.choices(["p", "blockquote", "pre", "dt"], [8, 3, 2, 4])[0]
+            n = {"p": rnd.randrange(20, 60), "blockquote": rnd.randrange(5, 40), "pre": rnd.randrange(1, 4), "dt": 1}[tag]
+            parts.append((tag, " ".join(rnd.choice(["some", "words,", "here.", "text"]) if tag != "dt" else "tag" for _ in range(n))))
+        page = "<html><body><div>" + "".join(f"<{t}>{x}</{t}>" for t, x in parts) + "</div></body></html>"
+        want = brute_ratios(parts)
+        got = extract(page).split("\n\n")
+        # What stands between two blocks of content stays as well.
+        first, last = parts.index((next(t for t, x in parts if x == want[0]), want[0])), len(parts) - 1 - [x for _, x in parts][::-1].index(want[-1])
+        assert got == [x for _, x in parts[first : last + 1]]
+        kept, dropped = kept + len(got), dropped + len(parts) - len(got)
+    assert kept and dropped
