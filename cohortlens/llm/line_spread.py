@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.functions.session import stage
+from cohortlens.llm.naming import named
 
 LG_BUCKETS = 10
 #: Three standard errors of a sketch of 2**LG_BUCKETS buckets, 1.04 / sqrt(1024) each.
@@ -23,29 +24,40 @@ LONG_WORDS = 50
 _NO_BLANKS = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
 
 
-def _hashes(line: Column, one_word: bool) -> Column:
-    """Hashes of a line with white space trimmed and collapsed and letters lowered, and whether it is long."""
-    normal = F.lower(F.trim(F.regexp_replace(line, r"\s+", " ")))
-    words = F.size(F.split(normal, " "))
-    # The letters of a short line are not looked at.
-    letters = F.when(F.length(normal) >= LONG_WORDS, F.regexp_count(normal, F.lit(_NO_BLANKS))).otherwise(0)
+def _normal(line: Column) -> Column:
+    """A line with white space trimmed and collapsed and letters lowered."""
+    return F.lower(F.trim(F.regexp_replace(line, r"\s+", " ")))
+
+
+def _is_long(normal: Column) -> Column:
+    """Whether a normal form has ``LONG_WORDS`` words, letters of scripts without blanks counted as half a word each.
+
+    Letters are only looked at where words alone don't decide: such a letter has two bytes more than it has characters.
+    """
+    words = F.length(normal) - F.length(F.replace(normal, F.lit(" "), F.lit(""))) + 1
+    most = (F.octet_length(normal) - F.length(normal)) / 2
+    letters = F.regexp_count(normal, F.lit(_NO_BLANKS))
+    need = 2 * LONG_WORDS
+    # The shortest long line has 66 characters.
+    return (F.length(normal) >= 66) & ((2 * words >= need) | ((2 * words + most >= need) & (2 * words + letters >= need)))
+
+
+def _hashes(normal: Column, one_word: bool, long: bool) -> Column:
+    """Hashes of a normal form and, if asked for, whether it is long; ``normal`` is a bound variable, computed once."""
+    made = [F.xxhash64(normal).alias("line_a"), F.xxhash64(F.lit("line"), normal).alias("line_b")]
     # NULL keeps a line out of the counts: a blank one, and one of a single word unless these are asked for.
     return F.when(
-        normal != "" if one_word else normal.contains(" "),
-        F.struct(
-            F.xxhash64(normal).alias("line_a"),
-            F.xxhash64(F.lit("line"), normal).alias("line_b"),
-            (2 * words + letters >= 2 * LONG_WORDS).alias("long"),
-        ),
+        normal != "" if one_word else normal.contains(" "), F.struct(*made, (_is_long(normal) if long else F.lit(False)).alias("long"))
     )
 
 
-def _lines(docs: DataFrame, id_col: str, text_col: str, site_col: str, one_word: bool) -> DataFrame:
-    hashed = F.transform(F.split(F.col(text_col).cast("string"), "\n", -1), lambda x: _hashes(x, one_word))
+def _lines(docs: DataFrame, id_col: str, text_col: str, site_col: str, one_word: bool, long: bool) -> DataFrame:
+    normal = F.transform(F.split(named(text_col).cast("string"), "\n", -1), _normal)
+    hashed = F.transform(normal, lambda x: _hashes(x, one_word, long))
     rows = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"),
-        F.xxhash64(F.col(text_col).cast("string")).alias("body"),
-        F.col(site_col).cast("string").alias("site"),
+        named(id_col).cast("long").alias("doc_id"),
+        F.xxhash64(named(text_col).cast("string")).alias("body"),
+        named(site_col).cast("string").alias("site"),
         F.posexplode(hashed).alias("pos", "line"),
     )
     return rows.where("line is not null").select("doc_id", "body", "site", "pos", "line.*")
@@ -104,7 +116,8 @@ def dedup_lines(
     or empty stays as it is. Rows with the same doc_id and text are one document: all keep a first line.
     Columns of the input named n_lines or n_removed are replaced.
     """
-    lines = stage(_lines(docs, id_col, text_col, site_col, one_word), "lines")
+    long = long_sites is not None or long_docs is not None
+    lines = stage(_lines(docs, id_col, text_col, site_col, one_word, long), "lines")
     found = stage(boilerplate_lines(lines, min_sites, long_sites, long_docs), "boilerplate")
     first = F.col("doc_id").eqNullSafe(F.col("first_doc")) & (F.col("pos") == F.col("first_pos"))
     gone = stage(
@@ -112,18 +125,18 @@ def dedup_lines(
         "line-removals",
     )
     whole = docs.select(
-        F.struct(*docs.columns).alias("row"),
-        F.col(id_col).cast("long").alias("id"),
-        F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"),
+        F.struct(*map(named, docs.columns)).alias("row"),
+        named(id_col).cast("long").alias("id"),
+        F.xxhash64(named(text_col).cast("string")).alias("text_hash"),
     )
     hit = whole.join(gone, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("text_hash") == F.col("body")), "left")
-    parts = F.split(F.col(f"row.{text_col}").cast("string"), "\n", -1)
+    text = F.col("row")[text_col]
+    parts = F.split(text.cast("string"), "\n", -1)
     left = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains("gone", i)), "\n")
-    cut = F.when(F.col("gone").isNull(), F.col(f"row.{text_col}")).otherwise(left)
     own = {
-        text_col: cut,
+        text_col: F.when(F.col("gone").isNull(), text).otherwise(left),
         "n_lines": F.greatest(F.size(parts), F.lit(0)).cast("long"),
         "n_removed": F.greatest(F.size("gone"), F.lit(0)).cast("long"),
     }
-    rest = [own.pop(c).alias(c) if c == text_col else F.col(f"row.{c}") for c in docs.columns if c not in ("n_lines", "n_removed")]
+    rest = [own.pop(c).alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns if c not in ("n_lines", "n_removed")]
     return hit.select(*rest, *[e.alias(c) for c, e in own.items()])
