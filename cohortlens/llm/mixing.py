@@ -8,14 +8,16 @@ tokens of the sample meet the marginals in expectation.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlens.functions.session import stage
+from cohortlens.llm.naming import named
 
-ROUNDS = 8
+#: Raking ends when every marginal is this close to its target, at the latest after so many rounds.
+TOLERANCE, MAX_ROUNDS, ROUNDS_PER_STAGE = 1e-12, 400, 8
 #: Level that stands for NULL in a dimension.
 NO_LEVEL = "(none)"
 
@@ -37,21 +39,46 @@ def tempered_targets(cells: DataFrame, dim: str, power: float) -> DataFrame:
     return raised.select("value", (F.col("r") / F.lit(total)).alias("target"))
 
 
-def rake(cells: DataFrame, targets: Mapping[str, DataFrame], rounds: int = ROUNDS) -> DataFrame:
-    """``cells`` (dimension columns, tokens) with ``share``, the fitted share of each cell.
-
-    Cells without tokens get share 0, as do values without a target. Every round is written to the
-    shared folder, because the next one reads it once per dimension.
+def largest_error(cells: DataFrame, dims: Sequence[str]) -> float:
+    """Largest difference between the share of a value and its target, over all dimensions."""
+    gaps = [
+        cells.groupBy(F.lit(d).alias("dim"), F.col(d).alias("value"))
+        .agg(F.sum("share").alias("got"), F.first(f"_target_{d}").alias("target"))
+        for d in dims
+    ]
+    every = gaps[0]
+    for g in gaps[1:]:
+        every = every.unionByName(g)
+    return every.agg(F.max(F.abs(F.col("got") - F.coalesce("target", F.lit(0.0))))).first()[0] or 0.0
+
+
+def rake(
+    cells: DataFrame, targets: Mapping[str, DataFrame], tolerance: float = TOLERANCE, max_rounds: int = MAX_ROUNDS
+) -> tuple[DataFrame, float]:
+    """``cells`` (dimension columns, tokens) with ``share``, the fitted share of each cell, and the largest marginal error.
+
+    Cells without tokens get share 0, as do values without a target. Targets are put on the cells once; a
+    scaling step is one sum over the cells of a value. Every ``ROUNDS_PER_STAGE`` rounds the cells are written out and
+    the error is looked at. Raking ends when it is within ``tolerance``, or when a stage leaves it as it was: then the
+    targets contradict each other and only those of the last dimension are met; or after ``max_rounds``.
     """
+    dims = list(targets)
     now = cells.withColumn("share", F.col("tokens").cast("double"))
-    for turn in range(rounds):
-        for dim, target in targets.items():
-            sums = now.groupBy(dim).agg(F.sum("share").alias("_sum"))
-            factor = sums.join(target.select(F.col("value").alias(dim), "target"), dim, "left")
-            scale = F.when(F.col("_sum") > 0, F.coalesce("target", F.lit(0.0)) / F.col("_sum")).otherwise(0.0)
-            now = now.join(factor.select(dim, scale.alias("_scale")), dim).withColumn("share", F.col("share") * F.col("_scale")).drop("_scale")
+    for dim, target in targets.items():
+        now = now.join(target.select(F.col("value").alias(dim), F.col("target").alias(f"_target_{dim}")), dim, "left")
+    now = stage(now, "rake-0")
+    error = float("inf")
+    for turn in range(1, -(-max_rounds // ROUNDS_PER_STAGE) + 1):
+        for _ in range(ROUNDS_PER_STAGE):
+            for dim in dims:
+                total = F.sum("share").over(Window.partitionBy(dim))
+                scale = F.when(total > 0, F.coalesce(f"_target_{dim}", F.lit(0.0)) / total).otherwise(0.0)
+                now = now.withColumn("share", F.col("share") * scale)
         now = stage(now, f"rake-{turn}")
-    return now
+        before, error = error, largest_error(now, dims)
+        if error <= tolerance or abs(before - error) <= tolerance:
+            break
+    return now.drop(*[f"_target_{d}" for d in dims]), error
 
 
 def uniform_draw(key: Column, salt: str) -> Column:
@@ -68,7 +95,7 @@ def mix_to_targets(
     id_col: str = "doc_id",
     text_col: str = "text",
     salt: str = "mix",
-    rounds: int = ROUNDS,
+    tolerance: float = TOLERANCE,
     carry: Mapping[str, Column] | None = None,
 ) -> DataFrame:
     """The columns of ``carry``, the dimensions, n_tokens, probability, weight and kept of every row.
@@ -81,13 +108,13 @@ def mix_to_targets(
     taken = {c: e for c, e in (carry or {}).items() if c not in names}
     rows = docs.select(
         *[e.alias(c) for c, e in taken.items()],
-        uniform_draw(F.col(id_col), salt).alias("_draw"),
-        token_count(F.col(text_col).cast("string")).alias("n_tokens"),
+        uniform_draw(named(id_col), salt).alias("_draw"),
+        token_count(named(text_col).cast("string")).alias("n_tokens"),
         *[level(e).alias(d) for d, e in dims.items()],
     )
     cells = stage(rows.groupBy(*dims).agg(F.sum("n_tokens").alias("tokens")), "mix-cells")
     targets = {d: stage(tempered_targets(cells, d, powers[d]), f"mix-target-{d}") for d in dims}
-    fitted = rake(cells, targets, rounds)
+    fitted, _ = rake(cells, targets, tolerance)
     wanted = float(cells.agg(F.sum("tokens")).first()[0] or 0) * fraction
     ratio = F.when(F.col("tokens") > 0, F.col("share") * F.lit(wanted) / F.col("tokens")).otherwise(0.0)
     rates = stage(fitted.select(*dims, ratio.alias("_ratio")), "mix-rates")

@@ -54,9 +54,12 @@ WITH l AS (
   SELECT doc_id, source, text, pos, trim(lower(regexp_replace(parts[pos], '[\x09-\x0D\x20]+', ' ', 'g'))) AS line
   FROM (SELECT doc_id, source, text, parts, unnest(range(1, len(parts) + 1)) AS pos
         FROM (SELECT doc_id, source, text, string_split(text, chr(10)) AS parts FROM documents))),
+n AS (
+  SELECT *, 2 * len(string_split(line, ' ')) + len(regexp_extract_all(line, '[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]')) >= 100 AS long
+  FROM l WHERE line <> ''),
 b AS (
-  SELECT line, min({'d': doc_id, 'p': pos}) AS first FROM l WHERE contains(line, ' ')
-  GROUP BY line HAVING count(DISTINCT source) >= 10),
+  SELECT line, min({'d': doc_id, 'p': pos}) AS first FROM n GROUP BY line, long
+  HAVING count(DISTINCT source) >= CASE WHEN long THEN 3 ELSE 10 END OR (long AND count(DISTINCT (doc_id, text)) >= 4)),
 k AS (
   SELECT l.doc_id, count(*) AS n, count(*) FILTER (NOT gone) AS kept,
          string_agg(raw, chr(10) ORDER BY pos) FILTER (NOT gone) AS left_text
@@ -70,24 +73,10 @@ FROM documents d LEFT JOIN k USING (doc_id)
 """
 
 
-def _raking(rounds: int, dims: tuple[str, ...]) -> str:
-    """Common table expressions c0 (cells, share) to the last one, one per round and dimension."""
-    last, parts = "c0", []
-    for turn in range(rounds):
-        for dim in dims:
-            name = f"c{turn}_{dim}"
-            parts.append(
-                f"{name} AS (SELECT c.* REPLACE (c.share * t.target / sum(c.share) OVER (PARTITION BY c.{dim}) AS share)"
-                f" FROM {last} c JOIN t_{dim} t ON c.{dim} = t.value)"
-            )
-            last = name
-    return ", ".join(parts) + f", fitted AS (SELECT * FROM {last})"
-
-
 _TARGET = "t_{0} AS (SELECT {0} AS value, pow(t, {1}) / sum(pow(t, {1})) OVER () AS target FROM (SELECT {0}, sum(tokens)::DOUBLE AS t FROM c0 GROUP BY {0}))"
 
 ORACLES["op7_mixing"] = rf"""
-WITH d AS (
+WITH RECURSIVE d AS (
   SELECT doc_id, coalesce(source, '(none)') AS source, coalesce(lang, '(none)') AS lang,
          CASE WHEN regexp_matches(text, '(?i)licensed under|released under|all rights reserved') THEN 'licence'
               WHEN contains(text, ' | ') THEN 'table'
@@ -100,7 +89,14 @@ c0 AS (
   SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS tokens, sum(n_tokens)::DOUBLE AS share
   FROM d GROUP BY 1, 2, 3 HAVING sum(n_tokens) > 0),
 {_TARGET.format("source", 0.5)}, {_TARGET.format("lang", 0.3)}, {_TARGET.format("topic", 0.5)},
-{_raking(8, ("source", "lang", "topic"))},
+it AS (
+  SELECT 0 AS step, c0.*, a.target AS of_source, b.target AS of_lang, c.target AS of_topic
+  FROM c0 JOIN t_source a ON source = a.value JOIN t_lang b ON lang = b.value JOIN t_topic c ON topic = c.value
+  UNION ALL SELECT step + 1, source, lang, topic, tokens,
+    share * (CASE step % 3 WHEN 0 THEN of_source WHEN 1 THEN of_lang ELSE of_topic END)
+      / sum(share) OVER (PARTITION BY CASE step % 3 WHEN 0 THEN source WHEN 1 THEN lang ELSE topic END), of_source, of_lang, of_topic
+  FROM it WHERE step < 192),
+fitted AS (SELECT * FROM it WHERE step = 192),
 r AS (SELECT source, lang, topic, share * (SELECT sum(tokens) FROM c0) * 0.5 / tokens AS ratio FROM fitted),
 p AS (
   SELECT d.*, CASE WHEN n_tokens = 0 THEN 1.0 ELSE least(1.0, ratio) END AS chance,

@@ -71,10 +71,18 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(table(spark, sf_dir, "documents"))
 
 
+#: A line of 50 or more words is boilerplate on so many sites or in so many documents, whatever their sites.
+LONG_SITES, LONG_DOCS = 3, 4
+
+
+def without_repeated_lines(docs: DataFrame) -> DataFrame:
+    return dedup_lines(docs, long_sites=LONG_SITES, long_docs=LONG_DOCS, one_word=True)
+
+
 @query
 def op6_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines on ten or more of the sites (``source``) stay at their first place only."""
-    left = dedup_lines(table(spark, sf_dir, "documents"))
+    """Lines on ten or more of the sites (``source``), long ones by less, stay at their first place only."""
+    left = without_repeated_lines(table(spark, sf_dir, "documents"))
     return left.select(
         "doc_id",
         "n_lines",

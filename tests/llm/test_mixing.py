@@ -23,10 +23,23 @@ def test_raking_meets_the_marginals(spark):
         "b": {f"b{j}": s for j, s in enumerate((0.4, 0.3, 0.2, 0.1))},
     }
     frames = {d: spark.createDataFrame(list(t.items()), "value string, target double") for d, t in targets.items()}
-    got = rake(df, frames, 12)
+    got, error = rake(df, frames)
+    assert error <= 1e-12
     for d, t in targets.items():
         for r in got.groupBy(d).agg(F.sum("share").alias("s")).collect():
-            assert r["s"] == pytest.approx(t[r[d]], abs=1e-6)
+            assert r["s"] == pytest.approx(t[r[d]], abs=1e-11)
+
+
+def test_contradictory_targets_end(spark):
+    """Each value of one dimension has one value of the other: the last dimension is met, the error says so."""
+    df = spark.createDataFrame([("x", "p", 3), ("y", "q", 1), ("z", "q", 0)], "a string, b string, tokens long")
+    frames = {
+        "a": spark.createDataFrame([("x", 0.5), ("y", 0.5)], "value string, target double"),
+        "b": spark.createDataFrame([("p", 0.2), ("q", 0.8)], "value string, target double"),
+    }
+    got, error = rake(df, frames)
+    assert {r["a"]: r["share"] for r in got.collect()} == {"x": pytest.approx(0.2), "y": pytest.approx(0.8), "z": 0.0}
+    assert error == pytest.approx(0.3)
 
 
 def test_weights_and_draws(spark):
