@@ -202,74 +202,122 @@ def _ece(spark, d):
 
 # --- bootstrap ---------------------------------------------------------------------------------
 
-RESAMPLES, SEED = 20, 42
-_DRAWN = """base AS (SELECT event_id, CAST(kind = 'error' AS INTEGER) AS y, amount / (amount + 50.0::DOUBLE) AS p1,
-           (event_id % 101)::DOUBLE / 101.0::DOUBLE AS p2 FROM ev),
-     placed AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY event_id) AS pos, count(*) OVER (PARTITION BY y) AS class_n FROM base),
-     drawn AS (SELECT CAST(b AS INTEGER) AS b, y, 1 + ('0x' || substr(md5('42:' || b || ':' || y || ':' || pos), 1, 15))::BIGINT % class_n AS pos
-               FROM placed, range(1, 21) q(b)),
-     sample AS MATERIALIZED (SELECT drawn.b, placed.* FROM drawn JOIN placed USING (y, pos))"""
+SEED, T_FIRST, T_SECOND = 42, 0.2, 0.1
+_EVENTS = """rows AS (SELECT event_id, user_id, CAST(kind = 'error' AS INTEGER) AS y, amount / (amount + 50.0::DOUBLE) AS p1,
+           (event_id % 101)::DOUBLE / 101.0::DOUBLE AS p2 FROM ev)"""
+
+
+def _mix_sql(x: str) -> str:
+    for shift, factor in ((16, 0x7FEB352D), (15, 0x846CA68B), (16, 1)):
+        x = f"((xor({x}, {x} >> {shift}) * {factor}) & 4294967295)" if factor > 1 else f"xor({x}, {x} >> {shift})"
+    return x
+
+
+def _keys_sql(name: str, step: int, source: str) -> str:
+    """Keys of the two digests of (seed, step, label, block, resample); ``source`` has label and block."""
+    parts = [f"{name}_0 AS (SELECT label, block, b, half, 0::UBIGINT AS k FROM ({source}), range(1, 1001) q(b), (SELECT unnest([0, 1]) AS half))"]
+    for i, x in enumerate((str(SEED), "half", str(step), "label", "block", "b", "0")):
+        mixed = _mix_sql("k")
+        parts.append(f"{name}_{i + 1} AS (SELECT * REPLACE ({mixed} AS k) FROM (SELECT * REPLACE (xor(k, ({x})::UBIGINT) AS k) FROM {name}_{i}))")
+    parts.append(f"{name} AS (SELECT label, block, b, max(k) FILTER (half = 0) AS k0, max(k) FILTER (half = 1) AS k1 FROM {name}_7 GROUP BY ALL)")
+    return ", ".join(parts)
+
+
+def _digest_sql(source: str, size: str) -> str:
+    """Rows of ``source`` (with k0, k1, slot) and the position that each draws among ``size``."""
+    return f"""SELECT * EXCLUDE (h0, h1), CAST((({_mix_sql("h0")} << 21) + ({_mix_sql("h1")} >> 11)) % {size} AS BIGINT) AS pos
+      FROM (SELECT *, xor(k0, slot::UBIGINT) AS h0, xor(k1, slot::UBIGINT) AS h1 FROM {source})"""
+
+
+def _boot_sql(base: str) -> str:
+    """CTE sample (b, y, score), every copy a row; ``base`` selects y and score of every row."""
+    return f"""base AS MATERIALIZED ({base}),
+     ladder AS (SELECT *, sum(n) OVER (ORDER BY score) - n AS below, greatest(4096, ceil(sum(n) OVER () / 1024)) AS size
+                FROM (SELECT score, count(*) AS n FROM base GROUP BY score)),
+     placed AS MATERIALIZED (SELECT y AS label, score, CAST(2 * floor(below / size) + CAST(n >= size AS INTEGER) AS BIGINT) AS block,
+                row_number() OVER (PARTITION BY y ORDER BY score) - 1 AS place FROM base JOIN ladder USING (score)),
+     held AS (SELECT label, block, min(place) AS start, count(*) AS k FROM placed GROUP BY ALL),
+     totals AS (SELECT label, sum(k)::BIGINT AS total FROM held GROUP BY ALL),
+     {_keys_sql("key1", 0, "SELECT label, 0 AS block FROM totals")},
+     slots AS (SELECT label, b, total, k0, k1, unnest(range(total)) AS slot FROM totals JOIN key1 USING (label)),
+     first_draw AS ({_digest_sql("slots", "total::UBIGINT")}),
+     taken AS MATERIALIZED (SELECT label, b, h.block, h.start, h.k, count(*) AS t FROM first_draw f JOIN held h USING (label)
+                WHERE pos >= start AND pos < start + k GROUP BY ALL),
+     {_keys_sql("key2", 1, "SELECT label, block + 1 AS block FROM held")},
+     again AS (SELECT label, b, t.block, start, k, k0, k1, unnest(range(t)) AS slot FROM taken t JOIN key2 q USING (label, b) WHERE q.block = t.block + 1),
+     second_draw AS ({_digest_sql("again", "k::UBIGINT")}),
+     sample AS MATERIALIZED (SELECT b, d.label AS y, p.score FROM second_draw d JOIN placed p ON p.label = d.label AND p.place = d.start + d.pos)"""
 
 
 def _base(spark, d):
     e = b.event_log(spark, d)
     return e.select(
         "event_id",
+        "user_id",
         F.when(F.col("kind") == "error", 1).otherwise(0).alias("y"),
         (F.col("amount") / (F.col("amount") + 50.0)).alias("p1"),
         ((F.col("event_id") % 101).cast("double") / 101.0).alias("p2"),
     )
 
 
-def _sample(spark, d):
-    return bs.stratified_bootstrap(_base(spark, d), [], "event_id", RESAMPLES, SEED)
+_KEY_NUMBER = "CAST('0x' || substr(md5('0:' || user_id || ':' || event_id), 1, 13) AS BIGINT)"
 
 
 @query(
     "stratified_bootstrap",
-    f"WITH {_DRAWN} SELECT b, event_id, y, count(*) AS copies FROM sample GROUP BY b, event_id, y",
+    f"""WITH {_EVENTS}, {_boot_sql(f"SELECT y, {_KEY_NUMBER} AS score FROM rows")},
+       per AS (SELECT score, b, count(*) AS c FROM sample GROUP BY ALL)
+       SELECT user_id, event_id, y, CAST(coalesce(sum(c), 0) AS BIGINT) AS copies, count(c) AS present
+       FROM rows LEFT JOIN per ON per.score = {_KEY_NUMBER} GROUP BY ALL""",
 )
 def _stratified(spark, d):
-    return _sample(spark, d).select("b", "event_id", "y", "copies")
+    return bs.row_draws(_base(spark, d), [], ["user_id", "event_id"], seed=SEED)
 
 
-_BOOT = f"""{_DRAWN}, {_rank_sql("(SELECT b, y, p1 AS p FROM sample)", "b")},
-     per AS (SELECT m.b, (10 * count(*) FILTER (s.y = 1 AND p1 < 0.2::DOUBLE) + count(*) FILTER (s.y = 0 AND p1 >= 0.2::DOUBLE)) / count(*) AS expected_cost,
-               any_value(auc_pr) AS auc_pr, any_value(auc_roc) AS auc_roc, any_value(m.brier) AS brier
-             FROM sample s JOIN metrics m ON s.b = m.b GROUP BY m.b)"""
+_BOOT = f"""WITH {_EVENTS}, {_boot_sql("SELECT y, p1 AS score FROM rows")},
+     cells AS (SELECT b, score AS p, count(*) AS n, count(*) FILTER (y = 1) AS pos FROM sample GROUP BY ALL),
+     run AS (SELECT *, sum(n) OVER w AS shown, sum(pos) OVER w AS caught, sum(n) OVER (PARTITION BY b) AS all_n, sum(pos) OVER (PARTITION BY b) AS all_pos
+             FROM cells WINDOW w AS (PARTITION BY b ORDER BY p DESC)),
+     per AS (SELECT b, (10 * sum(pos) FILTER (p < {T_FIRST}::DOUBLE) + coalesce(sum(n - pos) FILTER (p >= {T_FIRST}::DOUBLE), 0)) / any_value(all_n) AS expected_cost,
+             sum(pos * caught / shown) / any_value(all_pos) AS auc_pr,
+             sum(pos * ((all_n - all_pos) - (shown - caught) + (n - pos) / 2)) / any_value(all_pos * (all_n - all_pos)) AS auc_roc,
+             sum(pos * (p - 1) * (p - 1) + (n - pos) * p * p) / any_value(all_n) AS brier, """ + ", ".join(
+    f"""sum(CASE WHEN shown - n < {k} AND {k} <= shown THEN caught - pos + ({k} - shown + n) * pos / n ELSE 0 END) / any_value(all_pos) AS recall_at_{x}pct"""
+    for x in (5, 10, 20)
+    for k in [f"greatest(1, round_even({x / 100}::DOUBLE * all_n, 0))"]
+) + " FROM run GROUP BY b)"
+_SEVEN = ["expected_cost", "auc_pr", "auc_roc", "brier", "recall_at_5pct", "recall_at_10pct", "recall_at_20pct"]
 
 
-@query(
-    "bootstrap_metrics",
-    f"WITH {_BOOT} SELECT b, r(expected_cost) AS expected_cost, r(auc_pr) AS auc_pr, r(auc_roc) AS auc_roc, r(brier) AS brier FROM per",
-)
+def _resampled(spark, d):
+    return bs.bootstrap_metrics(_base(spark, d), [], "p1", T_FIRST, seed=SEED)
+
+
+@query("bootstrap_metrics", f"{_BOOT} SELECT b, {', '.join(f'r({m}) AS {m}' for m in _SEVEN)} FROM per")
 def _boot_metrics(spark, d):
-    sample = stage(_sample(spark, d), "sample")
-    return bs.resample_metrics(sample, "p1", 0.2, ["b"])
+    return _resampled(spark, d)
 
 
 @query(
     "bootstrap_interval",
-    f"""WITH {_BOOT} SELECT metric, r(quantile_cont(value, 0.025)) AS lo, r(quantile_cont(value, 0.975)) AS hi FROM (
-        SELECT 'expected_cost' AS metric, expected_cost AS value FROM per UNION ALL SELECT 'auc_pr', auc_pr FROM per
-        UNION ALL SELECT 'auc_roc', auc_roc FROM per UNION ALL SELECT 'brier', brier FROM per) GROUP BY metric""",
+    f"""{_BOOT} SELECT metric, r(quantile_cont(value, 0.025)) AS lo, r(quantile_cont(value, 0.975)) AS hi
+        FROM (UNPIVOT per ON {', '.join(_SEVEN)} INTO NAME metric VALUE value) GROUP BY metric""",
 )
 def _boot_interval(spark, d):
-    sample = stage(_sample(spark, d), "sample")
-    per = stage(bs.resample_metrics(sample, "p1", 0.2, ["b"]), "resampled")
-    return bs.intervals(per, [], ["expected_cost", "auc_pr", "auc_roc", "brier"])
+    return bs.intervals(stage(_resampled(spark, d), "resampled"), [])
 
 
 @query(
     "paired_bootstrap_diff",
-    f"""WITH {_DRAWN}, per AS (SELECT b, sum(CASE WHEN y = 1 AND p1 < 0.2::DOUBLE THEN 10 WHEN y = 0 AND p1 >= 0.2::DOUBLE THEN 1 ELSE 0 END) / count(*)
-             - sum(CASE WHEN y = 1 AND p2 < 0.1::DOUBLE THEN 10 WHEN y = 0 AND p2 >= 0.1::DOUBLE THEN 1 ELSE 0 END) / count(*) AS diff
+    f"""WITH {_EVENTS}, {_boot_sql(f"SELECT y, 2 * CAST(p1 >= {T_FIRST}::DOUBLE AS INTEGER) + CAST(p2 >= {T_SECOND}::DOUBLE AS INTEGER) AS score FROM rows")},
+        per AS (SELECT b, sum(CASE WHEN y = 1 AND score < 2 THEN 10 WHEN y = 0 AND score >= 2 THEN 1 ELSE 0 END) / count(*)
+             - sum(CASE WHEN y = 1 AND score % 2 = 0 THEN 10 WHEN y = 0 AND score % 2 = 1 THEN 1 ELSE 0 END) / count(*) AS diff
              FROM sample GROUP BY b),
         q AS (SELECT quantile_cont(diff, 0.025) AS lo, quantile_cont(diff, 0.975) AS hi FROM per)
         SELECT r(lo) AS lo, r(hi) AS hi, CASE WHEN hi < 0 THEN 'first cheaper' WHEN lo > 0 THEN 'second cheaper' ELSE 'not separated' END AS verdict FROM q""",
 )
 def _paired(spark, d):
-    per = stage(bs.paired_costs(_sample(spark, d), ["b"], "p1", "p2", F.lit(0.2), F.lit(0.1)), "paired")
+    per = stage(bs.paired_costs(_base(spark, d), [], "p1", "p2", F.lit(T_FIRST), F.lit(T_SECOND), seed=SEED), "paired")
     found = bs.intervals(per, [], ["difference"])
     return found.select("lo", "hi", bs.interval_verdict(F.col("lo"), F.col("hi")).alias("verdict"))
 

@@ -73,14 +73,84 @@ def test_rank_map_with_ties(skewed):
     assert got == {r["id"]: i + 1 for i, r in enumerate(order)}
 
 
-def test_bootstrap_keeps_class_sizes(skewed):
-    whole = skewed.select("id", "y", "v")
-    classes = {r["y"]: r["count"] for r in whole.groupBy("y").count().collect()}
-    sample = bs.stratified_bootstrap(whole, [], "id", 5, 1)
-    for r in sample.groupBy("b", "y").agg(F.sum("copies").alias("n")).collect():
-        assert r["n"] == classes[r["y"]]
-    again = bs.stratified_bootstrap(whole.repartition(3), [], "id", 5, 1)
-    assert sample.select("b", "id", "copies").exceptAll(again.select("b", "id", "copies")).count() == 0
+def by_hand(rows, resamples, seed, size):
+    """Copies of every (class, score) per resample by the two-step rule, one draw at a time."""
+    rows = sorted(rows)
+    scores, below = {}, 0
+    for v in sorted({v for v, _ in rows}):
+        n = sum(x == v for x, _ in rows)
+        scores[v] = 2 * (below // size) + (n >= size)
+        below += n
+    out = {}
+    for c in (0, 1):
+        mine = [v for v, y in rows if y == c]
+        starts = {}
+        for i, v in enumerate(mine):
+            starts.setdefault(scores[v], i)
+        for b in range(1, resamples + 1):
+            taken = {}
+            for slot in range(len(mine)):
+                at = int(bs.drawn(seed, 0, np.array([b]), c, 0, np.array([slot]), len(mine))[0, 0])
+                taken[scores[mine[at]]] = taken.get(scores[mine[at]], 0) + 1
+            for block, t in taken.items():
+                inside = [v for v in mine if scores[v] == block]
+                for slot in range(t):
+                    v = inside[int(bs.drawn(seed, 1, np.array([b]), c, block + 1, np.array([slot]), len(inside))[0, 0])]
+                    out[b, c, v] = out.get((b, c, v), 0) + 1
+    return out
+
+
+@pytest.fixture
+def small_blocks(monkeypatch):
+    monkeypatch.setattr(bs, "MIN_BLOCK", 40)
+
+
+def test_bootstrap_metrics_by_hand(skewed, small_blocks):
+    """Many blocks, a score of a third of the rows as a block of its own, two groups."""
+    got = {(r["g"], r["b"]): r for r in bs.bootstrap_metrics(skewed, ["g"], "v", 5.0, 6, 3).collect()}
+    for g, rows in by_group(skewed.where("v is not null and g != 'one'")).items():
+        copies = by_hand([(r["v"], r["y"]) for r in rows], 6, 3, 40)
+        pos_n = sum(r["y"] for r in rows)
+        for b in range(1, 7):
+            drawn = sorted((v, c) for (bb, c, v), n in copies.items() if bb == b for _ in range(n))
+            assert len(drawn) == len(rows) and sum(c for _, c in drawn) == pos_n
+            neg = [v for v, c in drawn if not c]
+            pos = [v for v, c in drawn if c]
+            r = got[g, b]
+            assert r["expected_cost"] == pytest.approx((10 * sum(v < 5 for v in pos) + sum(v >= 5 for v in neg)) / len(drawn))
+            assert r["auc_roc"] == pytest.approx(sum((n < p) + (n == p) / 2 for p in pos for n in neg) / len(pos) / len(neg))
+            assert r["auc_pr"] == pytest.approx(sum(sum(x >= p for x in pos) / sum(v >= p for v, _ in drawn) for p in pos) / len(pos))
+            assert r["brier"] == pytest.approx(sum((v - c) ** 2 for v, c in drawn) / len(drawn))
+            for share, name in ((0.05, "recall_at_5pct"), (0.1, "recall_at_10pct"), (0.2, "recall_at_20pct")):
+                k = max(1, round(share * len(drawn)))
+                line = sorted((v for v, _ in drawn), reverse=True)[k - 1]
+                above = [c for v, c in drawn if v > line]
+                tied = [c for v, c in drawn if v == line]
+                assert r[name] == pytest.approx((sum(above) + (k - len(above)) * sum(tied) / len(tied)) / len(pos))
+
+
+def test_bootstrap_rows_of_a_composite_key(skewed, small_blocks):
+    out = bs.row_draws(skewed, ["g"], ["id", "v"], 20, 1).collect()
+    assert len(out) == skewed.count()
+    for g, n in GROUPS.items():
+        for c in (0, 1):
+            mine = [r for r in out if r["g"] == g and r["y"] == c]
+            assert sum(r["copies"] for r in mine) == 20 * len(mine)
+            assert len(mine) < 50 or 0.55 < sum(r["present"] for r in mine) / 20 / len(mine) < 0.72
+    again = bs.row_draws(skewed.repartition(3), ["g"], ["id", "v"], 20, 1)
+    assert sorted(map(str, again.collect())) == sorted(map(str, out))
+
+
+def test_bootstrap_shuffles_blocks_not_rows(spark, small_blocks):
+    """Ten times the rows: what the exchanges write grows with the blocks at most, and no task draws all of a hot score."""
+    rows = [(float(i % 997), int(i % 3 == 0)) for i in range(2000)]
+    few = spark.createDataFrame(rows, "v double, y int")
+    held = bs.score_blocks(few, [], "v")
+    blocks = held.select("block").distinct().count()
+    cells = bs.block_draws(held, [], 50, 1).select(F.sum(F.size("draws"))).first()[0]
+    assert cells == blocks * 50 and blocks <= 2000 // 40 + 2
+    text = plan(bs.bootstrap_metrics(few, [], "v", 0.5, 50))
+    assert "Generate explode(draws" not in text and "CartesianProduct" not in text
 
 
 def plan(df) -> str:
@@ -143,7 +213,7 @@ def test_null_group_keeps_its_rows(spark):
 def test_bootstrap_refuses_equal_keys(spark):
     df = spark.createDataFrame([(1, 1), (1, 1), (2, 1)], "id long, y int")
     with pytest.raises(Exception, match="not unique"):
-        bs.numbered(df, [], "id").collect()
+        bs.row_draws(df, [], ["id"], 2).collect()
 
 
 def test_two_sided_p(spark):
