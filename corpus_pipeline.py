@@ -13,14 +13,11 @@ from pyspark.sql import functions as F
 from cohortlens.functions.session import stage
 from cohortlens.llm.decontamination import decontaminate
 from cohortlens.llm.language_id import UNDETERMINED, fit_languages, is_held_out, predict_languages
-from cohortlens.llm.line_spread import dedup_lines
 from cohortlens.llm.near_duplicates import near_duplicates
-from cohortlens.llm.queries import mixed
+from cohortlens.llm.queries import mixed, without_repeated_lines
 
 #: A language prediction below this posterior probability is no prediction.
 MIN_SCORE = 0.5
-#: A line of 50 or more words is boilerplate on so many sites or in so many documents, whatever their sites.
-LONG_SITES, LONG_DOCS = 3, 4
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +29,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without repeated lines; those with no word left but for such lines go."""
-    cut = dedup_lines(docs, long_sites=LONG_SITES, long_docs=LONG_DOCS, one_word=True)
+    cut = without_repeated_lines(docs)
     left = cut.where((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     changed = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return left.withColumn("n_chars", changed).select(docs.columns)
