@@ -230,6 +230,7 @@ def with_ctes(sql: str, digits: int = 6) -> str:
     if not found:
         return body
     head = ",\n".join(f"{n} AS MATERIALIZED ({CTES[n].strip()})" for n in found)
-    if re.match(r"WITH\s", body):
-        return f"WITH {head},\n{body[4:].lstrip()}"
+    own_list = re.match(r"WITH\s+(RECURSIVE\s+)?", body)
+    if own_list:
+        return f"WITH {own_list[1] or ''}{head},\n{body[own_list.end():]}"
     return f"WITH {head}\n{body}"

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,6 +46,31 @@ def grouped_contribution(long: DataFrame, key: Sequence[str]) -> DataFrame:
     return per_row.groupBy("feature").agg(F.avg(F.abs("_c")).alias("importance"))
 
 
+def vector_contributions(rows: DataFrame, x: str, columns: Sequence[str], weights: Sequence[float], intercept: float) -> DataFrame:
+    """The input with ``contributions``, feature -> signed sum over the feature's columns, and the probability p that they add up to.
+
+    Columns fold to features inside the row, so nothing is turned into long form.
+    """
+    folded: dict[str, list[int]] = {}
+    for i, c in enumerate(columns):
+        bare = c[len(MISSING_PREFIX) :] if c.startswith(MISSING_PREFIX) else c
+        folded.setdefault(bare.split(LEVEL_MARK)[0], []).append(i)
+    w = F.array(*[F.lit(float(v)) for v in weights])
+    terms = F.zip_with(F.col(x), w, lambda a, b: a * b)
+    summed = rows.withColumn("_terms", terms)
+    parts = [F.struct(F.lit(f).alias("feature"), sum((F.col("_terms")[i] for i in at), F.lit(0.0)).alias("c")) for f, at in folded.items()]
+    out = summed.withColumn("contributions", F.array(*parts))
+    score = F.aggregate("contributions", F.lit(float(intercept)), lambda a, t: a + t["c"])
+    return out.withColumn("p", 1.0 / (1.0 + F.exp(-score))).drop("_terms")
+
+
+def mean_contributions(rows: DataFrame) -> DataFrame:
+    """(feature, importance): mean absolute contribution over the rows, one aggregate of vectors."""
+    vector = array_to_vector(F.transform("contributions", lambda t: F.abs(t["c"])))
+    got = rows.agg(vector_to_array(Summarizer.mean(vector)).alias("m"), F.first(F.transform("contributions", lambda t: t["feature"])).alias("f"))
+    return got.select(F.explode(F.arrays_zip("f", "m")).alias("t")).select(F.col("t.f").alias("feature"), F.col("t.m").alias("importance"))
+
+
 def column_importance(long: DataFrame) -> DataFrame:
     """Mean absolute contribution per design column; columns that never contribute are marked."""
     return (
