@@ -1,13 +1,12 @@
 """Language of a text: multinomial naive Bayes over hashed character n-grams.
 
 Training counts n-grams of every labelled row in tasks (one table of classes x buckets per task,
-summed by Spark). The log-probability matrix has at most ``MAX_CLASSES`` x ``BUCKETS`` numbers, is
-checked against that bound and broadcast; scoring adds its rows over the n-grams of each text in numpy.
+summed by Spark). The log-probability matrix is broadcast in parts of at most ``SHARD_CLASSES`` x ``BUCKETS`` numbers;
+scoring adds its rows over the n-grams of each text in numpy, part by part.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -16,14 +15,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from cohortlens.llm.textbatch import chunks, parts, utf8
 
 BUCKETS, ORDERS, SMOOTHING = 1 << 15, (1, 2, 3), 0.5
-#: 256 classes make a matrix of 32 MB, the most that is sent to an executor.
-MAX_CLASSES = 256
+#: 256 classes make a matrix of 32 MB, the most that is sent at a time.
+SHARD_CLASSES = 256
 UNDETERMINED = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 _U = np.uint32
 
 
@@ -97,9 +96,6 @@ def fit_languages(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     )
     counts = rows.mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     found = counts.groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("cells"))
-    classes = rows.select("lang").distinct().limit(MAX_CLASSES + 1).count()
-    if classes > MAX_CLASSES:
-        raise ValueError(f"more than {MAX_CLASSES} languages: the model would not fit its size bound")
     got = {r["lang"]: r["cells"] for r in found.collect()}
     langs = sorted(got)
     table = np.zeros((BUCKETS + 1, len(langs)))
@@ -121,25 +117,25 @@ def predict_languages(
     classes gives ``und`` and score 0. Equal best classes: the first in name order wins.
     """
     keep = keep or {}
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    context = docs.sparkSession.sparkContext
+    langs, prior = model.langs, model.prior
+    shards = [context.broadcast(np.ascontiguousarray(model.weights[:, k : k + SHARD_CLASSES].T)) for k in range(0, len(langs), SHARD_CLASSES)]
     if {"lang_pred", "score", "_text"} & set(keep):
         raise ValueError("lang_pred, score and _text are names of the result")
 
     carried = list(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        langs, weights, prior = shared.value
         names = np.array([*langs, UNDETERMINED], object)
-        columns = [np.ascontiguousarray(weights[:, k]) for k in range(len(langs))]
         for batch in parts(batches):
             text = batch.column("_text")
             best = np.full(batch.num_rows, len(langs))
             score = np.zeros(batch.num_rows)
             if langs:
-                known = np.array([t is not None and _LETTER.search(t) is not None for t in text.to_pylist()], bool)
+                known = np.array([t is not None and any(map(str.isalpha, t)) for t in text.to_pylist()], bool)
                 for i, j, points, bounds in _points(text):
                     grams, row = _grams(points, bounds)
-                    total = np.stack([np.bincount(row, w[grams], j - i) for w in columns], axis=1) + prior
+                    total = np.stack([np.bincount(row, w[grams], j - i) for part in shards for w in part.value], axis=1) + prior
                     total -= total.max(axis=1, keepdims=True)
                     odds = np.exp(total)
                     best[i:j] = odds.argmax(axis=1)
@@ -150,8 +146,8 @@ def predict_languages(
             yield pa.RecordBatch.from_arrays(out, [*carried, "lang_pred", "score"])
 
     rows = docs.select(*[e.alias(c) for c, e in keep.items()], F.col(text_col).cast("string").alias("_text"))
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(run, schema + "lang_pred string, score double")
+    added = [StructField("lang_pred", StringType()), StructField("score", DoubleType())]
+    return rows.mapInArrow(run, StructType([*rows.schema.fields[:-1], *added]))
 
 
 def is_held_out(id_col: str = "doc_id", parts: int = 4, part: int = 2) -> Column:

@@ -28,3 +28,36 @@ def test_edge_rows(spark):
     none = docs.where("lang = 'nothing'")
     assert {r["lang_pred"] for r in predict_languages(docs, fit_languages(none)).collect()} == {"und"}
     assert predict_languages(none, model).collect() == []
+
+
+def test_naive_bayes_by_hand(spark, monkeypatch):
+    """Counts, weights and posteriors of a small model against the formulas, with the matrix in several parts."""
+    from collections import Counter
+
+    import numpy as np
+
+    from cohortlens.llm import language_id as li
+
+    monkeypatch.setattr(li, "SHARD_CLASSES", 2)
+    texts = {"a": ["abba aab", "ab"], "b": ["bcbc bc, cb", "cab"], "c": ["xyz zyx xy"], "d": ["\u00e9\u00e8 \u00e9a"], "e": ["qq q", "qa"]}
+    rows = [(i, t, lang) for i, (lang, t) in enumerate((g, t) for g, ts in texts.items() for t in ts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+
+    def grams(t):
+        points = np.array([ord(c) for c in t.lower()], np.int64)
+        return li._grams(points, np.array([0, points.size]))[0].tolist()
+
+    counts = {g: Counter(b for t in ts for b in grams(t)) for g, ts in texts.items()}
+    ask = ["abc", "zzz xyz", "q", "\u00e9", "ab" * 5000, "\u00b2 \u00bd 12", "", None, "\u00aa"]
+    got = li.predict_languages(spark.createDataFrame([(i, t) for i, t in enumerate(ask)], "i int, text string"), li.fit_languages(df), keep={"i": F.col("i")})
+    for r in got.collect():
+        t = ask[r["i"]]
+        if not t or not any(c.isalpha() for c in t):
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        scores = []
+        for g, ts in texts.items():
+            total = sum(counts[g].values()) + li.SMOOTHING * li.BUCKETS
+            scores.append(np.log(len(ts) / len(rows)) + sum(np.log((counts[g][b] + li.SMOOTHING) / total) for b in grams(t)))
+        odds = np.exp(np.array(scores) - max(scores))
+        assert r["lang_pred"] == list(texts)[int(odds.argmax())] and abs(r["score"] - odds.max() / odds.sum()) < 1e-3

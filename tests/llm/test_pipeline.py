@@ -77,3 +77,17 @@ def test_menu_line_of_one_word(spark):
     docs = spark.createDataFrame([(i, f"own text {i}\nImprint", "en", f"s{i}", 18) for i in range(10)], "doc_id long, text string, lang string, source string, n_chars long")
     got = {r["doc_id"]: r["text"] for r in corpus_pipeline.without_boilerplate(spark, docs, SF).collect()}
     assert got == {0: "own text 0\nImprint"} | {i: f"own text {i}" for i in range(1, 10)}
+
+
+def test_odd_column_names_pass_through(spark, steps):
+    """Names with dots, blanks and those that stages use inside come out as they went in."""
+    odd = spark.createDataFrame(steps[0][:60], "doc_id long, text string, lang string, source string, n_chars long").selectExpr(
+        "*", "doc_id AS `a.b`", "1 AS `my col`", "2 AS row", "3 AS n_lines", "4 AS kept", "5 AS score"
+    )
+    docs = odd
+    for name, step in corpus_pipeline.STAGES:
+        docs = step(spark, docs, SF)
+        assert docs.columns[: len(odd.columns)] == odd.columns or name == "lines"
+        assert set(odd.columns) <= set(docs.columns)
+        docs = spark.createDataFrame(docs.collect(), docs.schema)
+    assert all(r["a.b"] == r["doc_id"] and r["my col"] == 1 for r in docs.collect())
