@@ -5,6 +5,9 @@ sum gradient, second derivative and count per (configuration, node, feature, bin
 of each node is found where its histogram is. Trees grow in blocks; inside a block margins follow from the few trees of the
 block, at its end they are written out. Validation loss is scored for every prefix of the block's trees, so growing
 stops ``patience`` trees after the best one and the model is that prefix, without another fit.
+
+A group of at most ``LOCAL_ROWS`` rows has complete histograms inside one task; there a whole block of trees grows in one job, by the
+same splits, and configurations are dealt over tasks instead of rows.
 """
 
 from __future__ import annotations
@@ -26,6 +29,8 @@ BLOCK_TREES = 10
 MIN_HESSIAN = 1e-3
 #: Rows that make a partition of their own, so a small table is not spread over more tasks than it pays for.
 ROWS_PER_TASK = 20_000
+#: A group of so few rows grows the trees of a block inside tasks, in this many parts of its configurations.
+LOCAL_ROWS, LOCAL_PARTS = 20_000, 8
 #: Histograms of all tasks of a pass come to the driver up to this size; beyond it Spark adds them and finds the splits.
 DRIVER_BYTES = 1 << 25
 
@@ -258,10 +263,10 @@ def fit_boosted(
     """
     limits = [max_trees] * len(specs) if isinstance(max_trees, int) else list(max_trees)
     base = {
-        r["grp"]: (r["pos"] or 0.0, r["w"])
-        for r in rows.where("fit").groupBy("grp").agg(F.sum(F.when(F.col("y") == 1, F.col("weight"))).alias("pos"), F.sum("weight").alias("w")).collect()
+        r["grp"]: (r["pos"] or 0.0, r["w"], r["n"])
+        for r in rows.where("fit").groupBy("grp").agg(F.sum(F.when(F.col("y") == 1, F.col("weight"))).alias("pos"), F.sum("weight").alias("w"), F.count(F.lit(1)).alias("n")).collect()
     }
-    start = {g: float(np.log(max(p, 1e-9) / max(w - p, 1e-9))) for g, (p, w) in base.items()}
+    start = {g: float(np.log(max(p, 1e-9) / max(w - p, 1e-9))) for g, (p, w, _) in base.items()}
     slots: list[int] = []
     per_group: dict[int, int] = {}
     for s in specs:
@@ -279,8 +284,12 @@ def fit_boosted(
     active = [i for i in range(len(specs)) if limits[i] > 0]
     while active:
         block: dict[int, list[Tree]] = {i: [] for i in active}
+        wanted = {i: min(block_trees, limits[i] - len(trees[i])) for i in active}
+        inside = [i for i in active if base[specs[i].group][2] <= LOCAL_ROWS]
+        if inside:
+            _grow_inside(now.where("fit"), specs, layouts, slots, block, {i: wanted[i] for i in inside})
         for _ in range(block_trees):
-            grow = {i: Tree(specs[i].max_depth) for i in active if len(trees[i]) + len(block[i]) < limits[i]}
+            grow = {i: Tree(specs[i].max_depth) for i in active if i not in inside and len(block[i]) < wanted[i]}
             if not grow:
                 break
             _grow(now.where("fit").coalesce(tasks), tasks, specs, layouts, slots, block, grow)
@@ -324,6 +333,65 @@ def _splits(parts: DataFrame, size: int, specs: Sequence[BoostSpec], layouts: Ma
         yield dict(zip(_SPLIT_NAMES, (config, node, f, b, gain, *left[:2].tolist(), *every[:2].tolist())))
 
 
+def grow_tree(bins: np.ndarray, y: np.ndarray, w: np.ndarray, margin: np.ndarray, spec: BoostSpec, layout: Layout) -> Tree:
+    """One tree over rows that are all here, a level at a time."""
+    p = 1.0 / (1.0 + np.exp(-margin))
+    parts = [w * (p - y), w * p * (1 - p), np.ones(y.size)]
+    tree, width = Tree(spec.max_depth), bins.shape[1]
+    cells, at = layout.starts[None, :] + bins, np.ones(y.size, np.int64)
+    for level in range(spec.max_depth):
+        nodes = 2**level
+        there = np.flatnonzero(at >= nodes)
+        index = ((at[there] - nodes)[:, None] * layout.total + cells[there]).ravel()
+        hist = np.stack([np.bincount(index, np.repeat(v[there], width), nodes * layout.total).reshape(nodes, layout.total) for v in parts], axis=1)
+        split = 0
+        for node in np.unique(at[there] - nodes):
+            f, b, _, left, whole = best_splits(hist[node], layout, spec.min_rows)
+            split += _set_node(tree, nodes + int(node), spec.learning_rate, f, b, *left[:2].tolist(), *whole[:2].tolist())
+        if not split:
+            break
+        at = tree.leaves(bins, layout.ordered, level + 1)
+    return tree
+
+
+def _set_node(tree: Tree, at: int, rate: float, feature: int, bin_: int, gl: float, hl: float, g: float, h: float) -> bool:
+    tree.value[at] = -rate * g / h if h > 0 else 0.0
+    if feature < 0:
+        return False
+    tree.feature[at], tree.bin[at] = feature, bin_
+    tree.value[2 * at] = -rate * gl / hl
+    tree.value[2 * at + 1] = -rate * (g - gl) / (h - hl)
+    return True
+
+
+def _grow_inside(rows: DataFrame, specs, layouts, slots, block: dict[int, list[Tree]], wanted: Mapping[int, int]) -> None:
+    """The trees of a block for groups whose rows fit a task: one job, a task for each group and part of its configurations."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        g, part = int(frame["grp"].iloc[0]), int(frame["part"].iloc[0])
+        layout = layouts[g]
+        bins = np.frombuffer(b"".join(frame["bins"]), "<u2").reshape(len(frame), layout.sizes.size).astype(np.int64)
+        margins, y, w = np.stack(frame["margins"].to_numpy()), frame["y"].to_numpy(), frame["weight"].to_numpy()
+        out = []
+        for i, n in wanted.items():
+            if specs[i].group != g or slots[i] % LOCAL_PARTS != part:
+                continue
+            margin = margins[:, slots[i]].copy()
+            for k in range(n):
+                tree = grow_tree(bins, y, w, margin, specs[i], layout)
+                margin += tree.value[tree.leaves(bins, layout.ordered)]
+                out.append((i, k, tree.feature.tolist(), tree.bin.tolist(), tree.value.tolist()))
+        return pd.DataFrame(out, columns=["config", "tree", "feature", "bin", "value"])
+
+    mine = rows.where(F.col("grp").isin(sorted({specs[i].group for i in wanted})))
+    dealt = mine.withColumn("part", F.explode(F.array(*[F.lit(p) for p in range(LOCAL_PARTS)])))
+    found = dealt.groupBy("grp", "part").applyInPandas(run, "config int, tree int, feature array<int>, bin array<int>, value array<double>")
+    for r in sorted(found.collect(), key=lambda r: (r["config"], r["tree"])):
+        tree = Tree(specs[r["config"]].max_depth)
+        tree.feature[:], tree.bin[:], tree.value[:] = r["feature"], r["bin"], r["value"]
+        block[r["config"]].append(tree)
+
+
 def _grow(rows: DataFrame, tasks: int, specs, layouts, slots, block, grow: dict[int, Tree]) -> None:
     """Grow one tree of each configuration, a level of all of them a pass; leaf values get the learning rate."""
     for level in range(max(specs[i].max_depth for i in grow)):
@@ -333,13 +401,7 @@ def _grow(rows: DataFrame, tasks: int, specs, layouts, slots, block, grow: dict[
         size = tasks * sum(24 * layouts[specs[i].group].total * max(1, np.count_nonzero(grow[i].feature[2**level // 2 : 2**level] >= 0) * 2) for i in deep)
         split = 0
         for r in _splits(parts, size, specs, layouts):
-            tree, at = grow[r["config"]], 2**level + r["node"]
             rate = specs[r["config"]].learning_rate
-            tree.value[at] = -rate * r["g"] / r["h"] if r["h"] > 0 else 0.0
-            if r["feature"] >= 0:
-                tree.feature[at], tree.bin[at] = r["feature"], r["bin"]
-                tree.value[2 * at] = -rate * r["gl"] / r["hl"]
-                tree.value[2 * at + 1] = -rate * (r["g"] - r["gl"]) / (r["h"] - r["hl"])
-                split += 1
+            split += _set_node(grow[r["config"]], 2**level + r["node"], rate, r["feature"], r["bin"], r["gl"], r["hl"], r["g"], r["h"])
         if not split:
             break

@@ -71,9 +71,10 @@ def grown_by_hand(bins, y, w, layout, spec, n_trees, start):
     return out
 
 
-@pytest.mark.parametrize("driver_bytes", [1 << 25, 0])
-def test_trees_by_hand(spark, monkeypatch, driver_bytes):
-    """Both ways of adding histograms, several groups and configurations, blocks of two trees."""
+@pytest.mark.parametrize("local_rows, driver_bytes", [(20_000, 0), (0, 1 << 25), (0, 0)])
+def test_trees_by_hand(spark, monkeypatch, local_rows, driver_bytes):
+    """All ways of adding histograms, several groups and configurations, blocks of two trees."""
+    monkeypatch.setattr(bo, "LOCAL_ROWS", local_rows)
     monkeypatch.setattr(bo, "DRIVER_BYTES", driver_bytes)
     monkeypatch.setattr(bo, "ROWS_PER_TASK", 50)
     rng = np.random.default_rng(3)
