@@ -15,6 +15,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortlens.functions.hot_join import hot_join
 from cohortlens.functions.scalars import key_digest
 from cohortlens.functions.session import stage
 
@@ -102,14 +103,15 @@ def with_percent_rank(df: DataFrame, groups: Sequence[str], value: str, out: str
     """Percent rank of ``value`` inside each group; rows without a value get NULL and do not count.
 
     Those rows stay out of the join, where they would meet on one key. The ladder is written out, so Spark
-    broadcasts it when its real size allows; ``df`` is read three times and should be a stored table.
+    broadcasts it when its real size allows; ``df`` is read four times and should be a stored table.
     """
     ladder = running_counts(df, groups, value, {"n": F.lit(1)})
     rank = F.when(F.col("n_total") <= 1, F.lit(0.0)).otherwise(
         F.col("n_below") / (F.col("n_total") - 1)
     )
     ranks = stage(ladder.select(*groups, value, rank.alias(out)), "ranks")
-    ranked = same_keys(df.where(F.col(value).isNotNull()), ranks, [*groups, value])
+    # A value of a large share of a group is a hot key of this join once the ladder outgrows a broadcast.
+    ranked = hot_join(df.where(F.col(value).isNotNull()), ranks, [*groups, value])
     return ranked.unionByName(df.where(F.col(value).isNull()).withColumn(out, F.lit(None).cast("double")))
 
 

@@ -12,7 +12,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortlens.functions.hot_join import hot_join
 from cohortlens.functions.scalars import safe_ratio
+from cohortlens.functions.session import stage
 
 LAST_DAYS = 7
 
@@ -115,7 +117,8 @@ def breadth(
         F.min(d).alias("_first"),
         *[F.sum(F.when(d < c, F.col(amount))).alias(f"_sum_{c}") for c in cutoffs],
     )
-    typed = touched.join(items.select(item, kind), item, "left")
+    # An item that every unit opens is one key with a row per unit.
+    typed = hot_join(stage(touched, "touched"), stage(items.select(item, kind), "items"), [item], "left")
     upto = F.lit(None).cast("bigint")
     for c in cutoffs:
         upto = F.when(F.col("cutoff") == c, F.col(f"_sum_{c}")).otherwise(upto)

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortlens.catalog import load
+from cohortlens.functions.hot_join import hot_join, hot_keys
 from cohortlens.functions.ranking import budget_flags, exact_quantiles, running_counts, with_percent_rank
 from cohortlens.functions.scalars import key_digest
 from cohortlens.functions.normal import two_sided_p
@@ -223,3 +224,34 @@ def test_two_sided_p(spark):
     got = spark.createDataFrame([(z,) for z in zs], "z double").select("z", two_sided_p(F.col("z")).alias("p")).collect()
     for r in got:
         assert r["p"] == pytest.approx(erfc(abs(r["z"]) / sqrt(2)), rel=1e-9)
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    for k, v in zip(kept, ("-1", "false", "16")):
+        spark.conf.set(k, v)
+    yield
+    for k, v in kept.items():
+        spark.conf.set(k, v)
+
+
+def test_hot_join_deals_out_a_key_of_half_the_rows(spark, no_broadcast):
+    """No task reads over twice the median, and the rows are those of a plain join, NULL keys included."""
+    key = F.when(F.col("id") % 2 == 0, 7).when(F.col("id") % 11 == 0, F.lit(None)).otherwise(F.col("id") % 5000)
+    rows = spark.range(200_000).select("id", key.cast("long").alias("k"))
+    lookup = spark.range(5000).select(F.col("id").alias("k"), (F.col("id") * 3).alias("v")).unionByName(spark.createDataFrame([(None, -1)], "k long, v long"))
+    assert len(hot_keys(rows, ["k"], 0.2)) == 1
+    out = hot_join(rows, lookup, ["k"])
+    sizes = sorted(r["count"] for r in out.groupBy(F.spark_partition_id().alias("p")).count().collect())
+    assert len(sizes) == 16 and sizes[-1] <= 2 * sizes[8]
+    assert out.agg(F.count("v"), F.sum("v"), F.sum("id")).first() == rows.withColumn("v", F.coalesce(F.col("k") * 3, F.lit(-1))).agg(F.count("v"), F.sum("v"), F.sum("id")).first()
+
+
+def test_hot_join_edges(spark):
+    rows = spark.createDataFrame([(1, "a", 1), (1, None, 2), (2, "b", 3), (None, "a", 4)], "k int, g string, x int")
+    lookup = spark.createDataFrame([(1, "a", 10), (1, None, 20), (1, "a", 30)], "k int, g string, v int")
+    got = sorted(map(str, hot_join(rows, lookup, ["k", "g"], "left").collect()))
+    want = [(1, "a", 1, 10), (1, "a", 1, 30), (1, None, 2, 20), (2, "b", 3, None), (None, "a", 4, None)]
+    assert got == sorted(f"Row(k={k!r}, g={g!r}, x={x!r}, v={v!r})" for k, g, x, v in want)
+    assert hot_join(rows.where("false"), lookup, ["k", "g"]).collect() == []
