@@ -161,7 +161,7 @@ _FEATURE_REPORT = " UNION ALL ".join(
 
 
 @query("feature_psi_report", _FEATURE_REPORT)
-def _feature_psi(spark, d):
+def feature_psi(spark, d):
     """Drift of every numeric and categorical feature between train and test, ranked at each cutoff.
 
     Values are rounded to nine decimals first: a slope of 1e-18 is a zero and must not fall beside a bin's edge at zero.

@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens.catalog.cohort_queries import KEY, cohort_of
+from cohortlens.catalog.drift_queries import feature_psi
 from cohortlens.catalog.feature_queries import features_of
 from cohortlens.catalog.registry import query
 from cohortlens.functions.session import stage
 from cohortlens.operators import bootstrap as bs
 from cohortlens.operators import importance as im
+from cohortlens.operators import overlap as ov
 from cohortlens.operators import scoring as sc
 from cohortlens.operators.features import CATEGORICAL_FEATURES, NUMERIC_FEATURES
 from cohortlens.operators.prep import fit_design, numeric_stats
@@ -312,6 +314,30 @@ def _holdout_decomposition(spark, d):
     return metrics.join(sizes, ["cutoff", "module"]).withColumn("ratio", F.col("auc_pr") / F.col("base_rate"))
 
 
+@query("holdout_subgroups")
+def _holdout_subgroups(spark, d):
+    """Returning against first-time units of the holdout on stored scores of every rung, by two definitions of returning."""
+    cut = max(b.DESIGN.cutoffs)
+    rows = stored_features(spark, d).where(F.col("cutoff") == cut)
+    s = F.col("split")
+    flags = ov.seen_flags(rows.select("id_student", "split"), "id_student", {"in_train": s == "train", "in_either": s.isin("train", "validate")})
+    scored = predictions_of(spark, d).where(F.col("cutoff") == cut).select("id_student", "y", "rung", "p")
+    lines = frozen_thresholds(spark, d).where(F.col("cutoff") == cut).select("rung", "threshold")
+    return ov.returning_performance(stage(scored, "overlap"), stage(flags, "flags"), "id_student", ["in_train", "in_either"], lines)
+
+
+@query("holdout_drift_vs_importance")
+def _holdout_drift(spark, d):
+    """Features on top by drift from train to test that are also on top by contribution to the full logistic rung."""
+    importance, drift = stage(_ladder_importance(spark, d), "importance"), stage(feature_psi(spark, d), "psi")
+    out = None
+    for c in b.DESIGN.cutoffs:
+        psi, imp = (x.where(F.col("cutoff") == c).drop("cutoff") for x in (drift, importance))
+        part = im.drift_vs_importance(psi.select("feature", "psi"), imp).withColumn("cutoff", F.lit(c))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query("ladder_importance")
 def _ladder_importance(spark, d):
     """Mean absolute contribution of each feature to the full logistic rung on the holdout, checked against stored scores."""
