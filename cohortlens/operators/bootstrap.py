@@ -140,7 +140,9 @@ def _with_draws(ladder: DataFrame, groups: Sequence[str], resamples: int, seed:
     parts = [F.col(f"s.{c}").alias(c) for c in ("score", "n0", "n1")]
     drawn_ = block_draws(ladder, groups, resamples, seed)
     names = [F.col(f"draws.{c}").alias(c) for c in ("b", "t0", "t1", "u0", "u1")]
-    return same_keys(entries, drawn_, by).select(*by, "total0", "total1", *more, *parts, *names)
+    # The rows are small and the work on each is not: without a number of parts they would be merged into a few.
+    tasks = int(ladder.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return same_keys(entries, drawn_, by).select(*by, "total0", "total1", *more, *parts, *names).repartition(tasks)
 
 
 def _copies(row, seed: int, rows_at: slice) -> list[np.ndarray]:
@@ -148,16 +150,17 @@ def _copies(row, seed: int, rows_at: slice) -> list[np.ndarray]:
     b = np.array(row.b, np.int64)[rows_at]
     out = []
     for c, counts, taken in ((0, row.n0, row.t0), (1, row.n1, row.t1)):
-        ends, t = np.cumsum(np.array(counts, np.int64)), np.array(taken, np.int64)[rows_at]
-        copies = np.zeros((b.size, ends.size), np.int64)
-        if ends.size == 1:
+        sizes, t = np.array(counts, np.int64), np.array(taken, np.int64)[rows_at]
+        copies = np.zeros((b.size, sizes.size), np.int64)
+        if sizes.size == 1:
             copies[:, 0] = t
-        elif ends[-1]:
+        elif sizes.any():
+            score_of = np.repeat(np.arange(sizes.size), sizes)
             for i in range(b.size):
                 for lo in range(0, int(t[i]), DRAWS_AT_ONCE):
                     slots = np.arange(lo, min(lo + DRAWS_AT_ONCE, int(t[i])))
-                    at = drawn(seed, 1, b[i : i + 1], c, row.block + 1, slots, int(ends[-1]))[0]
-                    copies[i] += np.bincount(np.searchsorted(ends, at, "right"), minlength=ends.size)
+                    at = drawn(seed, 1, b[i : i + 1], c, row.block + 1, slots, score_of.size)[0]
+                    copies[i] += np.bincount(score_of[at], minlength=sizes.size)
         out.append(copies)
     return out
 
