@@ -71,6 +71,11 @@ def cut_test(spark, d):
     return b.scored_by_cutoff(spark, d).where(F.col("split") == "test").drop("split")
 
 
+def cut_cells(spark, d):
+    """Score cells of validation and holdout rows, read by the frozen policy and by every metric."""
+    return sc.score_cells(b.scored_by_cutoff(spark, d), [*CUT, "split"])
+
+
 @query(
     "confusion_at_threshold",
     """SELECT split, rung, count(*) FILTER (y = 1 AND p < 0.3::DOUBLE) AS fn, count(*) FILTER (y = 0 AND p >= 0.3::DOUBLE) AS fp,
@@ -152,6 +157,22 @@ def _recall(spark, d):
     return sc.recall_at_budgets(scored(spark, d), BY, ["event_id"])
 
 
+@query(
+    "evaluation_report",
+    f"""WITH {_TABLE}, {_rank_sql('scored', 'split, rung')}, {_budget_sql('scored', 'split, rung', _BUDGETS)},
+         best AS (SELECT split, rung, unnest(min({{'expected_cost': (10 * fn + fp) / n, 'threshold': threshold, 'fn': fn, 'fp': fp}})) FROM conf GROUP BY split, rung),
+         cell AS (SELECT split, rung, least(floor(p * 10), 9) AS bin, count(*) AS n, avg(p) AS mean_p, avg(y) AS observed FROM scored GROUP BY ALL),
+         cal AS (SELECT split, rung, sum(n * abs(mean_p - observed)) / sum(n) AS ece FROM cell GROUP BY ALL),
+         recalls AS (SELECT split, rung, max(recall) FILTER (budget = 0.05::DOUBLE) AS a, max(recall) FILTER (budget = 0.1::DOUBLE) AS b,
+                     max(recall) FILTER (budget = 0.2::DOUBLE) AS c FROM budget_recall GROUP BY ALL)
+       SELECT split, rung, n, positives, r(base_rate) AS base_rate, r(auc_pr) AS auc_pr, r(auc_roc) AS auc_roc, r(brier) AS brier, r(threshold) AS threshold,
+         r(expected_cost) AS expected_cost, fn, fp, r(ece) AS ece, r(a) AS recall_at_5pct, r(b) AS recall_at_10pct, r(c) AS recall_at_20pct
+       FROM metrics JOIN best USING (split, rung) JOIN cal USING (split, rung) JOIN recalls USING (split, rung)""",
+)
+def _report(spark, d):
+    return ho.evaluation_report(scored(spark, d), BY, ["event_id"], sc.BUDGETS)
+
+
 @query(
     "recall_ceiling",
     """SELECT split, rung, r(budget) AS budget, r(least(1.0::DOUBLE, budget / avg(y))) AS ceiling
@@ -419,8 +440,9 @@ _METRICS_CUT = f"""{_CUT_TABLE}, {_POLICY}, {_rank_sql("scored_cut", "cutoff, sp
         FROM bases e JOIN bases l ON e.basis = l.basis AND e.metric = l.metric WHERE e.cutoff = 14 AND l.cutoff = 28""",
 )
 def _cutoffs(spark, d):
-    policy = cut_policy(spark, d)
-    metrics = stage(ho.holdout_metrics(cut_test(spark, d), policy, CUT, ["event_id"]), "points")
+    cells = cut_cells(spark, d)
+    policy = stage(ho.frozen_from_cells(cells.where("split = 'validate'"), CUT), "policy")
+    metrics = stage(ho.holdout_metrics(cut_test(spark, d), policy, CUT, ["event_id"], cells.where("split = 'test'")), "points")
     return ho.cutoff_comparison(metrics, ho.select_rung(policy, ["cutoff"]), 14, 28)
 
 
@@ -433,11 +455,10 @@ def _cutoffs(spark, d):
         FROM long v JOIN long t ON v.cutoff = t.cutoff AND v.rung = t.rung AND v.metric = t.metric WHERE v.split = 'validate' AND t.split = 'test'""",
 )
 def _change(spark, d):
-    policy = cut_policy(spark, d)
-    by = [*CUT, "split"]
-    rows = b.scored_by_cutoff(spark, d)
+    cells, by = cut_cells(spark, d), [*CUT, "split"]
+    policy = ho.frozen_from_cells(cells.where("split = 'validate'"), CUT)
     both = policy.withColumn("split", F.explode(F.array(F.lit("validate"), F.lit("test"))))
-    metrics = stage(ho.holdout_metrics(rows, both, by, ["event_id"]), "points")
+    metrics = stage(ho.holdout_metrics(b.scored_by_cutoff(spark, d), both, by, ["event_id"], cells), "points")
     return ho.validate_test_change(metrics, CUT)
 
 

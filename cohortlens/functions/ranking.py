@@ -206,12 +206,27 @@ def rank_ties(
     )
     inside = Window.partitionBy(*groups, _RANGE).orderBy("_digest", *key)
     return (
-        ranged.join(offsets, [*groups, _RANGE])
+        same_keys(ranged, offsets, [*groups, _RANGE])
         .withColumn("tie_rank", F.row_number().over(inside) + F.col("_offset"))
         .drop("_digest", _RANGE, "_offset")
     )
 
 
+def collapsed(scored: DataFrame, groups: Sequence[str], score: str, positives: Column) -> DataFrame:
+    """(groups.., score, n, pos): rows collapsed to distinct scores in one pass and written out.
+
+    Cells of parts of a table add up, so every order statistic of the scores follows from this table.
+    """
+    own = F.col(score).cast("double").alias(score)
+    cells = scored.groupBy(*groups, own).agg(F.count(F.lit(1)).alias("n"), F.sum(positives.cast("bigint")).alias("pos"))
+    return stage(cells, "cells")
+
+
+def cell_ladder(cells: DataFrame, groups: Sequence[str], score: str) -> DataFrame:
+    """:func:`running_counts` of cells ``(groups.., score, n, pos)``; cells of one score add up."""
+    return running_counts(cells, groups, score, {"n": F.col("n"), "pos": F.col("pos")})
+
+
 def budget_hits(
     scored: DataFrame,
     groups: Sequence[str],
@@ -220,17 +235,24 @@ def budget_hits(
     score: str,
     budgets: Sequence[float],
     seed: int,
+    ladder: DataFrame | None = None,
 ) -> DataFrame:
-    """Positives caught in the top share of each group: groups, budget, k, tp, pos_total, n_total."""
-    ladder = running_counts(scored, groups, score, {"n": F.lit(1), "pos": F.col(label).cast("bigint")})
+    """Positives caught in the top share of each group: groups, budget, k, tp, pos_total, n_total.
+
+    ``ladder`` is the :func:`cell_ladder` of the rows where the caller has it. ``scored`` is then read once, for the
+    rows at a boundary that the budget cuts through, and twice without it.
+    """
+    if ladder is None:
+        ladder = cell_ladder(collapsed(scored, groups, score, F.col(label)), groups, score)
     edges = stage(budget_boundaries(ladder, groups, score, budgets), "budget-edges")
     open_ties = edges.where(F.col("needed") < F.col("n_tied"))
     keep = [*groups, "budget", "needed"]
-    tied = (
-        scored.withColumn("boundary", F.col(score).cast("double"))
-        .join(open_ties.select(*keep, F.col("boundary").cast("double").alias("boundary")), [*groups, "boundary"])
-        .select(*keep, *[k for k in key], label)
+    at_line = same_keys(
+        scored.withColumn("boundary", F.col(score).cast("double")),
+        open_ties.select(*keep, F.col("boundary").cast("double").alias("boundary")),
+        [*groups, "boundary"],
     )
+    tied = stage(at_line.select(*keep, *key, label), "ties")
     caught = (
         rank_ties(tied, [*groups, "budget"], key, seed)
         .where(F.col("tie_rank") <= F.col("needed"))
@@ -240,7 +262,7 @@ def budget_hits(
     from_ties = F.when(F.col("needed") == F.col("n_tied"), F.col("pos_tied")).otherwise(
         F.coalesce(F.col("pos_drawn"), F.lit(0))
     )
-    return edges.join(caught, [*groups, "budget"], "left").select(
+    return same_keys(edges, caught, [*groups, "budget"], "left").select(
         *groups, "budget", "k", (F.col("pos_above") + from_ties).alias("tp"), "pos_total", "n_total"
     )
 
@@ -255,24 +277,26 @@ def budget_flags(
 ) -> DataFrame:
     """``scored`` with column ``flagged``: 1 for the top share of its group, ties broken by digest.
 
-    ``groups`` names at least one column; add a constant one to rank the whole table.
+    ``groups`` names at least one column; add a constant one to rank the whole table. ``key`` is unique inside a group.
+    The last tied row that still fits is found first, so flagging compares each row with one line of its group: rows
+    are neither ranked as a whole nor joined with themselves. A row without a score is not flagged.
     """
     if not groups:
         raise ValueError("budget_flags needs at least one group column")
-    ladder = running_counts(scored, groups, score, {"n": F.lit(1), "pos": F.lit(0)})
-    edges = stage(budget_boundaries(ladder, groups, score, [budget]), "budget-edges")
-    lines = edges.select(*groups, F.col("boundary").cast("double").alias("_line"), "needed", "n_tied")
+    by = list(groups)
+    ladder = cell_ladder(collapsed(scored, by, score, F.lit(0)), by, score)
+    edges = stage(budget_boundaries(ladder, by, score, [budget]), "budget-edges")
+    lines = edges.select(*by, F.col("boundary").cast("double").alias("_line"), "needed", "n_tied")
     own = F.col(score).cast("double")
-    placed = scored.join(lines, list(groups))
-    ties = placed.where((own == F.col("_line")) & (F.col("needed") < F.col("n_tied")))
-    drawn = (
-        rank_ties(ties.select(*groups, *key, "needed"), groups, key, seed)
-        .where(F.col("tie_rank") <= F.col("needed"))
-        .select(*groups, *key, F.lit(True).alias("_drawn"))
-    )
-    sure = (own > F.col("_line")) | ((own == F.col("_line")) & (F.col("needed") == F.col("n_tied")))
+    order = F.struct(key_digest(seed, *key), *key)
+    open_ties = lines.where(F.col("needed") < F.col("n_tied"))
+    ties = stage(same_keys(scored, open_ties, by).where(own == F.col("_line")).select(*by, *key, "needed"), "ties")
+    last = rank_ties(ties, by, key, seed).where(F.col("tie_rank") == F.col("needed")).select(*by, order.alias("_last"))
+    cut = stage(same_keys(lines, last, by, "left"), "lines")
+    whole = F.col("needed") == F.col("n_tied")
+    flagged = (own > F.col("_line")) | ((own == F.col("_line")) & (whole | (order <= F.col("_last"))))
     return (
-        placed.join(drawn, [*groups, *key], "left")
-        .withColumn("flagged", F.when(sure | F.col("_drawn").isNotNull(), 1).otherwise(0))
-        .drop("_line", "needed", "n_tied", "_drawn")
+        same_keys(scored, cut, by, "left")
+        .withColumn("flagged", F.when(flagged, 1).otherwise(0))
+        .drop("_line", "needed", "n_tied", "_last")
     )

@@ -1,7 +1,8 @@
 """Metrics of a long scored table ``(groups.., key, y, p)``.
 
-Threshold metrics come from one histogram over the threshold grid, ranking metrics from one
-table of distinct scores. Neither needs a sort of the scored rows.
+All of them follow from cells: one row per (group, distinct score) with its rows ``n`` and positives ``pos``. Cells of
+parts of a table add up, so :func:`score_cells` reads the rows once for any number of groupings and metrics; what
+remains is the rows at a boundary that a budget cuts through. The functions that take rows see each row as a cell.
 """
 
 from __future__ import annotations
@@ -12,8 +13,9 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortlens.functions.ranking import budget_hits, running_counts
+from cohortlens.functions.ranking import budget_hits, cell_ladder, collapsed, running_counts
 from cohortlens.functions.scalars import count_where, safe_ratio
+from cohortlens.functions.session import stage
 
 # Fixed values
 GRID = [k / 100.0 for k in range(1, 100)]
@@ -47,8 +49,34 @@ def with_cost(conf: DataFrame, ratio=HEADLINE_RATIO, name: str = "expected_cost"
     return conf.withColumn(name, cost(ratio))
 
 
+def score_cells(scored: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """Stored cells ``(groups.., p, n, pos)`` of all scored rows, the rows read once."""
+    return collapsed(scored, groups, "p", F.col("y"))
+
+
+def rows_as_cells(scored: DataFrame, groups: Sequence[str]) -> DataFrame:
+    one = F.lit(1).cast("bigint").alias("n")
+    return scored.select(*groups, F.col("p").cast("double").alias("p"), one, F.col("y").cast("bigint").alias("pos"))
+
+
+def cell_confusion(cells: DataFrame, groups: Sequence[str], threshold: float | str = "threshold") -> DataFrame:
+    """:func:`confusion` of cells."""
+    t = F.col(threshold) if isinstance(threshold, str) else F.lit(float(threshold))
+    none = F.lit(0).cast("bigint")
+    return cells.groupBy(*groups).agg(
+        F.sum(F.when(F.col("p") >= t, none).otherwise(F.col("pos"))).alias("fn"),
+        F.sum(F.when(F.col("p") >= t, F.col("n") - F.col("pos")).otherwise(none)).alias("fp"),
+        F.sum("n").alias("n"),
+    )
+
+
 def confusion_by_threshold(scored: DataFrame, groups: Sequence[str]) -> DataFrame:
-    """fn, fp, n for each of the 99 grid thresholds and each group.
+    """fn, fp, n for each of the 99 grid thresholds and each group."""
+    return grid_confusion(rows_as_cells(scored, groups), groups)
+
+
+def grid_confusion(cells: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """:func:`confusion_by_threshold` of cells.
 
     Scores are binned by the grid (bin k: k thresholds are at or below the score), counted, and
     summed along at most 100 bins per group.
@@ -56,9 +84,8 @@ def confusion_by_threshold(scored: DataFrame, groups: Sequence[str]) -> DataFram
     cut = Bucketizer(
         splits=[-float("inf"), *GRID, float("inf")], inputCol="p", outputCol="_bin", handleInvalid="error"
     )
-    binned = cut.transform(scored.select(*groups, "y", F.col("p").cast("double").alias("p")))
-    cells = binned.groupBy(*groups, F.col("_bin").cast("int").alias("_bin")).agg(
-        count_where(F.col("y") == 1).alias("_pos"), count_where(F.col("y") == 0).alias("_neg")
+    cells = cut.transform(cells).groupBy(*groups, F.col("_bin").cast("int").alias("_bin")).agg(
+        F.sum("pos").alias("_pos"), F.sum(F.col("n") - F.col("pos")).alias("_neg")
     )
     axis = cells.select(*groups).distinct().withColumn("_bin", F.explode(F.sequence(F.lit(0), F.lit(len(GRID)))))
     full = axis.join(cells, [*groups, "_bin"], "left").fillna(0, ["_pos", "_neg"])
@@ -116,6 +143,11 @@ def score_ladder(scored: DataFrame, groups: Sequence[str]) -> DataFrame:
     return running_counts(scored, groups, "p", {"n": F.lit(1), "pos": y})
 
 
+def stored_ladder(cells: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """:func:`score_ladder` from cells, written out for several readers."""
+    return stage(cell_ladder(cells, groups, "p"), "score-ladder")
+
+
 def ranking_metrics(ladder: DataFrame, groups: Sequence[str]) -> DataFrame:
     """n, positives, base rate, average precision, ROC AUC and Brier score per group.
 
@@ -149,10 +181,18 @@ def ranking_metrics(ladder: DataFrame, groups: Sequence[str]) -> DataFrame:
 
 
 def recall_at_budgets(
-    scored: DataFrame, groups: Sequence[str], key: Sequence[str], budgets: Sequence[float] = BUDGETS, seed: int = 42
+    scored: DataFrame,
+    groups: Sequence[str],
+    key: Sequence[str],
+    budgets: Sequence[float] = BUDGETS,
+    seed: int = 42,
+    ladder: DataFrame | None = None,
 ) -> DataFrame:
-    """Share of positives among the top ``max(1, round(budget * n))`` rows, with its ceiling."""
-    hits = budget_hits(scored, groups, key, "y", "p", budgets, seed)
+    """Share of positives among the top ``max(1, round(budget * n))`` rows, with its ceiling.
+
+    With a stored ``ladder`` of the same groups the rows are read for ties at a boundary only.
+    """
+    hits = budget_hits(scored, groups, key, "y", "p", budgets, seed, ladder)
     return hits.select(
         *groups,
         "budget",
@@ -168,13 +208,17 @@ def recall_ceiling(budget: Column, base_rate: Column) -> Column:
 
 def calibration(scored: DataFrame, groups: Sequence[str], bins: int = ECE_BINS) -> DataFrame:
     """Equal-width probability bins, empty ones included, with each bin's share of the ECE."""
+    return cell_calibration(rows_as_cells(scored, groups), groups, bins)
+
+
+def cell_calibration(cells: DataFrame, groups: Sequence[str], bins: int = ECE_BINS) -> DataFrame:
+    """:func:`calibration` of cells."""
     edges = [i * (1.0 / bins) for i in range(1, bins)]
     cut = Bucketizer(splits=[-float("inf"), *edges, float("inf")], inputCol="p", outputCol="_bin", handleInvalid="error")
-    binned = cut.transform(scored.select(*groups, "y", F.col("p").cast("double").alias("p")))
-    cells = binned.groupBy(*groups, F.col("_bin").cast("int").alias("bin")).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.avg("p").alias("mean_p"),
-        F.avg(F.col("y").cast("double")).alias("observed"),
+    cells = cut.transform(cells).groupBy(*groups, F.col("_bin").cast("int").alias("bin")).agg(
+        F.sum("n").alias("n"),
+        (F.sum(F.col("p") * F.col("n")) / F.sum("n")).alias("mean_p"),
+        (F.sum("pos") / F.sum("n")).alias("observed"),
     )
     axis = cells.select(*groups).distinct().withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
     whole = Window.partitionBy(*groups)

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortlens.functions.ranking import same_keys
 from cohortlens.functions.scalars import safe_ratio, unpivot_text
 from cohortlens.functions.session import stage
 from cohortlens.operators.ordering import argmin
@@ -18,14 +19,19 @@ from cohortlens.operators.scoring import (
     HEADLINE_RATIO,
     RATIOS,
     best_threshold,
+    cell_calibration,
+    cell_confusion,
     confusion,
     confusion_by_threshold,
     cost,
     cost_ratio_curve,
+    ece,
+    grid_confusion,
     metric_rows,
     ranking_metrics,
     recall_at_budgets,
-    score_ladder,
+    score_cells,
+    stored_ladder,
     with_ratios,
 )
 
@@ -51,12 +57,45 @@ def at_policy(scored: DataFrame, policy: DataFrame, groups: Sequence[str]) -> Da
     return confusion(scored.join(lines, list(groups)), [*groups, "threshold"])
 
 
-def holdout_metrics(scored: DataFrame, policy: DataFrame, groups: Sequence[str], key: Sequence[str]) -> DataFrame:
-    """All point metrics per group: cost at the frozen threshold, ranking metrics, recall at 10 %."""
-    costs = at_policy(scored, policy, groups).select(*groups, "threshold", cost().alias("expected_cost"))
-    ranked = ranking_metrics(score_ladder(scored, groups), groups)
-    recall = recall_at_budgets(scored, groups, key, [0.10]).select(*groups, F.col("recall").alias("recall_at_10pct"))
-    return ranked.join(costs, list(groups)).join(recall, list(groups))
+def frozen_from_cells(cells: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """:func:`freeze_policy` of the cells of the validation rows."""
+    best = best_threshold(grid_confusion(cells, groups), groups)
+    return best.select(*groups, "threshold", F.col("expected_cost").alias("validate_cost"))
+
+
+def holdout_metrics(
+    scored: DataFrame, policy: DataFrame, groups: Sequence[str], key: Sequence[str], cells: DataFrame | None = None
+) -> DataFrame:
+    """All point metrics per group: cost at the frozen threshold, ranking metrics, recall at 10 %.
+
+    Everything comes from one ladder of score cells. ``cells`` are those of ``scored`` where the caller has them; the
+    rows themselves are then read for ties at the budget line only.
+    """
+    by = list(groups)
+    ladder = stored_ladder(score_cells(scored, by) if cells is None else cells, by)
+    lines = stage(policy.select(*by, "threshold"), "policy")
+    costs = cell_confusion(ladder.join(lines, by), [*by, "threshold"]).select(*by, "threshold", cost().alias("expected_cost"))
+    recall = recall_at_budgets(scored, by, key, [0.10], ladder=ladder).select(*by, F.col("recall").alias("recall_at_10pct"))
+    return ranking_metrics(ladder, by).join(costs, by).join(recall, by)
+
+
+def evaluation_report(scored: DataFrame, groups: Sequence[str], key: Sequence[str], budgets: Sequence[float]) -> DataFrame:
+    """One row per group with every metric: cheapest threshold and its cost, ranking metrics, calibration error, recalls.
+
+    Recall columns are named by the budget in percent. The rows are read twice whatever the number of metrics: for the
+    cells, and for ties at budget lines. A NULL group is a group; groups of one class have NULL ranking metrics.
+    """
+    by = list(groups)
+    cells = score_cells(scored, by)
+    ladder = stored_ladder(cells, by)
+    best = best_threshold(grid_confusion(cells, by), by).select(*by, "threshold", "expected_cost", "fn", "fp")
+    calibrated = ece(cell_calibration(cells, by), by).select(*by, "ece")
+    recall = recall_at_budgets(scored, by, key, budgets, ladder=ladder)
+    shares = [F.max(F.when(F.col("budget") == b, F.col("recall"))).alias(f"recall_at_{b * 100:g}pct") for b in budgets]
+    out = ranking_metrics(ladder, by)
+    for part in (best, calibrated, recall.groupBy(*by).agg(*shares)):
+        out = same_keys(out, part, by)
+    return out
 
 
 def slice_metrics(
@@ -66,18 +105,22 @@ def slice_metrics(
 
     ``gap_pct`` compares a slice's cost with that of all rows; the slices of one column add up to
     them, so the overall cost is a sum over a handful of slice rows. Slices of one class keep their
-    cost and lose the ranking metrics.
+    cost and lose the ranking metrics. Rows collapse to cells of all slice columns first and only cells are turned
+    into slices; rows are read again for ties at the budget line of a slice.
     """
     t = F.col(threshold) if isinstance(threshold, str) else F.lit(float(threshold))
     rows = scored.select(*key, "y", "p", t.cast("double").alias("threshold"), *slices)
-    long = unpivot_text(rows, [*key, "y", "p", "threshold"], slices, "slice", "value")
     by = ["slice", "value"]
+    cells = score_cells(rows, ["threshold", *slices])
+    sliced = unpivot_text(cells, ["threshold", "p", "n", "pos"], slices, *by)
     whole = Window.partitionBy("slice")
     sums = {c: F.sum(c).over(whole) for c in ("fn", "fp", "n")}
     overall = (F.lit(float(HEADLINE_RATIO)) * sums["fn"] + sums["fp"]) / sums["n"]
-    costs = confusion(long, by).select(*by, cost().alias("expected_cost"), overall.alias("overall_cost"))
-    ranked = ranking_metrics(score_ladder(long, by), by)
-    recall = recall_at_budgets(long, by, key, [0.10]).select(*by, "recall")
+    costs = cell_confusion(sliced, by).select(*by, cost().alias("expected_cost"), overall.alias("overall_cost"))
+    ladder = stored_ladder(sliced, by)
+    ranked = ranking_metrics(ladder, by)
+    long = unpivot_text(rows, [*key, "y", "p"], slices, *by)
+    recall = recall_at_budgets(long, by, key, [0.10], ladder=ladder).select(*by, "recall")
     return (
         ranked.join(costs, by)
         .join(recall, by)

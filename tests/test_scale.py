@@ -12,8 +12,10 @@ from cohortlens.functions.ranking import budget_flags, exact_quantiles, running_
 from cohortlens.functions.scalars import key_digest
 from cohortlens.functions.normal import two_sided_p
 from cohortlens.operators import bootstrap as bs
+from cohortlens.operators import scoring as sc
 from cohortlens.operators.discontinuity import jump_table
 from cohortlens.operators.ordering import rank_map
+from cohortlens.plans import holdout as ho
 
 GROUPS = {"hot": 700, "mid": 200, "one": 1}
 
@@ -255,3 +257,66 @@ def test_hot_join_edges(spark):
     want = [(1, "a", 1, 10), (1, "a", 1, 30), (1, None, 2, 20), (2, "b", 3, None), (None, "a", 4, None)]
     assert got == sorted(f"Row(k={k!r}, g={g!r}, x={x!r}, v={v!r})" for k, g, x, v in want)
     assert hot_join(rows.where("false"), lookup, ["k", "g"]).collect() == []
+
+
+@pytest.fixture
+def counted(spark):
+    """A table and the number of its rows that jobs have read so far; every row is counted at each read."""
+
+    def make(df):
+        seen = spark.sparkContext.accumulator(0)
+
+        def count(batches):
+            for batch in batches:
+                seen.add(batch.num_rows)
+                yield batch
+
+        return df.mapInArrow(count, df.schema), seen
+
+    return make
+
+
+SCORES = [(i, "ab"[i % 2], None if i % 5 == 0 else f"s{i % 3}", int(i % 3 == 0), (i % 7) / 7.0) for i in range(420)]
+
+
+def test_every_metric_from_two_reads(spark, counted):
+    rows = spark.createDataFrame(SCORES, "id int, g string, s string, y int, p double").repartition(4)
+    read, seen = counted(rows)
+    got = {r["g"]: r for r in ho.evaluation_report(read, ["g"], ["id"], [0.05, 0.2]).collect()}
+    assert seen.value == 2 * len(SCORES)
+    digests = {r["id"]: r["d"] for r in rows.select("id", key_digest(42, "id").alias("d")).collect()}
+    for g, r in got.items():
+        mine = [x for x in SCORES if x[1] == g]
+        best = min((sum(10 * y * (p < t) + (1 - y) * (p >= t) for *_, y, p in mine) / len(mine), t) for t in sc.GRID)
+        assert (r["expected_cost"], r["threshold"]) == pytest.approx(best)
+        order = sorted(mine, key=lambda x: (-x[4], digests[x[0]], x[0]))
+        for name, budget in (("recall_at_5pct", 0.05), ("recall_at_20pct", 0.2)):
+            k = max(1, round(budget * len(mine)))
+            assert r[name] == pytest.approx(sum(x[3] for x in order[:k]) / sum(x[3] for x in mine))
+        bins = {}
+        for *_, y, p in mine:
+            bins.setdefault(min(9, int(p * 10)), []).append((p, y))
+        off = sum(abs(sum(p for p, _ in v) - sum(y for _, y in v)) for v in bins.values()) / len(mine)
+        assert r["ece"] == pytest.approx(off)
+
+
+def test_slices_from_two_reads(spark, counted):
+    read, seen = counted(spark.createDataFrame(SCORES, "id int, g string, s string, y int, p double").repartition(4))
+    got = {(r["slice"], r["value"]): r for r in ho.slice_metrics(read, 0.5, ["g", "s"], ["id"]).collect()}
+    assert seen.value == 2 * len(SCORES) and len(got) == 6
+    for (by, value), r in got.items():
+        mine = [x for x in SCORES if (x[1] if by == "g" else x[2] or "__NULL__") == value]
+        assert r["n"] == len(mine)
+        assert r["expected_cost"] == pytest.approx(sum(10 * y * (p < 0.5) + (1 - y) * (p >= 0.5) for *_, y, p in mine) / len(mine))
+
+
+def test_flags_without_a_join_of_rows_with_rows(spark, counted):
+    read, seen = counted(spark.createDataFrame(SCORES, "id int, g string, s string, y int, p double").repartition(4))
+    flags = budget_flags(read.withColumn("g", F.when(F.col("g") == "a", F.col("g"))), ["g"], ["id"], "p", 0.3, 42)
+    assert "SortMergeJoin" not in plan(flags)
+    got = flags.collect()
+    assert seen.value == 3 * len(SCORES)
+    for g in (None, "a"):
+        assert sum(r["flagged"] for r in got if r["g"] == g) == 63
+    unscored = spark.createDataFrame([("a", 1, None), ("a", 2, 0.5), ("b", 3, None)], "g string, id int, p double")
+    assert {r["id"]: r["flagged"] for r in budget_flags(unscored, ["g"], ["id"], "p", 0.5, 42).collect()} == {1: 0, 2: 1, 3: 0}
