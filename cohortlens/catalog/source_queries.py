@@ -41,7 +41,7 @@ def _row_checksum(spark, d):
 
 @query("checksum_verify")
 def _verify(spark, d):
-    current = files.checksums(spark, d, "*.parquet")
+    current = stage(files.checksums(spark, d, "*.parquet"), "digests")
     path = staging_path(spark, "manifest")
     files.check_or_record(current, path)
     return files.check_or_record(current, path)

@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import hashlib
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from contextlib import closing
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Largest file that fits one binary value
-BINARY_LIMIT = 2_147_483_647
+from cohortlens.functions.session import stage
+
+#: Files of more bytes are hashed by parts, so that no task holds or reads more of a file than one part.
+PART_BYTES = 128 << 20
+#: What a task holds of a part at a time
+_READ_BYTES = 4 << 20
 # Problems named in an error text, which also says how many there are
 LISTED = 50
 
@@ -56,21 +63,64 @@ def require_manifest(files: DataFrame, expected: Mapping[str, str]) -> None:
         raise ValueError(_listed([f"{r['problem']}: {r['name']}" for r in bad], wrong))
 
 
-def checksums(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """(file, bytes, sha256) of every file; hashing happens in the tasks.
+def open_path(path: str):
+    """Seekable input of a URI on any file system that pyarrow knows; the default opener of :func:`checksums`."""
+    from pyarrow import fs
+
+    scheme, _, rest = path.partition(":")
+    store, inside = fs.FileSystem.from_uri(f"file://{'/' + rest.lstrip('/')}" if scheme == "file" else path)
+    return store.open_input_file(inside)
+
+
+def _part_digests(opener: Callable) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def digest(path: str, start: int, size: int) -> str:
+        state, left = hashlib.sha256(), size
+        with closing(opener(path)) as source:
+            source.seek(start)
+            while left:
+                block = source.read(min(left, _READ_BYTES))
+                if not block:
+                    raise OSError(f"{path} ends {left} bytes before its listed size")
+                state.update(block)
+                left -= len(block)
+        return state.hexdigest()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = [digest(*at) for at in zip(b["path"], b["start"], b["size"])]
+            yield b.assign(digest=found)[["path", "file", "bytes", "part", "digest"]]
+
+    return run
+
+
+def checksums(
+    spark: SparkSession, folder: str, pattern: str = "*", part_bytes: int = PART_BYTES, opener: Callable = open_path
+) -> DataFrame:
+    """(file, bytes, sha256) of every file of a folder and the folders in it; the tasks read and hash.
 
-    A file that does not fit one binary value gets NULL as its digest, which no check accepts:
-    :func:`row_checksums` has digests for tables of any size.
+    ``file`` is the path below ``folder``, so equal names in two of its folders stay apart. Parts of ``part_bytes`` are
+    dealt over the tasks, and a task streams through a part, so files of any size need the same memory. A file of one
+    part has its plain SHA-256. A longer one has ``tree-<part_bytes>:`` and the SHA-256 of the lines of its part digests
+    in order, which depends on the bytes and the part size alone, not on the tasks. Spark's scan
+    leaves empty files out, so a recorded file that is emptied is ``gone``. A file shorter than listed is an error.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
-    name, fits = F.element_at(F.split("path", "/"), -1), F.col("length") < BINARY_LIMIT
-    small = files.where(fits).select(
-        name.alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256")
-    )
-    large = files.where(~fits).select(
-        name.alias("file"), F.col("length").alias("bytes"), F.lit(None).cast("string").alias("sha256")
-    )
-    return small.unionByName(large)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true")
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    store = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    below = len(store.getFileStatus(root).getPath().toString().rstrip("/")) + 2
+    listed = stage(files.load(folder).select("path", F.col("length").alias("bytes")), "listing")
+    name = F.substring("path", below, 1 << 20).alias("file")
+    last = F.greatest(F.ceil(F.col("bytes") / F.lit(part_bytes)).cast("long") - 1, F.lit(0).cast("long"))
+    parts = listed.select("path", name, "bytes", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("part"))
+    start = F.col("part") * F.lit(part_bytes).cast("long")
+    ranges = parts.withColumn("start", start).withColumn("size", F.least(F.lit(part_bytes).cast("long"), F.col("bytes") - start))
+    # Round robin: the parts of one large file go to all tasks.
+    dealt = ranges.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
+    hashed = dealt.mapInPandas(_part_digests(opener), "path string, file string, bytes long, part long, digest string")
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("part", "digest"))), lambda t: t["digest"])
+    whole = F.concat(F.lit(f"tree-{part_bytes}:"), F.sha2(F.array_join(in_order, "\n"), 256))
+    grouped = hashed.groupBy("path", "file", "bytes").agg(in_order.alias("_d"), whole.alias("_tree"))
+    return grouped.select("file", "bytes", F.when(F.size("_d") == 1, F.col("_d")[0]).otherwise(F.col("_tree")).alias("sha256"))
 
 
 def row_checksums(df: DataFrame) -> DataFrame:
@@ -85,7 +135,10 @@ def row_checksums(df: DataFrame) -> DataFrame:
 
 
 def verify_checksums(current: DataFrame, recorded: DataFrame) -> DataFrame:
-    """Current files against a recorded manifest: ok, changed, not recorded, gone or not verified (no digest)."""
+    """Current files against a recorded manifest: ok, changed, not recorded, gone or not verified (no digest recorded).
+
+    Tree digests of other part sizes are not comparable: record and check with the same ``part_bytes``.
+    """
     now = current.select("file", "bytes", "sha256", F.lit(True).alias("here"))
     old = recorded.select(
         "file", F.col("bytes").alias("old_bytes"), F.col("sha256").alias("old_sha256"), F.lit(True).alias("known")
@@ -102,13 +155,17 @@ def verify_checksums(current: DataFrame, recorded: DataFrame) -> DataFrame:
 
 
 def check_or_record(current: DataFrame, path: str) -> DataFrame:
-    """First run writes the manifest at ``path``; later runs compare with it and fail on a difference."""
+    """First run writes the manifest at ``path``; later runs compare with it and fail on a difference.
+
+    The digests are written out first, so every file is read once per run.
+    """
     spark = current.sparkSession
+    current = stage(current, "digests")
     schema = "file string, bytes bigint, sha256 string"
     fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     if not fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(fs_path):
         current.write.json(path)
-    checked = verify_checksums(current, spark.read.schema(schema).json(path))
+    checked = stage(verify_checksums(current, spark.read.schema(schema).json(path)), "checked")
     wrong = checked.where(F.col("status") != "ok")
     bad = wrong.limit(LISTED).collect()
     if bad:

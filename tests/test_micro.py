@@ -1,5 +1,6 @@
 """Edge cases on hand-made rows."""
 
+import hashlib
 import math
 
 import pytest
@@ -284,3 +285,62 @@ def test_changed_file_is_an_error(spark, tmp_path):
     (data / "x.csv").write_text("2\n")
     with pytest.raises(ValueError, match="x.csv: changed"):
         files.check_or_record(files.checksums(spark, str(data)), manifest)
+
+
+@pytest.fixture
+def planted_files(tmp_path):
+    """Files of no, one and several parts of 1,000 bytes, and two of one name in two folders."""
+    sizes = {"none.bin": 0, "one.bin": 1000, "more.bin": 1001, "sub/part-0.bin": 5300, "other/part-0.bin": 5300}
+    for i, (name, size) in enumerate(sizes.items()):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(bytes((i + j * j) % 251 for j in range(size)))
+    return tmp_path
+
+
+def tree(content, size):
+    parts = [hashlib.sha256(content[i : i + size]).hexdigest() for i in range(0, max(len(content), 1), size)]
+    return parts[0] if len(parts) == 1 else f"tree-{size}:" + hashlib.sha256("\n".join(parts).encode()).hexdigest()
+
+
+def test_digests_of_files_over_the_part_size(spark, planted_files):
+    got = {r["file"]: (r["bytes"], r["sha256"]) for r in files.checksums(spark, str(planted_files), "*.bin", 1000).collect()}
+    names = ["one.bin", "more.bin", "sub/part-0.bin", "other/part-0.bin"]
+    contents = {n: (planted_files / n).read_bytes() for n in names}
+    assert got == {n: (len(c), tree(c, 1000)) for n, c in contents.items()}
+    plain = {r["file"]: r["sha256"] for r in files.checksums(spark, str(planted_files), "*.bin").collect()}
+    assert plain == {n: hashlib.sha256(c).hexdigest() for n, c in contents.items()}
+
+
+def test_one_changed_byte_of_a_large_file_is_found(spark, planted_files, tmp_path_factory):
+    manifest = str(tmp_path_factory.mktemp("manifest") / "digests.json")
+    now = lambda: files.checksums(spark, str(planted_files), "*.bin", 1000)
+    files.check_or_record(now(), manifest)
+    assert {r["status"] for r in files.check_or_record(now(), manifest).collect()} == {"ok"}
+    target = planted_files / "sub" / "part-0.bin"
+    content = bytearray(target.read_bytes())
+    content[4321] ^= 1
+    target.write_bytes(bytes(content))
+    (planted_files / "one.bin").write_bytes(b"")
+    with pytest.raises(ValueError, match="sub/part-0.bin: changed") as wrong:
+        files.check_or_record(now(), manifest)
+    assert "one.bin: gone" in str(wrong.value) and "more.bin" not in str(wrong.value)
+
+
+def test_each_part_is_read_once_and_by_its_bytes_only(spark, planted_files):
+    seen = spark.sparkContext.accumulator(0)
+
+    def opener(path):
+        source = files.open_path(path)
+
+        class Counted:
+            seek, close = source.seek, source.close
+
+            def read(self, n):
+                got = source.read(n)
+                seen.add(len(got))
+                return got
+
+        return Counted()
+
+    files.checksums(spark, str(planted_files), "*.bin", 1000, opener).write.format("noop").mode("overwrite").save()
+    assert seen.value == 1000 + 1001 + 2 * 5300
