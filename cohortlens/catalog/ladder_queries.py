@@ -18,6 +18,7 @@ from cohortlens.operators import overlap as ov
 from cohortlens.operators import scoring as sc
 from cohortlens.operators.features import CATEGORICAL_FEATURES, NUMERIC_FEATURES
 from cohortlens.operators.prep import fit_design, numeric_stats
+from cohortlens.operators.sparse_design import fit_sparse_design
 from cohortlens.plans import holdout as ho
 from cohortlens.plans import ladder as ld
 from cohortlens.sources import bindings as b
@@ -166,6 +167,47 @@ def _design(spark, d):
     return rows.select("cutoff", *KEY, F.size("x").alias("n_columns"), norm.alias("squared_norm"))
 
 
+_IDS = ["l_orderkey", "l_partkey", "l_suppkey", "l_returnflag"]
+_LINES = """lines AS (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, CASE WHEN l_tax <> 0.05 THEN l_discount END AS l_discount,
+        CASE WHEN l_tax <> 0.02 THEN l_returnflag END AS l_returnflag, month(l_shipdate) <= 9 AS fitted FROM lineitem),
+      med AS (SELECT median(l_quantity) AS mq, median(l_discount) AS md FROM lines WHERE fitted),
+      st AS (SELECT mq, md, avg(l_quantity) AS aq, stddev_pop(l_quantity) AS sq, avg(coalesce(l_discount, md)) AS ad, stddev_pop(coalesce(l_discount, md)) AS sd
+             FROM lines, med WHERE fitted GROUP BY ALL)"""
+
+
+def _lines(spark, d) -> DataFrame:
+    li = b.table(spark, d, "lineitem")
+    return stage(
+        li.select(
+            "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
+            F.when(F.col("l_tax") != 0.05, F.col("l_discount")).alias("l_discount"),
+            F.when(F.col("l_tax") != 0.02, F.col("l_returnflag")).alias("l_returnflag"),
+            (F.month("l_shipdate") <= 9).alias("fitted"),
+        ),
+        "lines",
+    )
+
+
+@query(
+    "sparse_design_matrix",
+    f"""WITH {_LINES}, width AS (SELECT 3 + {" + ".join(f"count(DISTINCT coalesce(CAST({c} AS VARCHAR), '__NULL__'))" for c in _IDS)} AS n FROM lines WHERE fitted),
+        {", ".join(f"known{i} AS (SELECT DISTINCT coalesce(CAST({c} AS VARCHAR), '__NULL__') AS v{i} FROM lines WHERE fitted)" for i, c in enumerate(_IDS))},
+        hot AS (SELECT lines.*, {" + ".join(f"CAST(v{i} IS NOT NULL AS BIGINT)" for i in range(len(_IDS)))} AS h FROM lines
+                {" ".join(f"LEFT JOIN known{i} ON v{i} = coalesce(CAST({c} AS VARCHAR), '__NULL__')" for i, c in enumerate(_IDS))} WHERE NOT fitted)
+        SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, n AS n_columns, h AS n_levels,
+          r(pow((l_quantity - aq) / sq, 2) + pow((coalesce(l_discount, md) - ad) / sd, 2) + CAST(l_discount IS NULL AS INTEGER) + h) AS squared_norm
+        FROM hot, st, width""",
+)
+def _sparse(spark, d):
+    lines = _lines(spark, d)
+    design = fit_sparse_design(lines.where("fitted"), ["l_quantity", "l_discount"], _IDS)
+    key = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
+    rows = design.apply(lines.where("not fitted"), key)
+    norm = F.aggregate("features.values", F.lit(0.0), lambda a, v: a + v * v)
+    levels = F.size(F.filter("features.indices", lambda i: i >= design.n_dense)).cast("long")
+    return rows.select(*key, F.col("features.size").alias("n_columns"), levels.alias("n_levels"), norm.alias("squared_norm"))
+
+
 @query(
     "rung_base_rate",
     """SELECT cutoff, code_module, code_presentation, id_student, 'B0' AS rung, r(p) AS p
