@@ -8,7 +8,7 @@ from cohortlens.catalog.cohort_queries import KEY, cohort_of
 from cohortlens.catalog.evaluation_queries import _rank_sql
 from cohortlens.catalog.feature_queries import features_of
 from cohortlens.catalog.registry import query
-from cohortlens.functions.scalars import count_where
+from cohortlens.functions.scalars import count_where, unpivot_numeric
 from cohortlens.functions.session import stage
 from cohortlens.operators import drift as dr
 from cohortlens.operators import features
@@ -169,14 +169,8 @@ def feature_psi(spark, d):
     numbers = [F.round(F.col(c).cast("double"), 9).alias(c) for c in features.NUMERIC_FEATURES]
     wide = features_of(spark, d).select("cutoff", "split", *numbers, *features.CATEGORICAL_FEATURES)
     rows = stage(wide, "feature-drift")
-    parts = []
-    for c in b.DESIGN.cutoffs:
-        psi, _ = dr.drift_table(rows.where(F.col("cutoff") == c), features.NUMERIC_FEATURES, features.CATEGORICAL_FEATURES)
-        parts.append(dr.ranked_report(stage(psi, "psi")).select(F.lit(c).alias("cutoff"), "*"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    psi, _ = dr.drift_table(rows, features.NUMERIC_FEATURES, features.CATEGORICAL_FEATURES, groups=["cutoff"])
+    return dr.ranked_report(stage(psi, "psi"), ["cutoff"])
 
 
 # --- decomposition over modules (users' week of first event stands in for the module) ------------
@@ -314,7 +308,7 @@ def _vs_coefficient(spark, d):
 def _drift_importance(spark, d):
     rows = b.drift_rows(spark, d)
     psi, bins = dr.drift_table(rows, NUMERIC, CATEGORICAL)
-    long = dr.unpivot_numeric(rows.where(F.col("split") == "test"), [], NUMERIC).where("value IS NOT NULL")
+    long = unpivot_numeric(rows.where(F.col("split") == "test"), [], NUMERIC).where("value IS NOT NULL")
     means = stage(long.groupBy("feature").agg(F.avg("value").alias("m")), "means")
     spread = long.join(F.broadcast(means), "feature").groupBy("feature").agg(
         F.avg(F.abs(F.col("value") - F.col("m"))).alias("importance")

@@ -7,17 +7,17 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortlens.functions.ranking import exact_quantiles
+from cohortlens.functions.ranking import same_keys
 from cohortlens.functions.scalars import (
     NULL_TOKEN,
     count_where,
     safe_ratio,
-    unpivot_numeric,
     unpivot_text,
     wilson_bounds,
 )
 from cohortlens.functions.session import stage
 from cohortlens.operators.ordering import rank_map
+from cohortlens.operators.quantile_cells import quantile_cells
 
 # Fixed values
 EPSILON = 1e-4
@@ -36,75 +36,59 @@ def psi_term(train: Column, test: Column, eps: Column | float = EPSILON) -> Colu
     return (p - q) * F.ln(p / q)
 
 
-def _proportions(counts: DataFrame, by: Sequence[str]) -> DataFrame:
-    """(feature, bin, train_n, test_n) with shares of each feature's split totals.
+def _proportions(counts: DataFrame, by: Sequence[str], groups: Sequence[str] = ()) -> DataFrame:
+    """(groups.., feature, bin, train_n, test_n) with shares of each feature's split totals.
 
     The totals are window sums over counted bins, so the rows behind them are read once.
     """
-    whole = Window.partitionBy("feature")
+    whole = Window.partitionBy(*groups, "feature")
     return (
         counts.withColumn("train_prop", safe_ratio("train_n", F.sum("train_n").over(whole), 0.0))
         .withColumn("test_prop", safe_ratio("test_n", F.sum("test_n").over(whole), 0.0))
         .withColumn("term", psi_term(F.col("train_prop"), F.col("test_prop")))
-        .select(*by, "train_prop", "test_prop", "term")
+        .select(*groups, *by, "train_prop", "test_prop", "term")
     )
 
 
-def train_edges(long: DataFrame, train: str) -> DataFrame:
-    """Distinct inner edges of ten exact train quantile bins per feature, as an array.
+def numeric_bins(
+    df: DataFrame, features: Sequence[str], train: str = "train", test: str = "test", groups: Sequence[str] = ()
+) -> DataFrame:
+    """(groups.., feature, bin, degenerate, train_prop, test_prop, term) for numeric features; NULL is the last bin.
 
-    Outer edges are open, so values beyond the train range fall into the end bins. Fewer than
-    two distinct train values give no inner edge and the feature is marked degenerate.
+    Bins are cut at ten exact train quantiles of the feature in its group. Outer edges are open, so values beyond the train
+    range fall into the end bins. Fewer than two distinct train values give no inner edge and the feature is marked
+    degenerate. The rows are read twice, whatever the number of features and groups.
     """
-    q = exact_quantiles(
-        long.where(F.col("split") == train), ["feature"], "value", list(range(BINS + 1)), BINS, "q"
-    )
-    edges = F.array_sort(F.array_distinct("q"))
+    in_train, in_test = F.col("split") == train, F.col("split") == test
+    counted = {"train_n": in_train, "test_n": in_test}
+    cells, q = quantile_cells(df.where(in_train | in_test), groups, features, in_train, counted, BINS)
+    edges = F.array_sort(F.array_distinct("edges"))
     n = F.size(edges)
-    inner = F.when(n > 2, F.slice(edges, F.lit(2), F.greatest(n - 2, F.lit(1)))).otherwise(
-        F.array().cast("array<double>")
-    )
-    return q.select("feature", inner.alias("inner"), (n < 2).alias("degenerate"))
-
-
-def numeric_bins(df: DataFrame, features: Sequence[str], train: str = "train", test: str = "test") -> DataFrame:
-    """(feature, bin, train_prop, test_prop, term) for numeric features; NULL is the last bin.
-
-    The edges table has one row per named feature, so it is small by construction.
-    """
-    narrow = df.where(F.col("split").isin(train, test)).select("split", *features)
-    long = unpivot_numeric(stage(narrow, "psi-input"), ["split"], features)
-    edges = stage(train_edges(long, train), "edges")
-    binned = long.join(F.broadcast(edges), "feature").withColumn(
-        "bin",
-        F.when(F.col("value").isNull(), F.size("inner") + 1).otherwise(
-            F.expr(" + ".join(f"IF(value >= get(inner, {i}), 1, 0)" for i in range(BINS - 1)))
-        ),
-    )
-    counts = binned.groupBy("feature", "bin").agg(
-        count_where(F.col("split") == train).alias("train_n"), count_where(F.col("split") == test).alias("test_n")
-    )
-    axis = edges.select(
-        "feature", "degenerate", F.explode(F.sequence(F.lit(0), F.size("inner") + 1)).alias("bin")
-    )
-    full = axis.join(counts, ["feature", "bin"], "left").fillna(0, ["train_n", "test_n"])
-    return _proportions(full, ["feature", "bin", "degenerate"])
+    inner = F.when(n > 2, F.slice(edges, F.lit(2), F.greatest(n - 2, F.lit(1)))).otherwise(F.array().cast("array<double>"))
+    by = [*groups, "feature"]
+    cuts = stage(q.select(*by, inner.alias("inner"), (n < 2).alias("degenerate")), "edges")
+    above = F.expr(" + ".join(f"IF(value >= get(inner, {i}), 1, 0)" for i in range(BINS - 1)))
+    binned = same_keys(cells, cuts, by).withColumn("bin", F.when(F.col("value").isNull(), F.size("inner") + 1).otherwise(above))
+    counts = binned.groupBy(*by, "bin").agg(F.sum("train_n").alias("train_n"), F.sum("test_n").alias("test_n"))
+    axis = cuts.select(*by, "degenerate", F.explode(F.sequence(F.lit(0), F.size("inner") + 1)).alias("bin"))
+    full = same_keys(axis, counts, [*by, "bin"], "left").fillna(0, ["train_n", "test_n"])
+    return _proportions(full, ["feature", "bin", "degenerate"], groups)
 
 
 def categorical_bins(
-    df: DataFrame, features: Sequence[str], train: str = "train", test: str = "test"
+    df: DataFrame, features: Sequence[str], train: str = "train", test: str = "test", groups: Sequence[str] = ()
 ) -> DataFrame:
     """The same per category of either split; NULL is a category of its own."""
-    long = unpivot_text(df.where(F.col("split").isin(train, test)), ["split"], features, value="bin")
-    counts = long.groupBy("feature", "bin").agg(
+    long = unpivot_text(df.where(F.col("split").isin(train, test)), [*groups, "split"], features, value="bin")
+    counts = long.groupBy(*groups, "feature", "bin").agg(
         count_where(F.col("split") == train).alias("train_n"), count_where(F.col("split") == test).alias("test_n")
     )
-    return _proportions(counts, ["feature", "bin"])
+    return _proportions(counts, ["feature", "bin"], groups)
 
 
-def psi_numeric(bins: DataFrame) -> DataFrame:
+def psi_numeric(bins: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
     """Index per feature with the number of bins used (the NULL bin not counted)."""
-    return bins.groupBy("feature").agg(
+    return bins.groupBy(*groups, "feature").agg(
         F.sum("term").alias("psi"),
         (F.count(F.lit(1)) - 1).alias("n_bins_used"),
         F.max("degenerate").alias("degenerate"),
@@ -112,8 +96,8 @@ def psi_numeric(bins: DataFrame) -> DataFrame:
     )
 
 
-def psi_categorical(bins: DataFrame) -> DataFrame:
-    return bins.groupBy("feature").agg(
+def psi_categorical(bins: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
+    return bins.groupBy(*groups, "feature").agg(
         F.sum("term").alias("psi"),
         F.count(F.lit(1)).alias("n_bins_used"),
         (F.count(F.lit(1)) < 2).alias("degenerate"),
@@ -142,15 +126,20 @@ def epsilon_sensitivity(bins: DataFrame, epsilons: Sequence[float] = EPSILONS) -
 
 
 def drift_table(
-    df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], train: str = "train", test: str = "test"
+    df: DataFrame,
+    numeric: Sequence[str],
+    categorical: Sequence[str],
+    train: str = "train",
+    test: str = "test",
+    groups: Sequence[str] = (),
 ) -> tuple[DataFrame, DataFrame]:
-    """(one row per feature, all bins), both over numeric and categorical features."""
-    nb = stage(numeric_bins(df, numeric, train, test), "numeric-bins")
-    cb = stage(categorical_bins(df, categorical, train, test), "categorical-bins")
-    psi = psi_numeric(nb).withColumn("kind", F.lit("numeric")).unionByName(
-        psi_categorical(cb).withColumn("kind", F.lit("categorical"))
+    """(one row per group and feature, all bins), both over numeric and categorical features."""
+    nb = stage(numeric_bins(df, numeric, train, test, groups), "numeric-bins")
+    cb = stage(categorical_bins(df, categorical, train, test, groups), "categorical-bins")
+    psi = psi_numeric(nb, groups).withColumn("kind", F.lit("numeric")).unionByName(
+        psi_categorical(cb, groups).withColumn("kind", F.lit("categorical"))
     )
-    null_bin = F.max("bin").over(Window.partitionBy("feature"))
+    null_bin = F.max("bin").over(Window.partitionBy(*groups, "feature"))
     labelled = nb.withColumn(
         "bin", F.when(F.col("bin") == null_bin, NULL_TOKEN).otherwise(F.col("bin").cast("string"))
     )
@@ -158,9 +147,9 @@ def drift_table(
     return psi.withColumn("band", psi_band("psi")), bins
 
 
-def ranked_report(psi: DataFrame) -> DataFrame:
-    """Features by falling index with their place."""
-    return rank_map(psi, "psi", "feature", "place").orderBy("place")
+def ranked_report(psi: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
+    """Features by falling index with their place inside each group."""
+    return rank_map(psi, "psi", "feature", "place", groups).orderBy(*groups, "place")
 
 
 def top_bins(ranked: DataFrame, bins: DataFrame, k: int) -> DataFrame:

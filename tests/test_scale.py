@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,6 +13,7 @@ from cohortlens.functions.ranking import budget_flags, exact_quantiles, running_
 from cohortlens.functions.scalars import key_digest
 from cohortlens.functions.normal import two_sided_p
 from cohortlens.operators import bootstrap as bs
+from cohortlens.operators import quantile_cells as qc
 from cohortlens.operators import scoring as sc
 from cohortlens.operators.discontinuity import jump_table
 from cohortlens.operators.ordering import rank_map
@@ -320,3 +322,37 @@ def test_flags_without_a_join_of_rows_with_rows(spark, counted):
         assert sum(r["flagged"] for r in got if r["g"] == g) == 63
     unscored = spark.createDataFrame([("a", 1, None), ("a", 2, 0.5), ("b", 3, None)], "g string, id int, p double")
     assert {r["id"]: r["flagged"] for r in budget_flags(unscored, ["g"], ["id"], "p", 0.5, 42).collect()} == {1: 0, 2: 1, 3: 0}
+
+
+def drawn_rows(n):
+    rng = np.random.default_rng(11)
+    kinds = {"normal": rng.normal(0, 1e6, n), "ties": rng.integers(0, 6, n) / 4.0, "tiny": rng.random(n) * 1e-9}
+    groups, splits = np.array(["a", None], object)[(np.arange(n) % 10 == 0).astype(int)], np.where(rng.random(n) < 0.7, "train", "test")
+    out = pd.DataFrame({"g": groups, "split": splits, **kinds})
+    out.loc[::7, "ties"] = np.nan
+    return out
+
+
+@pytest.mark.parametrize("accuracy", [10_000, 40])
+def test_quantile_cells_are_exact_from_two_reads(spark, counted, monkeypatch, accuracy):
+    """Also with a sketch that errs by far more than the margins allow for: intervals are then widened."""
+    n = 60_000
+    data = drawn_rows(n)
+    monkeypatch.setattr(qc, "ACCURACY", accuracy)
+    names = ["normal", "ties", "tiny"]
+    read, seen = counted(spark.createDataFrame(data.replace({np.nan: None}), "g string, split string, normal double, ties double, tiny double").repartition(6))
+    cells, edges = qc.quantile_cells(read, ["g"], names, F.col("split") == "train", {"test_n": F.col("split") == "test"}, 10)
+    assert seen.value == 2 * n or accuracy == 40 and seen.value % (2 * n) == 0
+    cells = cells.toPandas()
+    for r in edges.collect():
+        mine = data[(data.g == r["g"]) if r["g"] else data.g.isna()]
+        values = mine[mine.split == "train"][r["feature"]].dropna()
+        assert np.allclose(r["edges"], np.quantile(values, np.arange(11) / 10), rtol=1e-12, atol=0)
+        own = cells[(cells.feature == r["feature"]) & ((cells.g == r["g"]) if r["g"] else cells.g.isna())]
+        test = mine[mine.split == "test"][r["feature"]]
+        assert own[own.value.isna()].test_n.sum() == test.isna().sum()
+        for edge in r["edges"][1:-1]:
+            assert own[own.value < edge].test_n.sum() == (test < edge).sum()
+    assert edges.count() == 6
+    if accuracy == 10_000:
+        assert len(cells[(cells.feature == "normal") & (cells.g == "a")]) < 0.01 * n
