@@ -238,10 +238,10 @@ _CONTRIB = "contrib AS (" + " UNION ALL ".join(
 _FEATURE = "CASE WHEN col LIKE 'kind%' THEN 'kind' WHEN col LIKE '%amount' THEN 'amount' ELSE col END"
 
 
-def _contributions(spark, d):
+def _event_design(spark, d):
     e = b.event_log(spark, d)
     gone = F.col("event_id") % 9 == 0
-    design = e.select(
+    return e.select(
         "event_id",
         F.when(gone, 40.0).otherwise(F.col("amount")).alias("amount"),
         F.when(gone, 1).otherwise(0).alias("was_missing_amount"),
@@ -251,7 +251,10 @@ def _contributions(spark, d):
             for k in ("click", "error", "purchase", "signup", "view")
         ],
     )
-    return im.linear_contributions(design, ["event_id"], COEFFICIENTS, _MEANS)
+
+
+def _contributions(spark, d):
+    return im.linear_contributions(_event_design(spark, d), ["event_id"], COEFFICIENTS, _MEANS)
 
 
 @query(
@@ -259,7 +262,7 @@ def _contributions(spark, d):
     f"""WITH {_CONTRIB} SELECT feature, r(avg(abs(s))) AS importance FROM (SELECT event_id, {_FEATURE} AS feature, sum(contribution) AS s FROM contrib GROUP BY ALL) GROUP BY feature""",
 )
 def _grouped(spark, d):
-    return im.grouped_contribution(_contributions(spark, d), ["event_id"])
+    return im.mean_contributions(im.folded_contributions(_event_design(spark, d), [], COEFFICIENTS, _MEANS))
 
 
 @query(

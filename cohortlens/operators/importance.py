@@ -40,6 +40,28 @@ def feature_of(column: str | Column) -> Column:
     return F.split(bare, LEVEL_MARK)[0]
 
 
+def _folded(columns: Sequence[str]) -> dict[str, list[int]]:
+    """Positions of each feature's design columns; see :func:`feature_of`."""
+    at: dict[str, list[int]] = {}
+    for i, c in enumerate(columns):
+        bare = c[len(MISSING_PREFIX) :] if c.startswith(MISSING_PREFIX) else c
+        at.setdefault(bare.split(LEVEL_MARK)[0], []).append(i)
+    return at
+
+
+def folded_contributions(
+    design: DataFrame, keep: Sequence[str], coefficients: Mapping[str, float], means: Mapping[str, float]
+) -> DataFrame:
+    """``keep`` and ``contributions``: per feature the signed sum of its columns' terms in :func:`linear_contributions`.
+
+    The sum is made inside the row, so the table keeps one row per input row and nothing is shuffled by row.
+    """
+    names = list(coefficients)
+    term = {c: F.lit(float(coefficients[c])) * (F.col(f"`{c}`").cast("double") - F.lit(float(means[c]))) for c in names}
+    parts = [F.struct(F.lit(f).alias("feature"), sum((term[names[i]] for i in at), F.lit(0.0)).alias("c")) for f, at in _folded(names).items()]
+    return design.select(*keep, F.array(*parts).alias("contributions"))
+
+
 def grouped_contribution(long: DataFrame, key: Sequence[str]) -> DataFrame:
     """Mean absolute value of the signed sum over each feature's columns."""
     per_row = long.groupBy(*key, feature_of("column").alias("feature")).agg(F.sum("contribution").alias("_c"))
@@ -51,23 +73,19 @@ def vector_contributions(rows: DataFrame, x: str, columns: Sequence[str], weight
 
     Columns fold to features inside the row, so nothing is turned into long form.
     """
-    folded: dict[str, list[int]] = {}
-    for i, c in enumerate(columns):
-        bare = c[len(MISSING_PREFIX) :] if c.startswith(MISSING_PREFIX) else c
-        folded.setdefault(bare.split(LEVEL_MARK)[0], []).append(i)
     w = F.array(*[F.lit(float(v)) for v in weights])
     terms = F.zip_with(F.col(x), w, lambda a, b: a * b)
     summed = rows.withColumn("_terms", terms)
-    parts = [F.struct(F.lit(f).alias("feature"), sum((F.col("_terms")[i] for i in at), F.lit(0.0)).alias("c")) for f, at in folded.items()]
+    parts = [F.struct(F.lit(f).alias("feature"), sum((F.col("_terms")[i] for i in at), F.lit(0.0)).alias("c")) for f, at in _folded(columns).items()]
     out = summed.withColumn("contributions", F.array(*parts))
     score = F.aggregate("contributions", F.lit(float(intercept)), lambda a, t: a + t["c"])
     return out.withColumn("p", 1.0 / (1.0 + F.exp(-score))).drop("_terms")
 
 
 def mean_contributions(rows: DataFrame) -> DataFrame:
-    """(feature, importance): mean absolute contribution over the rows, one aggregate of vectors."""
+    """(feature, importance): mean absolute contribution over the rows, one aggregate of vectors; no rows give no features."""
     vector = array_to_vector(F.transform("contributions", lambda t: F.abs(t["c"])))
-    got = rows.agg(vector_to_array(Summarizer.mean(vector)).alias("m"), F.first(F.transform("contributions", lambda t: t["feature"])).alias("f"))
+    got = rows.groupBy(F.lit(1)).agg(vector_to_array(Summarizer.mean(vector)).alias("m"), F.first(F.transform("contributions", lambda t: t["feature"])).alias("f"))
     return got.select(F.explode(F.arrays_zip("f", "m")).alias("t")).select(F.col("t.f").alias("feature"), F.col("t.m").alias("importance"))
 
 

@@ -13,6 +13,7 @@ from cohortlens.functions.ranking import budget_flags, exact_quantiles, running_
 from cohortlens.functions.scalars import key_digest
 from cohortlens.functions.normal import two_sided_p
 from cohortlens.operators import bootstrap as bs
+from cohortlens.operators import importance as im
 from cohortlens.operators import quantile_cells as qc
 from cohortlens.operators import scoring as sc
 from cohortlens.operators.discontinuity import jump_table
@@ -356,3 +357,17 @@ def test_quantile_cells_are_exact_from_two_reads(spark, counted, monkeypatch, ac
     assert edges.count() == 6
     if accuracy == 10_000:
         assert len(cells[(cells.feature == "normal") & (cells.g == "a")]) < 0.01 * n
+
+
+def test_contributions_fold_inside_the_row(spark):
+    """Equal to the long form, repeated keys apart, with one exchange of one partial aggregate."""
+    coefs, means = {"a": 2.0, "was_missing_a": -1.0, "k__x": 0.5, "k__y": -0.5}, {"a": 1.0, "was_missing_a": 0.5, "k__x": 0.25, "k__y": 0.75}
+    rows = spark.createDataFrame([(i, i % 4 / 2, int(i % 5 == 0), int(i % 3 == 0), int(i % 3 > 0)) for i in range(50)], "id int, a double, was_missing_a int, k__x int, k__y int")
+    folded = im.mean_contributions(im.folded_contributions(rows, [], coefs, means))
+    long = im.grouped_contribution(im.linear_contributions(rows, ["id"], coefs, means), ["id"])
+    want = {r["feature"]: r["importance"] for r in long.collect()}
+    assert {r["feature"]: r["importance"] for r in folded.collect()} == pytest.approx(want) and set(want) == {"a", "k"}
+    text = plan(folded)
+    final = text.split("Initial Plan")[-1]
+    assert final.count("Exchange") == 1 and "Expand" not in final
+    assert im.mean_contributions(im.folded_contributions(rows.where("id < 0"), [], coefs, means)).count() == 0
