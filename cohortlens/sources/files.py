@@ -25,13 +25,24 @@ def _listed(named: Sequence[str], found: DataFrame) -> str:
     return "; ".join(named) + (f"; and {rest} more" if rest else "")
 
 
+def _below(spark: SparkSession, folder: str) -> int:
+    """Where the path below ``folder`` begins in the path of a file that Spark lists there."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    store = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return len(store.getFileStatus(root).getPath().toString().rstrip("/")) + 2
+
+
 def listing(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """(file, stem, bytes). Contents are not read: the column is pruned from the scan."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
-    name = F.element_at(F.split("path", "/"), -1)
-    return files.select(
-        name.alias("file"), F.lower(F.regexp_extract(name, r"^([^.]+)", 1)).alias("stem"), F.col("length").alias("bytes")
-    )
+    """(file, stem, bytes) of what lies in the folder itself; a table that is a folder of part files is one file of all their bytes.
+
+    ``pattern`` is for the names in the folder, not for those of part files. Contents are not read: the column is pruned
+    from the scan.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    name = F.substring_index(F.substring("path", _below(spark, folder), 1 << 20), "/", 1)
+    wanted = spark.sparkContext._jvm.org.apache.hadoop.fs.GlobPattern(pattern).compiled().pattern()
+    whole = files.groupBy(name.alias("file")).agg(F.sum("length").alias("bytes")).where(F.col("file").rlike(f"^(?:{wanted})$"))
+    return whole.select("file", F.lower(F.regexp_extract("file", r"^([^.]+)", 1)).alias("stem"), "bytes")
 
 
 def manifest_check(files: DataFrame, expected: Mapping[str, str]) -> DataFrame:
@@ -105,9 +116,7 @@ def checksums(
     leaves empty files out, so a recorded file that is emptied is ``gone``. A file shorter than listed is an error.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true")
-    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    store = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    below = len(store.getFileStatus(root).getPath().toString().rstrip("/")) + 2
+    below = _below(spark, folder)
     listed = stage(files.load(folder).select("path", F.col("length").alias("bytes")), "listing")
     name = F.substring("path", below, 1 << 20).alias("file")
     last = F.greatest(F.ceil(F.col("bytes") / F.lit(part_bytes)).cast("long") - 1, F.lit(0).cast("long"))

@@ -277,6 +277,16 @@ def test_manifest_and_checksums(spark, tmp_path):
     }
 
 
+def test_a_folder_of_part_files_is_one_table_of_the_manifest(spark, tmp_path):
+    for name, size in {"courses.csv": 3, "vle.csv/part-0.csv": 5, "vle.csv/part-1.csv": 7, "notes/part-0.csv": 9, "vle.txt": 2}.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text("x" * size)
+    found = files.listing(spark, str(tmp_path), "*.csv")
+    assert rows(found, "file", "stem", "bytes") == [("courses.csv", "courses", 3), ("vle.csv", "vle", 12)]
+    files.require_manifest(found, {"courses": "courses", "vle": "vle"})
+    assert rows(files.listing(spark, str(tmp_path), "{notes,vle.t?t}"), "file", "bytes") == [("notes", 9), ("vle.txt", 2)]
+
+
 def test_changed_file_is_an_error(spark, tmp_path):
     data, manifest = tmp_path / "in", str(tmp_path / "manifest")
     data.mkdir()
