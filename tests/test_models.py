@@ -114,3 +114,23 @@ def test_sums_of_arrays(spark):
     df = spark.createDataFrame([(i % 2, [float(i), 1.0]) for i in range(10)], "k int, v array<double>")
     assert {r["k"]: r["v"] for r in lo.summed(df, ["k"], "v").collect()} == {0: [20.0, 5.0], 1: [25.0, 5.0]}
     assert lo.summed(df.where(F.lit(False)), ["k"], "v").collect() == []
+
+
+def test_a_group_that_fits_a_task_is_one_job_for_any_number_of_trees(spark, monkeypatch):
+    """More rows than a level sums in full: no job a tree, and the trees of the passes over all rows."""
+    rng = np.random.default_rng(4)
+    bins = rng.integers(0, 6, (24_000, 3))
+    y = (rng.random(24_000) < 0.2 + 0.1 * bins[:, 0] * (bins[:, 2] != 1)).astype(float)
+    layout = {3: bo.Layout(np.array([6, 6, 6]), np.array([True, True, False]))}
+    data = [(3, i % 8 > 0, float(y[i]), 1.0, bytearray(bins[i].astype("<u2").tobytes())) for i in range(24_000)]
+    rows = spark.createDataFrame(data, "grp int, fit boolean, y double, weight double, bins binary").repartition(3)
+    specs = [bo.BoostSpec("a", 3, 4, 0.1, 20), bo.BoostSpec("b", 3, 2, 0.2, 50)]
+    spark.sparkContext.setJobGroup("boosted", "")
+    fits = bo.fit_boosted(rows, specs, layout, 14, 20)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("boosted"))
+    spark.sparkContext.setJobGroup("other", "")
+    assert jobs <= 6
+    monkeypatch.setattr(bo, "LOCAL_ROWS", 0)
+    for one, other in zip(fits, bo.fit_boosted(rows, specs, layout, 14, 20)):
+        assert len(one.trees) == len(other.trees) and np.allclose(one.losses, other.losses)
+        assert np.allclose(one.probability(bins[:500]), other.probability(bins[:500]))
