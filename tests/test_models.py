@@ -1,11 +1,14 @@
 """Fits over partitions against the same fits done by hand in memory."""
 
+from types import SimpleNamespace
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from cohortlens.operators import boosting as bo
 from cohortlens.operators import logistic as lo
+from cohortlens.plans import ladder as ld
 
 
 def table(spark, seed=1, n=600):
@@ -134,3 +137,22 @@ def test_a_group_that_fits_a_task_is_one_job_for_any_number_of_trees(spark, monk
     for one, other in zip(fits, bo.fit_boosted(rows, specs, layout, 14, 20)):
         assert len(one.trees) == len(other.trees) and np.allclose(one.losses, other.losses)
         assert np.allclose(one.probability(bins[:500]), other.probability(bins[:500]))
+
+
+def test_score_equations_are_summed_in_the_tasks(spark):
+    """By hand, for models that solve nothing, and without a row for each value of each scored row."""
+    x, y, group, df = table(spark)
+    design = SimpleNamespace(design=SimpleNamespace(columns=["a", "b", "c", "d"]))
+    made = ld.Prepared({7: design, 9: design}, df.withColumn("fit", F.lit(True)), [])
+    fits = [lo.LogitFit(lo.LogitSpec("m", g, cols, 0.5), 0.3, np.array([0.2, -0.4][: len(cols)]), int((group == g).sum()), 1, 0.0) for g in (7, 9) for cols in ((0, 2), (3,))]
+    models = [ld.Model(f.spec.group, f"B{len(f.spec.columns)}", {"C": 0.5}, f) for f in fits]
+    got = ld.score_equations(made, models)
+    assert "explode(x" not in got._jdf.queryExecution().optimizedPlan().toString()
+    found = {(r["cutoff"], r["rung"], r["column"]): r["residual"] for r in got.collect()}
+    want = {}
+    for m, f in zip(models, fits):
+        mine = group == m.cutoff
+        off = f.probability(x[mine]) - y[mine]
+        want[m.cutoff, m.rung, "(intercept)"] = off.sum() / f.n_rows
+        want |= {(m.cutoff, m.rung, "abcd"[at]): (off @ x[mine][:, at] + b / 0.5) / f.n_rows for at, b in zip(f.spec.columns, f.coefficients)}
+    assert found.keys() == want.keys() and all(abs(found[k] - v) < 1e-12 for k, v in want.items())
