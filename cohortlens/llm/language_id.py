@@ -22,6 +22,8 @@ from cohortlens.llm.textbatch import chunks, parts, utf8
 BUCKETS, ORDERS, SMOOTHING = 1 << 15, (1, 2, 3), 0.5
 #: 256 classes make a matrix of 32 MB, the most that is sent at a time.
 SHARD_CLASSES = 256
+#: Text that is taken apart at a time; its code points, n-grams and their weights take some 130 times as many bytes.
+CHUNK_BYTES = 1 << 16
 UNDETERMINED = "und"
 _U = np.uint32
 
@@ -55,7 +57,7 @@ def _points(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray
     """Row ranges with their lowered code points."""
     low = pc.utf8_lower(pc.fill_null(column.cast(pa.large_string()), ""))
     buf, bounds = utf8(low)
-    for i, j in chunks(bounds, 1 << 19):
+    for i, j in chunks(bounds, CHUNK_BYTES):
         b = bounds[i : j + 1]
         raw = buf[b[0] : b[-1]]
         begins = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))

@@ -1,5 +1,9 @@
+import tracemalloc
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from cohortlens.llm import language_id as li
 from cohortlens.llm.language_id import fit_languages, identify_languages, predict_languages
 
 
@@ -61,3 +65,13 @@ def test_naive_bayes_by_hand(spark, monkeypatch):
             scores.append(np.log(len(ts) / len(rows)) + sum(np.log((counts[g][b] + li.SMOOTHING) / total) for b in grams(t)))
         odds = np.exp(np.array(scores) - max(scores))
         assert r["lang_pred"] == list(texts)[int(odds.argmax())] and abs(r["score"] - odds.max() / odds.sum()) < 1e-3
+
+
+def test_memory_of_a_batch_does_not_grow_with_its_texts():
+    texts = ["der schnelle braune fuchs springt " * 60] * 1000
+    batch = pa.RecordBatch.from_pydict({"lang": ["de"] * 1000, "text": texts})
+    tracemalloc.start()
+    found = list(li._count(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(found[0].column("n").to_pylist()) > 1000 * 60 * 27 * 2 and peak < 25 << 20
