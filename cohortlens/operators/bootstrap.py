@@ -2,7 +2,7 @@
 
 Rows collapse to a ladder of distinct scores, cut into at most about ``BLOCKS`` blocks of scores. Resampling has two steps with
 the distribution of plain resampling inside each class. First the slots of a class draw positions of the class from
-a digest of (seed, resample, class, slot); only the number that falls into each block is kept, counted inside each task. Then
+a digest of (seed, resample, class, slot); only the number that falls into each block is kept, one count for all slots of a task. Then
 every block draws its number of positions among its own rows. Class sizes never change, and a lost task draws the same again.
 
 A block knows how many copies lie below it in each resample, so it works out its share of every metric alone. What is shuffled
@@ -31,39 +31,85 @@ METRICS = ["expected_cost", "auc_pr", "auc_roc", "brier", "recall_at_5pct", "rec
 
 #: Blocks of a group, a bound on what is shuffled; and the fewest rows that make a block.
 BLOCKS, MIN_BLOCK = 1024, 4096
-#: Draws that a task makes at a time.
-DRAWS_AT_ONCE = 1 << 20
+#: Draws made at a time, few enough for their arrays to stay in a processor's cache; cells (resample, score) held at a time.
+DRAWS_AT_ONCE, CELLS_AT_ONCE = 1 << 15, 1 << 20
+#: Resamples of a class that one frame of counts holds; buckets of positions that a block is looked up by.
+RESAMPLES_AT_ONCE, BUCKET_BITS = 64, 14
 _MASK = np.uint64(0xFFFFFFFF)
+_SHIFTED, _TIMES = (16, 15, 16), (np.uint32(0x7FEB352D), np.uint32(0x846CA68B))
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    """32-bit mixing function of numbers below 2**32."""
-    x = x ^ (x >> np.uint64(16))
-    x = (x * np.uint64(0x7FEB352D)) & _MASK
-    x = x ^ (x >> np.uint64(15))
-    x = (x * np.uint64(0x846CA68B)) & _MASK
-    return x ^ (x >> np.uint64(16))
+def _mix(x: np.ndarray, room: np.ndarray) -> None:
+    """32-bit mixing function in place."""
+    for i, shift in enumerate(_SHIFTED):
+        np.right_shift(x, shift, out=room)
+        np.bitwise_xor(x, room, out=x)
+        if i < len(_TIMES):
+            np.multiply(x, _TIMES[i], out=x)
 
 
 def _chained(*parts: np.ndarray | int) -> np.ndarray:
-    out = np.zeros(1, np.uint64)
+    out = np.zeros(1, np.uint32)
     for p in parts:
-        out = _mixed(out ^ (np.asarray(p).astype(np.uint64) & _MASK))
+        out = out ^ (np.asarray(p).astype(np.uint64) & _MASK).astype(np.uint32)
+        _mix(out, np.empty_like(out))
     return out
 
 
-def drawn(seed: int, step: int, b: np.ndarray, label: int, block: int, slots: np.ndarray, size: int) -> np.ndarray:
-    """Positions 0..size-1 drawn by each slot in each resample, one row per resample.
+def draw_keys(seed: int, step: int, b: np.ndarray, label: int, block: int) -> np.ndarray:
+    """What the two digests of a draw share in each resample, (resamples x 2)."""
+    return np.stack([_chained(seed, half, step, label, block, b) for half in (0, 1)], axis=1)
+
+
+def _rooms() -> tuple[np.ndarray, ...]:
+    return tuple(np.empty(DRAWS_AT_ONCE, kind) for kind in (np.uint32, np.uint32, np.uint64, np.uint64))
+
 
-    53 bits of two digests; the bias is below size / 2**53.
+def draw_runs(keys: np.ndarray, low: int, highs: np.ndarray, size: int, rooms: tuple[np.ndarray, ...]) -> Iterator[tuple[int, int, np.ndarray | int, np.ndarray]]:
+    """(i, j, owner, positions) of runs of at most ``DRAWS_AT_ONCE`` draws of the resamples i..j-1; ``owner`` counts from i.
+
+    A resample draws positions 0..size-1 for its slots low..high-1, by 53 bits of two digests; the bias is below
+    size / 2**53. A run lives in ``rooms`` and goes with the next one.
     """
-    out = None
-    for half in (0, 1):
-        key = _chained(seed, half, step, label, block, b)
+    last = int(highs.max())
+    while low < last:
         # Slots beyond 32 bits change the key, so the low part alone is hashed last.
-        h = _mixed(_mixed(key[:, None] ^ (slots.astype(np.uint64) >> np.uint64(32))[None, :]) ^ (slots.astype(np.uint64) & _MASK)[None, :])
-        out = h << np.uint64(21) if out is None else out + (h >> np.uint64(11))
-    return (out % np.uint64(size)).astype(np.int64)
+        end = min(last, low + DRAWS_AT_ONCE, ((low >> 32) + 1) << 32)
+        heads = keys ^ np.uint32(low >> 32)
+        _mix(heads, np.empty_like(heads))
+        slots = np.arange(low & 0xFFFFFFFF, (low & 0xFFFFFFFF) + end - low).astype(np.uint32)
+        n = np.clip(highs - low, 0, end - low)
+        before = np.concatenate([[0], np.cumsum(n)])
+        i = 0
+        while i < n.size:
+            j = max(i + 1, int(np.searchsorted(before, before[i] + DRAWS_AT_ONCE, "right")) - 1)
+            m = int(before[j] - before[i])
+            if m:
+                one = j == i + 1
+                owner = 0 if one else np.repeat(np.arange(j - i), n[i:j])
+                slot = slots[:m] if one else slots[np.arange(m) - (before[i:j] - before[i])[owner]]
+                x, y, out, whole = (r[:m] for r in rooms)
+                for half in (0, 1):
+                    np.bitwise_xor(heads[i, half] if one else heads[i:j, half][owner], slot, out=x)
+                    _mix(x, y)
+                    if half == 0:
+                        np.left_shift(x, np.uint64(21), out=out, dtype=np.uint64)
+                    else:
+                        np.right_shift(x, 11, out=x)
+                        np.add(out, x, out=out)
+                np.floor_divide(out, np.uint64(size), out=whole)
+                np.multiply(whole, np.uint64(size), out=whole)
+                np.subtract(out, whole, out=out)
+                yield i, j, owner, out.view(np.int64)
+            i = j
+        low = end
+
+
+def drawn(seed: int, step: int, b: np.ndarray, label: int, block: int, slots: np.ndarray, size: int) -> np.ndarray:
+    """Positions 0..size-1 drawn by each of consecutive slots in each resample, one row per resample."""
+    rooms, low, high = _rooms(), int(slots[0]), np.array([int(slots[-1]) + 1])
+    keys = draw_keys(seed, step, b, label, block)
+    return np.array([np.concatenate([at.copy() for *_, at in draw_runs(k[None], low, high, size, rooms)]) for k in keys])
 
 
 def score_blocks(rows: DataFrame, groups: Sequence[str], score: str, label: str = "y") -> DataFrame:
@@ -82,22 +128,53 @@ def score_blocks(rows: DataFrame, groups: Sequence[str], score: str, label: str
     )
 
 
+def _finder(starts: np.ndarray, total: int):
+    """Function from positions to the last start at or below each: a table of buckets, then the few starts inside a bucket."""
+    bits = max(0, int(total).bit_length() - BUCKET_BITS)
+    edges = np.arange((total >> bits) + 2, dtype=np.int64) << bits
+    first = np.searchsorted(starts, edges[:-1], "right") - 1
+    inside = int((np.searchsorted(starts, edges[1:] - 1, "right") - 1 - first).max())
+    # Blocks with hardly a row of the class lie many to a bucket.
+    if inside > 6:
+        return lambda at: np.searchsorted(starts, at, "right") - 1
+    following = np.append(starts[1:], total)
+
+    def found(at: np.ndarray) -> np.ndarray:
+        out = first[at >> bits]
+        for _ in range(inside):
+            out += at >= following[out]
+        return out
+
+    return found
+
+
 def _block_counts(seed: int, resamples: int, groups: Sequence[str]):
+    """Draws of each block, counted over all slots of a class that a task holds; they come in order of group and class."""
+
+    def counts(of: tuple, ids: np.ndarray, cells: np.ndarray) -> Iterator[pd.DataFrame]:
+        for lo in range(0, resamples, RESAMPLES_AT_ONCE):
+            b, at = np.nonzero(cells[lo : lo + RESAMPLES_AT_ONCE])
+            out = pd.DataFrame({"b": b + lo + 1, "block": ids[at], "label": of[-1], "t": cells[b + lo, at]})
+            for g, v in zip(groups, of):
+                out[g] = v
+            yield out[[*groups, "b", "block", "label", "t"]]
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for row in frame.itertuples(index=False):
-                slots = np.arange(row.low, row.high)
-                starts, ids = np.array(row.starts, np.int64), np.array(row.blocks, np.int64)
-                step = max(1, DRAWS_AT_ONCE // max(1, slots.size))
-                for lo in range(1, resamples + 1, step):
-                    b = np.arange(lo, min(lo + step, resamples + 1))
-                    at = np.searchsorted(starts, drawn(seed, 0, b, row.label, 0, slots, row.total), "right") - 1
-                    cells = np.bincount((np.arange(b.size)[:, None] * ids.size + at).ravel(), minlength=b.size * ids.size)
-                    hit = np.flatnonzero(cells)
-                    out = pd.DataFrame({"b": b[hit // ids.size], "block": ids[hit % ids.size], "label": row.label, "t": cells[hit]})
-                    for g in groups:
-                        out[g] = getattr(row, g)
-                    yield out[[*groups, "b", "block", "label", "t"]]
+        rooms, last = _rooms(), None
+        for row in (r for f in frames for r in f.itertuples(index=False)):
+            of = (*(getattr(row, g) for g in groups), row.label)
+            # Where a group is NULL, as NaN, each chunk is counted alone.
+            if of != last:
+                if last is not None:
+                    yield from counts(last, ids, cells)
+                last, ids, total = of, np.array(row.blocks, np.int64), int(row.total)
+                find = _finder(np.array(row.starts, np.int64), total)
+                keys = draw_keys(seed, 0, np.arange(1, resamples + 1), row.label, 0)
+                cells = np.zeros((resamples, ids.size), np.int64)
+            for i, j, owner, at in draw_runs(keys, int(row.low), np.full(resamples, row.high), total, rooms):
+                cells[i:j] += np.bincount(owner * ids.size + find(at), minlength=(j - i) * ids.size).reshape(j - i, -1)
+        if last is not None:
+            yield from counts(last, ids, cells)
 
     return run
 
@@ -120,7 +197,7 @@ def block_draws(ladder: DataFrame, groups: Sequence[str], resamples: int, seed:
     chunks = held[0].unionByName(held[1]).select(*by, "label", "total", "size", F.col("s.start").alias("starts"), F.col("s.block").alias("blocks"), lows)
     chunks = chunks.withColumn("high", F.least("total", F.col("low") + F.col("size"))).repartition(
         int(ladder.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    )
+    ).sortWithinPartitions(*by, "label")
     fields = ", ".join([*(f"{g} {kinds[g]}" for g in by), "b long, block long, label int, t long"])
     found = chunks.mapInPandas(_block_counts(seed, resamples, by), fields).groupBy(*by, "b", "block").agg(
         *[F.coalesce(F.sum(F.when(F.col("label") == c, F.col("t"))), F.lit(0)).alias(f"t{c}") for c in (0, 1)]
@@ -147,7 +224,7 @@ def _with_draws(ladder: DataFrame, groups: Sequence[str], resamples: int, seed:
 
 def _copies(row, seed: int, rows_at: slice) -> list[np.ndarray]:
     """Copies of each score of a block in some resamples, (resamples x scores) for each class."""
-    b = np.array(row.b, np.int64)[rows_at]
+    b, rooms = np.array(row.b, np.int64)[rows_at], _rooms()
     out = []
     for c, counts, taken in ((0, row.n0, row.t0), (1, row.n1, row.t1)):
         sizes, t = np.array(counts, np.int64), np.array(taken, np.int64)[rows_at]
@@ -155,18 +232,17 @@ def _copies(row, seed: int, rows_at: slice) -> list[np.ndarray]:
         if sizes.size == 1:
             copies[:, 0] = t
         elif sizes.any():
-            score_of = np.repeat(np.arange(sizes.size), sizes)
-            for i in range(b.size):
-                for lo in range(0, int(t[i]), DRAWS_AT_ONCE):
-                    slots = np.arange(lo, min(lo + DRAWS_AT_ONCE, int(t[i])))
-                    at = drawn(seed, 1, b[i : i + 1], c, row.block + 1, slots, score_of.size)[0]
-                    copies[i] += np.bincount(score_of[at], minlength=sizes.size)
+            held = np.flatnonzero(sizes)
+            total, first = int(sizes.sum()), np.cumsum(sizes[held]) - sizes[held]
+            for i, j, owner, at in draw_runs(draw_keys(seed, 1, b, c, row.block + 1), 0, t, total, rooms):
+                rows = np.bincount(owner * total + at, minlength=(j - i) * total).reshape(j - i, -1)
+                copies[i:j, held] += rows if held.size == total else np.add.reduceat(rows, first, axis=1)
         out.append(copies)
     return out
 
 
 def _resamples_at_once(row) -> Iterator[slice]:
-    step = max(1, DRAWS_AT_ONCE // max(1, len(row.score)))
+    step = max(1, CELLS_AT_ONCE // max(1, len(row.score)))
     for lo in range(0, len(row.b), step):
         yield slice(lo, lo + step)
 
