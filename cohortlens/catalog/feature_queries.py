@@ -19,7 +19,7 @@ CUTS = list(b.DESIGN.cutoffs)
 
 
 def features_of(spark, d) -> DataFrame:
-    return features.feature_table(b.typed_tables(spark, d), b.DESIGN, b.ASSESSMENT_KINDS)
+    return features.feature_table(b.typed_tables(spark, d, stored=True), b.DESIGN, b.ASSESSMENT_KINDS)
 
 
 # --- activity on events ----------------------------------------------------------------------
@@ -477,7 +477,9 @@ def _feature_table(spark, d):
 def _feature_row_counts(spark, d):
     """One cutoff has lost the features of some students, which the check must tell."""
     lost = (F.col("cutoff") == 90) & (F.col("id_student") % 13 == 5)
-    return features.row_count_check(features_of(spark, d).where(~lost), cohort_of(spark, d))
+    t = b.typed_tables(spark, d, stored=True)
+    table = features.feature_table(t, b.DESIGN, b.ASSESSMENT_KINDS)
+    return features.row_count_check(table.where(~lost), ch.cohorts(ch.population(t.registration, t.info), b.DESIGN))
 
 
 # --- ordering ----------------------------------------------------------------------------------

@@ -2,7 +2,8 @@
 
 The log is read once. It is reduced to one row per (unit, day) and one row per (unit, item) with
 partial aggregation, so a unit that owns a large share of the log still contributes at most one
-row per day and item to a shuffle partition. All cutoffs are conditional sums over these rows.
+row per day and item to a shuffle partition. All cutoffs are conditional sums over these rows, side by
+side in one row per unit (``*_by_unit``); rows are copied per cutoff only after that.
 """
 
 from __future__ import annotations
@@ -37,6 +38,17 @@ def reaching(df: DataFrame, day: str, cutoffs: Sequence[int]) -> DataFrame:
     return df.withColumn("cutoff", F.explode(later))
 
 
+def per_cutoff(wide: DataFrame, key: Sequence[str], cutoffs: Sequence[int], names: Sequence[str], seen: str) -> DataFrame:
+    """(key.., cutoff, names..) from columns ``<name>_<cutoff>``; only rows whose count ``seen`` is not zero."""
+    rows = [F.struct(F.lit(int(c)).alias("cutoff"), *[F.col(f"{n}_{c}").alias(n) for n in names]) for c in cutoffs]
+    return wide.select(*key, F.explode(F.array(*rows)).alias("_at")).select(*key, "_at.*").where(F.col(seen) > 0)
+
+
+def at_cutoff(name: str, cutoffs: Sequence[int]) -> Column:
+    """Value of ``name`` at the cutoff of the row, from columns ``<name>_<cutoff>``."""
+    return F.coalesce(*[F.when(F.col("cutoff") == c, F.col(f"{name}_{c}")) for c in cutoffs])
+
+
 def zero_filled_slope(day: Column, total: Column, cutoff: int | Column) -> Column:
     """Least-squares slope over days 0..cutoff-1 where a day without rows counts as zero.
 
@@ -51,37 +63,62 @@ def zero_filled_slope(day: Column, total: Column, cutoff: int | Column) -> Colum
     return F.when(c > 1, (sum_xy - (c - 1.0) / 2.0 * sum_y) / spread)
 
 
-def volume_and_trajectory(
+VOLUME = [
+    "total_clicks",
+    "active_days",
+    "clicks_last_7d",
+    "max_date",
+    "first_half_clicks",
+    "second_half_clicks",
+    "click_slope_daily",
+    "longest_activity_gap",
+]
+
+
+def volume_by_unit(
     log: DataFrame,
     key: Sequence[str],
     cutoffs: Sequence[int],
     day: str = "date",
     amount: str = "sum_click",
 ) -> DataFrame:
-    """Totals, active days, recency, half sums, slope and longest gap per (key, cutoff).
+    """One row per key with the columns of :data:`VOLUME` for every cutoff, ``<name>_<cutoff>``.
 
-    Only pairs with activity before the cutoff get a row. The gap window and the final
-    aggregate share one exchange on the key.
+    The gap window and the aggregate share one exchange on the key.
     """
     days = daily_totals(before(log, day, max(cutoffs)), key, day, amount)
     order = Window.partitionBy(*key).orderBy(day)
     stepped = days.withColumn("_gap", F.col(day) - F.lag(day).over(order))
-    d, total, c = F.col(day), F.col("day_total"), F.col("cutoff")
-    half = F.floor(c / 2)
-    return (
-        reaching(stepped, day, cutoffs)
-        .groupBy(*key, "cutoff")
-        .agg(
-            F.sum(total).alias("total_clicks"),
-            F.count(F.lit(1)).alias("active_days"),
-            F.sum(F.when(d >= c - LAST_DAYS, total)).alias("clicks_last_7d"),
-            F.max(d).alias("max_date"),
-            F.sum(F.when((d >= 0) & (d < half), total)).alias("first_half_clicks"),
-            F.sum(F.when(d >= half, total)).alias("second_half_clicks"),
-            zero_filled_slope(d, total, c).alias("click_slope_daily"),
-            F.max("_gap").alias("longest_activity_gap"),
-        )
-    )
+    d = F.col(day)
+
+    def values(c: int) -> list[Column]:
+        total, half = F.when(d < c, F.col("day_total")), c // 2
+        return [
+            F.sum(total),
+            F.count(F.when(d < c, 1)),
+            F.sum(F.when(d >= c - LAST_DAYS, total)),
+            F.max(F.when(d < c, d)),
+            F.sum(F.when((d >= 0) & (d < half), total)),
+            F.sum(F.when(d >= half, total)),
+            zero_filled_slope(d, total, c),
+            F.max(F.when(d < c, F.col("_gap"))),
+        ]
+
+    return stepped.groupBy(*key).agg(*[v.alias(f"{n}_{c}") for c in cutoffs for n, v in zip(VOLUME, values(c))])
+
+
+def volume_and_trajectory(
+    log: DataFrame,
+    key: Sequence[str],
+    cutoffs: Sequence[int],
+    day: str = "date",
+    amount: str = "sum_click",
+) -> DataFrame:
+    """Totals, active days, recency, half sums, slope and longest gap per (key, cutoff).
+
+    Only pairs with activity before the cutoff get a row.
+    """
+    return per_cutoff(volume_by_unit(log, key, cutoffs, day, amount), key, cutoffs, VOLUME, "active_days")
 
 
 def densified_days(units: DataFrame, daily: DataFrame, key: Sequence[str], day: str, cutoff: int) -> DataFrame:
@@ -96,7 +133,10 @@ def slope_from_series(series: DataFrame, key: Sequence[str], day: str) -> DataFr
     return series.groupBy(*key).agg(F.regr_slope(F.col("day_total"), F.col(day)).alias("click_slope_daily"))
 
 
-def breadth(
+BREADTH = ["distinct_activity_types", "distinct_materials", "assessment_clicks"]
+
+
+def breadth_by_unit(
     log: DataFrame,
     items: DataFrame,
     key: Sequence[str],
@@ -107,7 +147,7 @@ def breadth(
     day: str = "date",
     amount: str = "sum_click",
 ) -> DataFrame:
-    """Distinct items and types touched and the volume on assessment types per (key, cutoff).
+    """One row per key with the columns of :data:`BREADTH` for every cutoff, ``<name>_<cutoff>``.
 
     The log is collapsed to one row per (key, item) first; an item counts at a cutoff when its
     first day is before it, so no distinct count is left. ``items`` holds one row per item.
@@ -119,22 +159,37 @@ def breadth(
     )
     # An item that every unit opens is one key with a row per unit.
     typed = hot_join(stage(touched, "touched"), stage(items.select(item, kind), "items"), [item], "left")
-    upto = F.lit(None).cast("bigint")
-    for c in cutoffs:
-        upto = F.when(F.col("cutoff") == c, F.col(f"_sum_{c}")).otherwise(upto)
-    per_type = (
-        reaching(typed, "_first", cutoffs)
-        .groupBy(*key, "cutoff", kind)
-        .agg(F.count(F.lit(1)).alias("_items"), F.sum(upto).alias("_amount"))
-    )
-    return per_type.groupBy(*key, "cutoff").agg(
-        F.count(kind).alias("distinct_activity_types"),
-        F.sum("_items").alias("distinct_materials"),
-        F.coalesce(F.sum(F.when(F.col(kind).isin(list(assessment_types)), F.col("_amount"))), F.lit(0)).alias(
-            "assessment_clicks"
-        ),
+    per_type = typed.groupBy(*key, kind).agg(
+        *[F.count(F.when(F.col("_first") < c, 1)).alias(f"_items_{c}") for c in cutoffs],
+        *[F.sum(f"_sum_{c}").alias(f"_amount_{c}") for c in cutoffs],
     )
 
+    def values(c: int) -> list[Column]:
+        assessed = F.when(F.col(kind).isin(list(assessment_types)), F.col(f"_amount_{c}"))
+        return [
+            F.count(F.when(F.col(f"_items_{c}") > 0, F.col(kind))),
+            F.sum(f"_items_{c}"),
+            F.coalesce(F.sum(assessed), F.lit(0)),
+        ]
+
+    return per_type.groupBy(*key).agg(*[v.alias(f"{n}_{c}") for c in cutoffs for n, v in zip(BREADTH, values(c))])
+
+
+def breadth(
+    log: DataFrame,
+    items: DataFrame,
+    key: Sequence[str],
+    cutoffs: Sequence[int],
+    assessment_types: Sequence[str],
+    item: str = "id_site",
+    kind: str = "activity_type",
+    day: str = "date",
+    amount: str = "sum_click",
+) -> DataFrame:
+    """Distinct items and types touched and the volume on assessment types per (key, cutoff) with activity before it."""
+    wide = breadth_by_unit(log, items, key, cutoffs, assessment_types, item, kind, day, amount)
+    return per_cutoff(wide, key, cutoffs, BREADTH, "distinct_materials")
+
 
 def first_active_day(log: DataFrame, key: Sequence[str], day: str = "date") -> DataFrame:
     return log.groupBy(*key).agg(F.min(day).alias("first_active_day"))

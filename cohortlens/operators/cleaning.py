@@ -45,6 +45,11 @@ class TableSet:
             self._built[name] = self._loaders[name]()
         return self._built[name]
 
+    def replaced(self, **frames: DataFrame) -> TableSet:
+        """The same set with some of its relations given as frames."""
+        rest = {n: (lambda n=n: getattr(self, n)) for n in self._loaders}
+        return TableSet(**rest | {n: (lambda f=f: f) for n, f in frames.items()})
+
     def names(self) -> list[str]:
         return list(self._loaders)
 

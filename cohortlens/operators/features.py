@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from cohortlens.functions.ranking import with_percent_rank
 from cohortlens.functions.scalars import count_where, safe_ratio
 from cohortlens.functions.session import stage
-from cohortlens.operators.activity import breadth, half_ratio, volume_and_trajectory
+from cohortlens.operators.activity import BREADTH, VOLUME, at_cutoff, breadth_by_unit, half_ratio, volume_by_unit
 from cohortlens.operators.cleaning import TableSet
 from cohortlens.operators.cohort import GROUP, KEY, StudyDesign, cohorts, population
-from cohortlens.operators.submissions import due_counts, evidence, submission_stats, submissions_with_due
+from cohortlens.operators.submissions import STATS, due_counts, evidence, submission_stats_by_unit, submissions_with_due
 
 # Fixed values
 NUMERIC_FEATURES = [
@@ -62,23 +62,24 @@ def assembled_features(
 ) -> DataFrame:
     """Cohort rows with all features except the two cohort-relative percentiles.
 
-    Four left joins on (key, cutoff) and one on the group; all right sides are unique on their
-    key, so the row count is that of the cohort.
+    Four left joins on the key, whose right sides hold all cutoffs side by side, and one on the group; all right
+    sides but the info are unique on their key, so the row count is that of the cohort.
     """
-    at = [*key, "cutoff"]
     # The log is read once, for one row per unit, day and item; both collapses start from there.
     early = tables.activity.where(F.col("date") < max(cutoffs)).groupBy(*key, "date", "id_site")
     log = stage(early.agg(F.sum("sum_click").alias("sum_click")), "activity")
-    volume = volume_and_trajectory(log, key, cutoffs)
-    range_ = breadth(log, tables.sites, key, cutoffs, assessment_types)
+    volume = volume_by_unit(log, key, cutoffs)
+    range_ = breadth_by_unit(log, tables.sites, key, cutoffs, assessment_types)
     handed_in = submissions_with_due(tables.submissions, tables.assessments)
-    work = submission_stats(handed_in, key, cutoffs)
+    work = submission_stats_by_unit(handed_in, key, cutoffs)
     due = due_counts(tables.assessments, group, cutoffs)
+    kept = ["cutoff", *key, "not_completed", "split", "date_registration", *DEMOGRAPHIC]
     wide = (
         cohort.join(tables.info.select(*key, *DEMOGRAPHIC), list(key), "left")
-        .join(volume, at, "left")
-        .join(range_, at, "left")
-        .join(work, at, "left")
+        .join(volume, list(key), "left")
+        .join(range_, list(key), "left")
+        .join(work, list(key), "left")
+        .select(*kept, *[at_cutoff(n, cutoffs).alias(n) for n in (*VOLUME, *BREADTH, *STATS)])
         .join(due, [*group, "cutoff"], "left")
     )
     zero = F.lit(0)
@@ -126,7 +127,10 @@ def feature_table(
 ) -> DataFrame:
     """Features of every cutoff. The assembled rows are written once, because the percentiles
     read them several times and the log behind them is the expensive part."""
-    cohort = cohorts(population(tables.registration, tables.info), design)
+    # The population and the demographic columns both come from the info.
+    info = stage(tables.info, "info")
+    tables = tables.replaced(info=info)
+    cohort = cohorts(population(tables.registration, info), design)
     wide = assembled_features(tables, cohort, design.cutoffs, assessment_types)
     full = with_percentiles(stage(wide, "assembled"))
     return full.select(

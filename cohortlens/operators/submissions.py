@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.functions.session import stage
-from cohortlens.operators.activity import reaching
+from cohortlens.operators.activity import per_cutoff, reaching
 
 # Fixed values
 EXAM = "Exam"
@@ -42,6 +42,39 @@ STATS = [
 ]
 
 
+def submission_stats_by_unit(
+    submitted: DataFrame, key: Sequence[str], cutoffs: Sequence[int], day: str = "date_submitted"
+) -> DataFrame:
+    """One row per key with the columns of :data:`STATS` for every cutoff, ``<name>_<cutoff>``."""
+    rows = submitted.where(evidence() & (F.col(day) < max(cutoffs)))
+    d, due, score, late = F.col(day), F.col("due_date"), F.col("score"), F.col(day) - F.col("due_date")
+
+    def item_values(c: int) -> dict[str, Column]:
+        seen = lambda x: F.when(d < c, x)
+        return {
+            "_n": F.count(seen(d)),
+            "_score": F.sum(seen(score)),
+            "_scored": F.count(seen(score)),
+            "_low": F.min(seen(score)),
+            "_late": F.sum(seen(late)),
+            "_dated": F.count(seen(late)),
+            "_due": F.max(seen(F.when(due < c, 1).otherwise(0))),
+        }
+
+    per_item = rows.groupBy(*key, "id_assessment").agg(*[v.alias(f"{n}_{c}") for c in cutoffs for n, v in item_values(c).items()])
+
+    def values(c: int) -> list[Column]:
+        return [
+            F.sum(f"_n_{c}"),
+            F.try_divide(F.sum(f"_score_{c}"), F.sum(f"_scored_{c}")),
+            F.min(f"_low_{c}"),
+            F.try_divide(F.sum(f"_late_{c}"), F.sum(f"_dated_{c}")),
+            F.sum(f"_due_{c}"),
+        ]
+
+    return per_item.groupBy(*key).agg(*[v.alias(f"{n}_{c}") for c in cutoffs for n, v in zip(STATS, values(c))])
+
+
 def submission_stats(
     submitted: DataFrame, key: Sequence[str], cutoffs: Sequence[int], day: str = "date_submitted"
 ) -> DataFrame:
@@ -51,28 +84,7 @@ def submission_stats(
     distinct assessments that were due and submitted before the cutoff; it turns "due, not
     submitted" into a subtraction.
     """
-    rows = submitted.where(evidence() & (F.col(day) < max(cutoffs)))
-    d, due, score, late = F.col(day), F.col("due_date"), F.col("score"), F.col(day) - F.col("due_date")
-    per_item = (
-        reaching(rows, day, cutoffs)
-        .groupBy(*key, "cutoff", "id_assessment")
-        .agg(
-            F.count(d).alias("_n"),
-            F.sum(score).alias("_score"),
-            F.count(score).alias("_scored"),
-            F.min(score).alias("_low"),
-            F.sum(late).alias("_late"),
-            F.count(late).alias("_dated"),
-            F.max(F.when(due < F.col("cutoff"), 1).otherwise(0)).alias("_due"),
-        )
-    )
-    return per_item.groupBy(*key, "cutoff").agg(
-        F.sum("_n").alias(STATS[0]),
-        F.try_divide(F.sum("_score"), F.sum("_scored")).alias(STATS[1]),
-        F.min("_low").alias(STATS[2]),
-        F.try_divide(F.sum("_late"), F.sum("_dated")).alias(STATS[3]),
-        F.sum("_due").alias(STATS[4]),
-    )
+    return per_cutoff(submission_stats_by_unit(submitted, key, cutoffs, day), key, cutoffs, STATS, STATS[0])
 
 
 def due_counts(assessments: DataFrame, group: Sequence[str], cutoffs: Sequence[int]) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortlens.functions.session import stage
 from cohortlens.operators.cleaning import TableSet, typed_views
 from cohortlens.operators.cohort import StudyDesign
 
@@ -79,9 +80,9 @@ def _registered(t: DataFrame) -> DataFrame:
     )
 
 
-def student_registration(t: DataFrame) -> DataFrame:
+def student_registration(registered: DataFrame) -> DataFrame:
     gone = F.col("last.o_orderstatus") == "F"
-    return _registered(t).select(
+    return registered.select(
         "code_module",
         "code_presentation",
         "id_student",
@@ -90,7 +91,7 @@ def student_registration(t: DataFrame) -> DataFrame:
     )
 
 
-def student_info(spark: SparkSession, sf_dir: str, t: DataFrame) -> DataFrame:
+def student_info(spark: SparkSession, sf_dir: str, registered: DataFrame) -> DataFrame:
     status, even = F.col("last.o_orderstatus"), F.col("last.o_orderkey") % 2 == 0
     result = (
         F.when(status == "F", "Withdrawn")
@@ -110,8 +111,7 @@ def student_info(spark: SparkSession, sf_dir: str, t: DataFrame) -> DataFrame:
     low, high = (decile * 10).cast("string"), (decile * 10 + 10).cast("string")
     band = F.concat(low, F.lit("-"), high, F.when(decile == 1, "").otherwise("%"))
     return (
-        _registered(t)
-        .join(people, "id_student")
+        registered.join(people, "id_student")
         .select(
             "code_module",
             "code_presentation",
@@ -129,21 +129,16 @@ def student_info(spark: SparkSession, sf_dir: str, t: DataFrame) -> DataFrame:
     )
 
 
-def student_vle(spark: SparkSession, sf_dir: str) -> DataFrame:
+def student_vle(spark: SparkSession, sf_dir: str, t: DataFrame) -> DataFrame:
+    """Lines with the module and student of their order; orders meet customers before the many lines do."""
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_shipdate")
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    c = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
-    return (
-        li.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(c, F.col("o_custkey") == F.col("c_custkey"))
-        .select(
-            F.col("c_mktsegment").alias("code_module"),
-            F.year("l_shipdate").cast("string").alias("code_presentation"),
-            F.col("o_custkey").alias("id_student"),
-            F.col("l_partkey").alias("id_site"),
-            (F.dayofyear("l_shipdate") - 1).alias("date"),
-            F.col("l_quantity").cast("int").alias("sum_click"),
-        )
+    return li.join(t.select("o_orderkey", "code_module", "id_student"), F.col("l_orderkey") == F.col("o_orderkey")).select(
+        "code_module",
+        F.year("l_shipdate").cast("string").alias("code_presentation"),
+        "id_student",
+        F.col("l_partkey").alias("id_site"),
+        (F.dayofyear("l_shipdate") - 1).alias("date"),
+        F.col("l_quantity").cast("int").alias("sum_click"),
     )
 
 
@@ -196,21 +191,25 @@ def courses(t: DataFrame) -> DataFrame:
     )
 
 
-def raw_tables(spark: SparkSession, sf_dir: str) -> TableSet:
+def raw_tables(spark: SparkSession, sf_dir: str, stored: bool = False) -> TableSet:
+    """The seven relations. ``stored`` writes out what several of them start from, for a caller that reads most of them."""
     t = terms(spark, sf_dir)
+    t = stage(t, "terms") if stored else t
+    registered = _registered(t)
+    registered = stage(registered, "registered") if stored else registered
     return TableSet(
-        student_info=lambda: student_info(spark, sf_dir, t),
-        student_registration=lambda: student_registration(t),
+        student_info=lambda: student_info(spark, sf_dir, registered),
+        student_registration=lambda: student_registration(registered),
         student_assessment=lambda: student_assessment(t),
         assessments=lambda: assessments(t),
         courses=lambda: courses(t),
         vle=lambda: vle(spark, sf_dir),
-        student_vle=lambda: student_vle(spark, sf_dir),
+        student_vle=lambda: student_vle(spark, sf_dir, t),
     )
 
 
-def typed_tables(spark: SparkSession, sf_dir: str) -> TableSet:
-    return typed_views(raw_tables(spark, sf_dir))
+def typed_tables(spark: SparkSession, sf_dir: str, stored: bool = False) -> TableSet:
+    return typed_views(raw_tables(spark, sf_dir, stored))
 
 
 def scored_events(spark: SparkSession, sf_dir: str) -> DataFrame:
