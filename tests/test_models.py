@@ -156,3 +156,51 @@ def test_score_equations_are_summed_in_the_tasks(spark):
         want[m.cutoff, m.rung, "(intercept)"] = off.sum() / f.n_rows
         want |= {(m.cutoff, m.rung, "abcd"[at]): (off @ x[mine][:, at] + b / 0.5) / f.n_rows for at, b in zip(f.spec.columns, f.coefficients)}
     assert found.keys() == want.keys() and all(abs(found[k] - v) < 1e-12 for k, v in want.items())
+
+
+def test_joint_bins_give_the_sums_of_each_feature():
+    """Large nodes are summed by joint bins of several features, small ones a feature at a time; both are plain sums."""
+    rng = np.random.default_rng(6)
+    layout = bo.Layout(np.array([63, 2, 300, 1, 40, 7, 2]), np.array([True, True, False, True, True, False, True]))
+    assert sorted(f for pack in layout.packs for f in pack) == list(range(7)) and len(layout.packs) < 4
+    bins = np.column_stack([rng.integers(0, s, 40_000) for s in layout.sizes]).astype("<u2")
+    data, g, h = bo._Rows(bins, layout), rng.normal(size=40_000), rng.random(40_000)
+    for rows in (np.arange(40_000), np.flatnonzero(rng.random(40_000) < 0.5), np.flatnonzero(rng.random(40_000) < 0.01)):
+        want = np.zeros((3, layout.total))
+        for f, start in enumerate(layout.starts):
+            for k, v in enumerate((g, h, np.ones(40_000))):
+                np.add.at(want[k], start + bins[rows, f].astype(int), v[rows])
+        assert np.allclose(data.histogram(rows, g, h), want, rtol=0, atol=1e-9)
+
+
+def test_a_cutoff_of_over_400_000_rows_is_one_job(spark):
+    """As many rows as a cutoff has at some hundred megabytes: no job a level and tree."""
+    n = 410_000
+    cells = F.unhex(F.format_string("%02x00%02x00", F.col("id") % 7, F.xxhash64("id") % 3 + 2))
+    rows = spark.range(n, numPartitions=4).select(
+        F.lit(2).alias("grp"), (F.col("id") % 5 > 0).alias("fit"), (F.xxhash64("id", F.lit(1)) % 7 < F.col("id") % 7).cast("double").alias("y"), F.lit(1.0).alias("weight"), cells.alias("bins")
+    )
+    spark.sparkContext.setJobGroup("large", "")
+    fit = bo.fit_boosted(rows, [bo.BoostSpec("a", 2, 2, 0.3, 50)], {2: bo.Layout(np.array([7, 5]), np.array([True, True]))}, 3, 2)[0]
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("large"))
+    spark.sparkContext.setJobGroup("other", "")
+    assert jobs <= 6 and len(fit.trees) == 3 and fit.losses[2] < fit.losses[1] < fit.losses[0]
+
+
+def test_trees_route_rows_to_the_leaves_they_walk_to():
+    rng = np.random.default_rng(8)
+    tree, ordered = bo.Tree(2), np.array([True, False])
+    tree.feature[[1, 3]], tree.bin[[1, 3]] = [0, 1], [2, 4]
+    bins = rng.integers(0, 6, (50_000, 2)).astype("<u2")
+    at = np.zeros(len(bins), int)
+    for node, rows in tree.routed(np.ascontiguousarray(bins.T), ordered):
+        at[rows] = node
+    assert (at == tree.leaves(bins, ordered)).all()
+
+
+def test_bins_of_rows_come_back_from_their_column():
+    bins = np.arange(12).reshape(4, 3)
+    column = bo.bin_column(bins)
+    assert (bo.bin_matrix(column, 3) == bins).all() and (bo.bin_matrix(column[1:3], 3) == bins[1:3]).all()
+    with pytest.raises(ValueError, match="bins of other"):
+        bo.bin_matrix(column, 2)
