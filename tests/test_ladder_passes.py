@@ -76,3 +76,20 @@ def test_medians_are_exact(spark, monkeypatch, accuracy, margins):
     assert len(found) == 6
     whole = {r["feature"]: r["median"] for r in qc.medians(df, [], ["a"]).collect()}
     assert whole == {"a": np.median([r[1] for r in data])}
+
+
+def test_drift_beside_importance_reads_the_stored_features(spark, rows, monkeypatch):
+    """The features of the ladder serve the drift as well; they are not made a second time."""
+    from cohortlens.catalog import drift_queries as dq
+    from cohortlens.catalog import ladder_queries as lq
+
+    def again(spark, d):
+        raise AssertionError("features are made again")
+
+    stored = rows.withColumn("split", F.when(F.col("split") == "validate", "test").otherwise(F.col("split")))
+    weights = spark.createDataFrame([(c, f, float(i)) for c in (45, 90, 180) for i, f in enumerate(NUMERIC_FEATURES)], "cutoff int, feature string, importance double")
+    monkeypatch.setattr(lq, "features_of", again)
+    monkeypatch.setattr(dq, "features_of", again)
+    monkeypatch.setattr(lq, "stored_features", lambda spark, d: stored)
+    monkeypatch.setattr(lq, "_ladder_importance", lambda spark, d: weights)
+    assert {r["cutoff"] for r in lq._holdout_drift(spark, "").collect()} == {45, 90, 180}
